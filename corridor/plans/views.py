@@ -37,7 +37,7 @@ def trips(spark: SparkSession, folder: str) -> DataFrame:
         "cast(l_shipdate as date) as date",
         "cast(pmod(l_orderkey * 7 + l_partkey, 96) as int) as slot",
         "cast(l_suppkey % 30 as int) as od",
-        "cast(l_quantity as int) * 60 - 60 as duration",
+        "cast(l_quantity as int) * 61 - 61 as duration",
         "cast(floor(l_extendedprice) as int) as travelDis",
         "case when l_returnflag <> 'N' then l_partkey end as fid",
         "case when l_returnflag = 'A' and l_linestatus = 'F' then 'Humen bridge' "
@@ -106,7 +106,7 @@ def near_lines(spark: SparkSession, folder: str) -> DataFrame:
     moved = lines(spark, folder).selectExpr("id as vec", "coords", "explode(array(0, 1, -1)) as k")
     shifted = moved.selectExpr(
         "vec * 3 + k + 1 as id", "0.2D + (vec % 5) * 0.1D as freq",
-        f"transform(coords, p -> {_point('p.lon + k * (vec % 9) * 1.0E-5D', 'p.lat + k * (vec % 9) * 1.0E-5D')}) as coords",
+        f"transform(coords, p -> {_point('p.lon + k * (vec % 9 + 1) * 1.0E-5D', 'p.lat + k * (vec % 9 + 1) * 1.0E-5D')}) as coords",
     )
     return shifted
 
@@ -184,7 +184,7 @@ SQL = {
             CASE WHEN duration <> 0 THEN travelDis::DOUBLE / duration END AS speed
         FROM (SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4,
                 l_shipdate::DATE AS date, ((l_orderkey * 7 + l_partkey) % 96)::INTEGER AS slot,
-                (l_suppkey % 30)::INTEGER AS od, l_quantity::INTEGER * 60 - 60 AS duration,
+                (l_suppkey % 30)::INTEGER AS od, l_quantity::INTEGER * 61 - 61 AS duration,
                 floor(l_extendedprice)::INTEGER AS travelDis,
                 CASE WHEN l_returnflag <> 'N' THEN l_partkey END AS fid,
                 CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'Humen bridge'
@@ -216,7 +216,7 @@ SQL = {
     "near_v": """
         SELECT id * 3 + k + 1 AS id, 0.2::DOUBLE + (id % 5) * 0.1::DOUBLE AS freq,
             list_transform(coords, lambda p: struct_pack(
-                lon := p.lon + k * (id % 9) * 1e-5::DOUBLE, lat := p.lat + k * (id % 9) * 1e-5::DOUBLE)) AS coords
+                lon := p.lon + k * (id % 9 + 1) * 1e-5::DOUBLE, lat := p.lat + k * (id % 9 + 1) * 1e-5::DOUBLE)) AS coords
         FROM lines_v, (VALUES (0), (1), (-1)) moves(k)""",
     "paths_v": f"""
         SELECT p_partkey AS fid, [{_DUCK_NODE.format('p_size % 10')}, {_DUCK_NODE.format('(p_size + p_partkey) % 10')},

@@ -19,9 +19,9 @@ STATUS_COLUMNS = {"smooth": 1, "slow": 2, "congested": 3, "verycongested": 4, "u
 
 
 def parse_routes(raw: DataFrame) -> DataFrame:
-    """Decode ``body``; answers without a path drop out."""
-    path = F.get(F.from_json("body", schemas.ROUTE)["route"]["paths"], F.lit(0))
-    return raw.withColumn("path", path).where(F.col("path").isNotNull()).drop("body")
+    """Decode ``body`` once per row; answers without a path drop out."""
+    first = F.slice(F.from_json("body", schemas.ROUTE)["route"]["paths"], 1, 1)
+    return raw.withColumn("path", F.explode(first)).drop("body")
 
 
 def trip_id() -> Column:

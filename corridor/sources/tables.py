@@ -35,14 +35,17 @@ def read_days(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def read_quarantine(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad rows with the raw line and its file): one bad row stops nothing."""
-    reader = (
-        spark.read.schema(f"{schema}, {CORRUPT} string").option("header", True)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    )
-    rows = reader.csv(folder).withColumn("file", F.col("_metadata.file_name"))
-    good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file")
-    return good, rows.where(F.col(CORRUPT).isNotNull()).select("file", CORRUPT)
+    """(good rows, bad rows with the raw line and its file): one bad row stops nothing.
+
+    Lines that repeat the column names are headers and skipped.
+    """
+    header = ",".join(part.split()[0] for part in schema.split(","))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    raw = spark.read.text(folder).withColumn("file", F.col("_metadata.file_name")).where(F.col("value") != header)
+    rows = raw.withColumn("row", F.from_csv("value", f"{schema}, {CORRUPT} string", options))
+    broken = F.col(f"row.{CORRUPT}").isNotNull()
+    good = rows.where(~broken).select("row.*").drop(CORRUPT)
+    return good, rows.where(broken).select("file", F.col("value").alias(CORRUPT))
 
 
 def parquet_row_index(df: DataFrame) -> DataFrame:
