@@ -120,6 +120,11 @@ def od_coords(spark, folder):
     return routes.od_coords(V.poi(spark, folder).withColumnRenamed("id", "OD"))
 
 
+def _first_batch(rows):
+    """The lines that came from one source."""
+    return rows.where("source = 'Brand#1'")
+
+
 def _dictionary(spark, folder):
     """Dictionary of the paths; their repeated lines share an id."""
     return paths.upsert(paths.empty(spark), V.paths(spark, folder))
@@ -127,60 +132,59 @@ def _dictionary(spark, folder):
 
 @query(
     "dict_upsert",
-    V.with_views("paths_v") + f"""SELECT {WKT} AS wkt, min(fid) < 100 OR count(*) FILTER (fid < 100) > 0 AS old, 1::BIGINT AS ids, true AS dense
+    V.with_views("paths_v") + f"""SELECT {WKT} AS wkt, count(*) FILTER (source = 'Brand#1') > 0 AS old, 1::BIGINT AS ids, true AS dense
         FROM paths_v GROUP BY {WKT}""",
 )
 def dict_upsert(spark, folder):
     rows = V.paths(spark, folder)
-    first = paths.upsert(paths.empty(spark), rows.where("fid < 100"))
+    first = paths.upsert(paths.empty(spark), _first_batch(rows))
     grown = paths.upsert(first, rows)
-    known = first.agg(F.max("fid").alias("top"), F.count(F.lit(1)).alias("n"))
-    size = grown.agg(F.count(F.lit(1)).alias("size")).first()["size"]
-    top = known.first()["top"]
+    counts = first.agg(F.count(F.lit(1)).alias("before")).first(), grown.agg(F.count(F.lit(1)).alias("after")).first()
     return grown.groupBy(F.col("_wkt").alias("wkt")).agg(
-        (F.min("fid") <= top).alias("old"), F.countDistinct("fid").alias("ids"), (F.max("fid") < size).alias("dense")
+        (F.min("fid") < counts[0]["before"]).alias("old"), F.countDistinct("fid").alias("ids"),
+        (F.max("fid") < counts[1]["after"]).alias("dense"),
     )
 
 
 @query(
     "dict_lookup",
-    V.with_views("paths_v") + f"""SELECT fid, CASE WHEN {WKT} IN (SELECT {WKT} FROM paths_v WHERE fid < 100) THEN {WKT} END AS found FROM paths_v""",
+    V.with_views("paths_v") + f"""SELECT fid, CASE WHEN {WKT} IN (SELECT {WKT} FROM paths_v WHERE source = 'Brand#1') THEN {WKT} END AS found FROM paths_v""",
 )
 def dict_lookup(spark, folder):
     rows = V.paths(spark, folder)
-    dictionary = paths.upsert(paths.empty(spark), rows.where("fid < 100"))
+    dictionary = paths.upsert(paths.empty(spark), _first_batch(rows))
     found = paths.lookup(rows.withColumnRenamed("fid", "row"), dictionary)
     return found.select(F.col("row").alias("fid"), F.when(F.col("fid").isNotNull(), G.line_wkt(F.col("coords"))).alias("found"))
 
 
 @query(
     "dict_join",
-    V.with_views("paths_v") + f"SELECT fid, {WKT} AS wkt FROM paths_v WHERE {WKT} IN (SELECT {WKT} FROM paths_v WHERE fid < 100)",
+    V.with_views("paths_v") + f"SELECT fid, {WKT} AS wkt FROM paths_v WHERE {WKT} IN (SELECT {WKT} FROM paths_v WHERE source = 'Brand#1')",
 )
 def dict_join(spark, folder):
     rows = V.paths(spark, folder)
-    dictionary = paths.upsert(paths.empty(spark), rows.where("fid < 100"))
+    dictionary = paths.upsert(paths.empty(spark), _first_batch(rows))
     found = paths.lookup(rows.withColumnRenamed("fid", "row"), dictionary, how="inner").select("row", "fid")
     return found.join(dictionary, "fid").select(F.col("row").alias("fid"), F.col("_wkt").alias("wkt"))
 
 
 @query(
     "dict_get",
-    V.with_views("paths_v") + f"SELECT DISTINCT {WKT} AS wkt FROM paths_v WHERE fid < 50",
+    V.with_views("paths_v") + f"SELECT DISTINCT {WKT} AS wkt FROM paths_v WHERE source = 'Brand#1'",
 )
 def dict_get(spark, folder):
     dictionary = _dictionary(spark, folder)
-    wanted = paths.lookup(V.paths(spark, folder).where("fid < 50").drop("fid"), dictionary)
+    wanted = paths.lookup(_first_batch(V.paths(spark, folder)).drop("fid"), dictionary)
     return paths.get(dictionary, wanted).select(F.col("_wkt").alias("wkt"))
 
 
 @query(
     "dict_remove",
-    V.with_views("paths_v") + f"SELECT DISTINCT {WKT} AS wkt FROM paths_v WHERE {WKT} NOT IN (SELECT {WKT} FROM paths_v WHERE fid < 50)",
+    V.with_views("paths_v") + f"SELECT DISTINCT {WKT} AS wkt FROM paths_v WHERE {WKT} NOT IN (SELECT {WKT} FROM paths_v WHERE source = 'Brand#1')",
 )
 def dict_remove(spark, folder):
     rows = V.paths(spark, folder)
-    return paths.remove(_dictionary(spark, folder), rows.where("fid < 50")).select(F.col("_wkt").alias("wkt"))
+    return paths.remove(_dictionary(spark, folder), _first_batch(rows)).select(F.col("_wkt").alias("wkt"))
 
 
 @query(
@@ -195,11 +199,11 @@ def left_paths(spark, folder):
 @query(
     "right_shapes",
     V.with_views("trips_v", "paths_v") + f"""SELECT fid, nums, {WKT} AS wkt FROM (SELECT fid, count(*) AS nums FROM trips_v WHERE fid IS NOT NULL GROUP BY fid)
-        LEFT JOIN (SELECT * FROM paths_v WHERE fid % 3 <> 0) USING (fid)""",
+        LEFT JOIN (SELECT * FROM paths_v WHERE source <> 'Brand#3') USING (fid)""",
 )
 def right_shapes(spark, folder):
     nums = heat.path_use(V.trips(spark, folder), []).withColumnRenamed("used", "nums")
-    shapes = V.paths(spark, folder).where("fid % 3 <> 0")
+    shapes = V.paths(spark, folder).where("source <> 'Brand#3'")
     return shapes.join(nums, "fid", "right").select("fid", "nums", G.line_wkt(F.col("coords")).alias("wkt"))
 
 

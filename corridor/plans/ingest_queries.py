@@ -46,11 +46,11 @@ def unvisited_anti(spark, folder):
 
 @query(
     "ingest_quarantine",
-    """SELECT event_id, event_type, CASE WHEN event_id % 10 <> 0 THEN floor(value)::INTEGER END AS value, event_id % 10 = 0 AS bad FROM events""",
+    """SELECT event_id, event_type, CASE WHEN event_type <> 'signup' THEN floor(value)::INTEGER END AS value, event_type = 'signup' AS bad FROM events""",
 )
 def ingest_quarantine(spark, folder):
     text = V.table(spark, folder, "events").selectExpr(
-        "concat_ws(',', event_id, event_type, case when event_id % 10 = 0 then 'n/a' else cast(floor(value) as string) end) as line"
+        "concat_ws(',', event_id, event_type, case when event_type = 'signup' then 'n/a' else cast(floor(value) as string) end) as line"
     )
     path = scratch.new_path(spark, "landing")
     text.write.text(path)

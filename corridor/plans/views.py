@@ -115,7 +115,7 @@ def paths(spark: SparkSession, folder: str) -> DataFrame:
     """part as short paths over a few shared nodes, so that segments repeat."""
     node = lambda k: _point(f"113.0D + ({k}) * 0.01D", f"22.0D + ({k}) * ({k}) * 0.001D")
     return table(spark, folder, "part").selectExpr(
-        "p_partkey as fid",
+        "p_partkey as fid", "p_brand as source",
         f"array({node('p_size % 10')}, {node('(p_size + p_partkey) % 10')}, "
         f"{node('length(p_name) % 10')}, {node('p_partkey % 10')}) as coords",
     )
@@ -144,7 +144,7 @@ def routes(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderkey as k", "o_custkey as c", "cast(o_orderdate as date) as date"
     )
     return rows.selectExpr(
-        "k", "cast(k % 1000 as int) as od",
+        "k", "date", "cast(k % 1000 as int) as od",
         "concat(date_format(date, 'dd'), lpad(cast(c % 96 div 4 as string), 2, '0'), lpad(cast(c % 4 * 15 as string), 2, '0')) as crawl",
         "to_json(named_struct('route', named_struct('paths', array(named_struct("
         "'distance', cast(500 + c % 1000 as string), 'duration', cast(c % 60 as string), 'strategy', '速度最快', "
@@ -161,7 +161,7 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
 def road_graph(spark: SparkSession, folder: str) -> DataFrame:
     """part as a road graph: runs of consecutive nodes with gaps, branches and merges."""
     return table(spark, folder, "part").selectExpr(
-        "p_partkey as src",
+        "p_partkey as src", "p_brand as source",
         "explode(filter(array(case when p_size % 5 <> 0 then p_partkey + 1 end, "
         "case when p_size % 11 = 0 then p_partkey + 13 end), x -> x is not null)) as dst",
     )
@@ -169,7 +169,8 @@ def road_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 def roads(spark: SparkSession, folder: str) -> DataFrame:
     """Road ids of the road graph's edges; some edges have none."""
-    return road_graph(spark, folder).where("src % 10 <> 0").selectExpr("src as s", "dst as e", "src div 3 as rid")
+    named = road_graph(spark, folder).where("source <> 'Brand#3'")
+    return named.selectExpr("src as s", "dst as e", "src div 3 as rid")
 
 
 _DUCK_NODE = "struct_pack(lon := 113.0::DOUBLE + ({0}) * 0.01::DOUBLE, lat := 22.0::DOUBLE + ({0}) * ({0}) * 0.001::DOUBLE)"
@@ -219,11 +220,11 @@ SQL = {
                 lon := p.lon + k * (id % 9 + 1) * 1e-5::DOUBLE, lat := p.lat + k * (id % 9 + 1) * 1e-5::DOUBLE)) AS coords
         FROM lines_v, (VALUES (0), (1), (-1)) moves(k)""",
     "paths_v": f"""
-        SELECT p_partkey AS fid, [{_DUCK_NODE.format('p_size % 10')}, {_DUCK_NODE.format('(p_size + p_partkey) % 10')},
+        SELECT p_partkey AS fid, p_brand AS source, [{_DUCK_NODE.format('p_size % 10')}, {_DUCK_NODE.format('(p_size + p_partkey) % 10')},
             {_DUCK_NODE.format('length(p_name) % 10')}, {_DUCK_NODE.format('p_partkey % 10')}] AS coords
         FROM part""",
     "answers_v": """
-        SELECT o_orderkey AS k, o_custkey AS c, (o_orderkey % 1000)::INTEGER AS od,
+        SELECT o_orderkey AS k, o_custkey AS c, o_orderdate::DATE AS date, (o_orderkey % 1000)::INTEGER AS od,
             strftime(o_orderdate, '%d') || lpad((o_custkey % 96 // 4)::VARCHAR, 2, '0')
                 || lpad((o_custkey % 4 * 15)::VARCHAR, 2, '0') AS crawl
         FROM orders""",
@@ -236,14 +237,14 @@ SQL = {
         SELECT *, 40 + j * 10 AS metres,
             CASE (c + j) % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END AS status,
             {_DUCK_SPOT.format('j', 'j')} || ';' || {_DUCK_SPOT.format('j + 1', 'j + 1')} AS line
-        FROM (SELECT k, c, od, crawl, i, unnest(range(0, i % 3))::INTEGER AS j FROM answer_steps_v)""",
+        FROM (SELECT k, c, date, od, crawl, i, unnest(range(0, i % 3))::INTEGER AS j FROM answer_steps_v)""",
     "edges_v": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem",
     "degrees_v": """
         SELECT node, sum(i)::BIGINT AS indegree, sum(o)::BIGINT AS outdegree
         FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM edges_v UNION ALL SELECT src, 0, 1 FROM edges_v) GROUP BY node""",
     "road_graph_v": """
-        SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_size % 5 <> 0
-        UNION SELECT p_partkey, p_partkey + 13 FROM part WHERE p_size % 11 = 0""",
+        SELECT p_partkey AS src, p_partkey + 1 AS dst, p_brand AS source FROM part WHERE p_size % 5 <> 0
+        UNION SELECT p_partkey, p_partkey + 13, p_brand FROM part WHERE p_size % 11 = 0""",
 }
 
 _NEEDS = {
