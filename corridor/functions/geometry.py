@@ -15,6 +15,11 @@ TM_FLATTENING = 1 / 298.3
 TM_MERIDIAN = 114.0
 
 
+def computed_once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def point(lon: Column, lat: Column) -> Column:
     return F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat"))
 
@@ -109,40 +114,67 @@ def haversine(lon0: Column, lat0: Column, lon1: Column, lat1: Column, radius: fl
     return F.lit(2.0 * radius) * F.asin(F.sqrt(a))
 
 
-def project(p: Column) -> Column:
-    """Transverse Mercator forward projection to metres (Snyder 1987, eq. 8-9, 8-10, 3-21)."""
+def project_line(coords: Column) -> Column:
+    """Vertices in metres by the Transverse Mercator series (Snyder 1987, eq. 8-9, 8-10, 3-21).
+
+    The series is taken in stages, each a transform of its own, so that every
+    shared term is computed once per vertex.
+    """
     e2 = TM_FLATTENING * (2 - TM_FLATTENING)
     ep2 = e2 / (1 - e2)
-    phi = F.radians(p["lat"])
-    sin, cos = F.sin(phi), F.cos(phi)
-    n = F.lit(TM_AXIS) / F.sqrt(F.lit(1.0) - F.lit(e2) * sin * sin)
-    tan = F.tan(phi)
-    t = tan * tan
-    c = F.lit(ep2) * cos * cos
-    a = F.radians(p["lon"] - F.lit(TM_MERIDIAN)) * cos
-    a2 = a * a
-    x_series = a + (F.lit(1.0) - t + c) * a * a2 / 6.0 + (
-        F.lit(5.0 - 58.0 * ep2) - t * 18.0 + t * t + c * 72.0
-    ) * a * a2 * a2 / 120.0
-    arc = (
-        phi * F.lit(1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)
-        - F.sin(phi * 2.0) * F.lit(3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024)
-        + F.sin(phi * 4.0) * F.lit(15 * e2**2 / 256 + 45 * e2**3 / 1024)
-        - F.sin(phi * 6.0) * F.lit(35 * e2**3 / 3072)
+    angles = F.transform(
+        coords,
+        lambda p: F.struct(F.radians(p["lat"]).alias("phi"), F.radians(p["lon"] - F.lit(TM_MERIDIAN)).alias("east")),
+    )
+    trig = F.transform(
+        angles,
+        lambda v: F.struct(
+            v["phi"].alias("phi"), v["east"].alias("east"),
+            F.sin(v["phi"]).alias("sin"), F.cos(v["phi"]).alias("cos"), F.tan(v["phi"]).alias("tan"),
+        ),
     )
-    y_series = a2 / 2.0 + (F.lit(5.0) - t + c * 9.0 + c * c * 4.0) * a2 * a2 / 24.0 + (
-        F.lit(61.0 - 330.0 * ep2) - t * 58.0 + t * t + c * 600.0
-    ) * a2 * a2 * a2 / 720.0
-    return F.struct((n * x_series).alias("x"), (F.lit(TM_AXIS) * arc + n * tan * y_series).alias("y"))
+    terms = F.transform(
+        trig,
+        lambda v: F.struct(
+            v["phi"].alias("phi"), v["tan"].alias("tan"),
+            (F.lit(TM_AXIS) / F.sqrt(F.lit(1.0) - F.lit(e2) * v["sin"] * v["sin"])).alias("n"),
+            (v["tan"] * v["tan"]).alias("t"), (F.lit(ep2) * v["cos"] * v["cos"]).alias("c"),
+            (v["east"] * v["cos"]).alias("a"),
+        ),
+    )
+    arc_terms = (
+        1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256,
+        3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024,
+        15 * e2**2 / 256 + 45 * e2**3 / 1024,
+        35 * e2**3 / 3072,
+    )
+
+    def metres(v: Column) -> Column:
+        phi, n, t, c, a = (v[k] for k in ("phi", "n", "t", "c", "a"))
+        x = a + (F.lit(1.0) - t + c) * F.pow(a, F.lit(3.0)) / 6.0 + (
+            F.lit(5.0 - 58.0 * ep2) - t * 18.0 + t * t + c * 72.0
+        ) * F.pow(a, F.lit(5.0)) / 120.0
+        arc = (
+            phi * F.lit(arc_terms[0]) - F.sin(phi * 2.0) * F.lit(arc_terms[1])
+            + F.sin(phi * 4.0) * F.lit(arc_terms[2]) - F.sin(phi * 6.0) * F.lit(arc_terms[3])
+        )
+        y = a * a / 2.0 + (F.lit(5.0) - t + c * 9.0 + c * c * 4.0) * F.pow(a, F.lit(4.0)) / 24.0 + (
+            F.lit(61.0 - 330.0 * ep2) - t * 58.0 + t * t + c * 600.0
+        ) * F.pow(a, F.lit(6.0)) / 720.0
+        return F.struct((n * x).alias("x"), (F.lit(TM_AXIS) * arc + n * v["tan"] * y).alias("y"))
+
+    return F.transform(terms, metres)
 
 
 def line_length(coords: Column) -> Column:
     """Length in metres of a line of degrees."""
-    steps = F.transform(
-        segments(F.transform(coords, project)),
-        lambda s: F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]),
-    )
-    return F.aggregate(steps, F.lit(0.0), lambda total, d: total + d)
+    def total(line: Column) -> Column:
+        steps = F.transform(
+            segments(line), lambda s: F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])
+        )
+        return F.aggregate(steps, F.lit(0.0), lambda acc, d: acc + d)
+
+    return computed_once(project_line(coords), total)
 
 
 def bounds(coords: Column) -> Column:
@@ -163,7 +195,7 @@ def _turn(o: Column, a: Column, b: Column) -> Column:
     return (a["lon"] - o["lon"]) * (b["lat"] - o["lat"]) - (a["lat"] - o["lat"]) * (b["lon"] - o["lon"])
 
 
-def _segment_box(s: Column) -> Column:
+def segment_box(s: Column) -> Column:
     return F.struct(
         F.least(s["a"]["lon"], s["b"]["lon"]).alias("x0"), F.least(s["a"]["lat"], s["b"]["lat"]).alias("y0"),
         F.greatest(s["a"]["lon"], s["b"]["lon"]).alias("x1"), F.greatest(s["a"]["lat"], s["b"]["lat"]).alias("y1"),
@@ -173,7 +205,7 @@ def _segment_box(s: Column) -> Column:
 def segments_touch(s: Column, e: Column) -> Column:
     """Closed segments share a point; zero-length ones count as points."""
     return (
-        boxes_meet(_segment_box(s), _segment_box(e))
+        boxes_meet(segment_box(s), segment_box(e))
         & (_turn(e["a"], e["b"], s["a"]) * _turn(e["a"], e["b"], s["b"]) <= 0)
         & (_turn(s["a"], s["b"], e["a"]) * _turn(s["a"], s["b"], e["b"]) <= 0)
     )

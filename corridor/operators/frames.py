@@ -101,8 +101,20 @@ def assert_consistent(check: DataFrame) -> None:
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of either frame that the other lacks, counting copies."""
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    """Rows that the frames hold in different numbers, with ``surplus`` = copies in ``a`` - copies in ``b``.
+
+    One aggregation over both; copies are counted and not repeated, so a row with
+    very many copies costs no more than any other.
+    """
+    columns = a.columns
+    signed = a.withColumn("_sign", F.lit(1)).unionByName(b.withColumn("_sign", F.lit(-1)))
+    return signed.groupBy(*columns).agg(F.sum("_sign").alias("surplus")).where("surplus <> 0")
+
+
+def only_once(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that occur exactly once in both frames together."""
+    both = a.unionByName(b)
+    return both.groupBy(*a.columns).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
 
 
 def semi_distinct(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -164,8 +176,9 @@ def exact_quantiles(
     """Interpolated quantiles per group, exact for groups of any size.
 
     Equal values collapse into counts first. Approximate quantiles (bounded
-    sketches) then cut each group into ranges of similar weight, so ranking runs
-    inside a range while the counts of the earlier ranges give its offset.
+    sketches) then cut each group into ranges of similar weight. The counts of the
+    earlier ranges give a range its offset, and only the few ranges that hold a
+    wanted rank are sorted.
     """
     values = (
         df.where(F.col(column).isNotNull())
@@ -179,16 +192,25 @@ def exact_quantiles(
     ranged = values.join(cutting, keys).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     ).drop("_cuts")
-    weights = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_w"))
+    weights = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_w"), F.max("_total").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = weights.select(*keys, "_range", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_offset"))
+    placed = weights.withColumn("_offset", F.coalesce(F.sum("_w").over(before), F.lit(0)))
+
+    def target(total: Column, p: float) -> Column:
+        return (total - 1) * F.lit(float(p))
+
+    wanted = F.lit(False)
+    for p in probabilities:
+        for at in (F.floor(target(F.col("_t"), p)), F.ceil(target(F.col("_t"), p))):
+            wanted = wanted | ((F.col("_offset") <= at) & (at < F.col("_offset") + F.col("_w")))
+    offsets = placed.where(wanted).select(*keys, "_range", "_offset")
     running = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.withColumn("_upto", F.sum("_n").over(running)).join(offsets, [*keys, "_range"]).withColumns(
+    ranked = ranged.join(offsets, [*keys, "_range"]).withColumn("_upto", F.sum("_n").over(running)).withColumns(
         {"_to": F.col("_offset") + F.col("_upto"), "_from": F.col("_offset") + F.col("_upto") - F.col("_n")}
     )
     picks = []
     for i, p in enumerate(probabilities):
-        rank = (F.col("_total") - 1) * F.lit(float(p))
+        rank = target(F.col("_total"), p)
         for side, at in (("low", F.floor(rank)), ("high", F.ceil(rank))):
             hit = (F.col("_from") <= at) & (at < F.col("_to"))
             picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))

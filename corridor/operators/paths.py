@@ -7,12 +7,14 @@ the 128-bit key, never on the text.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corridor import schemas
 from corridor.functions import geometry as G
 from corridor.operators.frames import dense_ids
+from corridor.scratch import checkpoint
 
 KEY = ["key_hi", "key_lo"]
 SCHEMA = f"fid bigint, _wkt string, coords {schemas.COORDS}, length double, key_hi bigint, key_lo bigint"
@@ -41,13 +43,14 @@ def distinct_lines(lines: DataFrame, coords: str = "coords") -> DataFrame:
 def new_rows(dictionary: DataFrame, lines: DataFrame, coords: str = "coords", next_fid: int | None = None) -> DataFrame:
     """Dictionary rows for the lines the dictionary does not have yet.
 
-    Ids continue from ``next_fid``, or else from the highest id in use.
+    Ids continue from ``next_fid``, or else from the highest id in use. The unseen
+    lines are checkpointed, so that numbering them does not read the input again.
     """
     if next_fid is None:
         highest = dictionary.agg(F.max("fid")).first()[0]
         next_fid = 0 if highest is None else highest + 1
     unseen = distinct_lines(lines, coords).join(dictionary.select(*KEY), KEY, "left_anti")
-    numbered = dense_ids(unseen, KEY, "fid", F.lit(next_fid).cast("bigint"))
+    numbered = dense_ids(checkpoint(unseen), KEY, "fid", F.lit(next_fid).cast("bigint"))
     return numbered.select(
         "fid", G.line_wkt(F.col("coords")).alias("_wkt"), "coords",
         G.line_length(F.col("coords")).alias("length"), *KEY,
@@ -87,7 +90,10 @@ class PathStore:
         self.rows_path = f"{folder.rstrip('/')}/rows"
         self.removed_path = f"{folder.rstrip('/')}/removed"
         for path, schema in ((self.rows_path, SCHEMA), (self.removed_path, "fid bigint")):
-            spark.createDataFrame([], schema).write.mode("append").parquet(path)
+            try:
+                spark.read.schema(schema).parquet(path)
+            except AnalysisException:
+                spark.createDataFrame([], schema).write.parquet(path)
 
     def _all(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.rows_path)
@@ -103,7 +109,7 @@ class PathStore:
         return 0 if highest is None else highest + 1
 
     def add(self, lines: DataFrame, coords: str = "coords") -> DataFrame:
-        """Append unseen lines, if there are any, and return the dictionary."""
+        """Append the lines not seen before and return the dictionary."""
         fresh = new_rows(self.load(), lines, coords, self.next_fid())
         fresh.write.mode("append").parquet(self.rows_path)
         return self.load()

@@ -57,9 +57,8 @@ def _line_cells(coords: Column, cell: float) -> Column:
     parts = F.when(F.size(coords) > 1, G.segments(coords)).otherwise(
         F.transform(coords, lambda p: F.struct(p.alias("a"), p.alias("b")))
     )
-    return F.array_distinct(F.flatten(
-        F.transform(parts, lambda s: _cells(G.bounds(F.array(s["a"], s["b"])), cell))
-    ))
+    boxes = F.transform(parts, G.segment_box)
+    return F.array_distinct(F.flatten(F.transform(boxes, lambda box: _cells(box, cell))))
 
 
 def join_polygons(

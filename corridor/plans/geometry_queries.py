@@ -12,6 +12,7 @@ from corridor.functions import geometry as G
 from corridor.operators import graph, heat, paths, spatial
 from corridor.plans import views as V
 from corridor.plans.registry import query
+from corridor.scratch import new_path
 from corridor.sources import routes
 
 WKT = V.duck_wkt("coords")
@@ -137,12 +138,11 @@ def _dictionary(spark, folder):
 )
 def dict_upsert(spark, folder):
     rows = V.paths(spark, folder)
-    first = paths.upsert(paths.empty(spark), _first_batch(rows))
-    grown = paths.upsert(first, rows)
-    counts = first.agg(F.count(F.lit(1)).alias("before")).first(), grown.agg(F.count(F.lit(1)).alias("after")).first()
+    store = paths.PathStore(spark, new_path(spark, "paths"))
+    before = store.add(_first_batch(rows)).count()
+    grown = store.add(rows)
     return grown.groupBy(F.col("_wkt").alias("wkt")).agg(
-        (F.min("fid") < counts[0]["before"]).alias("old"), F.countDistinct("fid").alias("ids"),
-        (F.max("fid") < counts[1]["after"]).alias("dense"),
+        (F.min("fid") < before).alias("old"), F.countDistinct("fid").alias("ids"), (F.max("fid") < grown.count()).alias("dense")
     )
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corridor.functions import geometry as G
-from corridor.operators import heat, paths, spatial, trips
+from corridor.operators import heat, spatial, trips
+from corridor.operators.paths import PathStore
 from corridor.plans import jobs
 from corridor.plans import views as V
 from corridor.plans.geometry_queries import SPATIAL, duck_groups, duck_merged, duck_near
 from corridor.plans.registry import query
 from corridor.plans.trip_queries import KEYS, K
+from corridor.scratch import new_path, stored
 from corridor.sources import routes
 
 POINT = "split_part(polyline, ';', p)"
@@ -27,21 +29,22 @@ CRAWL_T = "(crawl[3:4]::INTEGER + crawl[5:6]::INTEGER / 60.0::DOUBLE)"
         (500 + c % 1000)::INTEGER AS travelDis, (c % 5)::INTEGER AS traffic_lights, wkt FROM answers_v JOIN drawn USING (k)""",
 )
 def job_trip_day(spark, folder):
-    parsed = routes.parse_routes(V.routes(spark, folder)).withColumnRenamed("k", "row_idx")
+    parsed = stored(routes.parse_routes(V.routes(spark, folder)).withColumnRenamed("k", "row_idx"), "answers")
     csv = routes.trip_rows(parsed, keep=("date", "row_idx"))
     features = parsed.select(
         "date", "row_idx", F.col("od").cast("string").alias("tripID"), "path.duration", F.col("path.distance").alias("travelDis"),
         F.col("path.toll_distance").alias("toll_distan"), F.col("path.traffic_lights").alias("traffic_lig"),
         F.flatten(F.transform("path.steps", lambda s: G.parse_polyline(s["polyline"]))).alias("coords"),
     )
-    day, grown = jobs.trip_day(features, csv, paths.empty(spark))
-    named = day.join(grown.select("fid", F.col("_wkt").alias("wkt")), "fid")
+    store = PathStore(spark, new_path(spark, "paths"))
+    day = jobs.trip_day(features, csv, store)
+    named = day.join(store.load().select("fid", F.col("_wkt").alias("wkt")), "fid")
     return named.select("row_idx", "tripID", "OD", F.round("t", 6).alias("t"), "duration", "travelDis", "traffic_lights", "wkt")
 
 
 def _step_files(spark, folder):
     parsed = routes.parse_routes(V.routes(spark, folder))
-    rows = routes.step_rows(parsed, keep=("k", "date")).withColumn("row_idx", F.expr("k * 10 + step_id"))
+    rows = stored(routes.step_rows(parsed, keep=("k", "date")).withColumn("row_idx", F.expr("k * 10 + step_id")), "steps")
     features = rows.selectExpr("date", "row_idx", "ID", "cast(OD as string) as tripID", "distance", "duration", "tolls", "coords")
     csv = rows.select(
         "date", "row_idx", "tripID", "instruction", "orientation", "road", "distance", "tolls", "toll_distance",
@@ -59,8 +62,9 @@ def _step_files(spark, folder):
 )
 def job_steps(spark, folder):
     features, csv = _step_files(spark, folder)
-    rows, grown = jobs.step_day(features, csv, paths.empty(spark))
-    named = rows.join(grown.select("fid", F.col("_wkt").alias("wkt")), "fid")
+    store = PathStore(spark, new_path(spark, "paths"))
+    rows = jobs.step_day(features, csv, store)
+    named = rows.join(store.load().select("fid", F.col("_wkt").alias("wkt")), "fid")
     return named.select(
         "tripID", "OD", "step_id", "road", "distance", "duration", F.col("date").cast("string").alias("day"), F.round("t", 6).alias("t"), "wkt"
     )
@@ -73,7 +77,7 @@ def job_steps(spark, folder):
 )
 def job_steps_p12(spark, folder):
     parsed = routes.parse_routes(V.routes(spark, folder))
-    rows = routes.step_rows(parsed, keep=("k", "date", "crawl"))
+    rows = stored(routes.step_rows(parsed, keep=("k", "date", "crawl")), "steps")
     numeric = (F.col("crawl").cast("bigint") * 1000 + F.col("OD")).cast("string")
     csv = rows.withColumns({"row_idx": F.expr("k * 10 + step_id"), "tripID": numeric}).drop("ID", "OD", "step_id", "coords", "k", "crawl")
     found = jobs.step_day_without_lines(csv)
@@ -89,9 +93,11 @@ def job_steps_p12(spark, folder):
         FROM answer_segments_v JOIN drawn USING (k, i, j)""",
 )
 def job_segments(spark, folder):
-    features = routes.segment_rows(routes.parse_routes(V.routes(spark, folder))).select("lineID", "tripID", "distance", "status", "coords")
-    rows, grown = jobs.segment_day(features, paths.empty(spark))
-    named = rows.join(grown.select("fid", F.col("_wkt").alias("wkt")), F.col("path_id") == F.col("fid"))
+    segments = routes.segment_rows(routes.parse_routes(V.routes(spark, folder)))
+    features = stored(segments.select("lineID", "tripID", "distance", "status", "coords"), "segments")
+    store = PathStore(spark, new_path(spark, "paths"))
+    rows = jobs.segment_day(features, store)
+    named = rows.join(store.load().select("fid", F.col("_wkt").alias("wkt")), F.col("path_id") == F.col("fid"))
     return named.selectExpr(
         "cast(lineID as bigint) as lineID", "cast(tripID as bigint) as tripID", "cast(distance as int) as distance",
         "cast(status as int) as status", "wkt",

@@ -10,11 +10,12 @@ from corridor.constants import SHORT_NAMES, STEP_COLUMNS
 from corridor.functions import ids
 from corridor.functions.numbers import speed_kmh
 from corridor.operators import frames, heat, paths, quality, spatial, steps, trips
+from corridor.operators.paths import PathStore
 from corridor.sources import sinks, tables
 
 
-def trip_day(features: DataFrame, csv: DataFrame, dictionary: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(trip rows with path id, grown dictionary) for line features and their CSV sibling.
+def trip_day(features: DataFrame, csv: DataFrame, store: PathStore, check: bool = True) -> DataFrame:
+    """Trip rows with path id, for line features and their CSV sibling; new lines go to ``store``.
 
     Both frames carry ``date`` and ``row_idx``. With ``check`` the job stops if the
     siblings disagree in length, duration or distance.
@@ -26,21 +27,20 @@ def trip_day(features: DataFrame, csv: DataFrame, dictionary: DataFrame, check:
         frames.assert_consistent(
             frames.consistency(whole, frames.cast_ints(csv, ["duration", "travelDis"]), ["date", "row_idx"], ["duration", "travelDis"])
         )
-    grown = paths.upsert(dictionary, whole)
+    grown = store.add(whole)
     joined = frames.positional_join(whole, csv.select("date", "row_idx", "tripID"), ["date", "row_idx"])
     digits = ids.clock_digits(F.col("tripID"))
     keyed = paths.lookup(joined, grown, how="inner").withColumn("t", ids.hour_fraction(digits))
-    return keyed.drop("coords"), grown
+    return keyed.drop("coords")
 
 
-def step_day(features: DataFrame, csv: DataFrame, dictionary: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(ordered step rows, grown dictionary) for step features and their CSV sibling."""
+def step_day(features: DataFrame, csv: DataFrame, store: PathStore, check: bool = True) -> DataFrame:
+    """Step rows in their fixed column order, for step features and their CSV sibling."""
     named = frames.cast_ints(features.withColumnRenamed("tripID", "OD"), ["OD", "distance", "duration", "tolls"])
     if check:
         frames.assert_consistent(frames.consistency(named, csv, ["date", "row_idx"], ["distance", "duration"]))
     joined = named.select("date", "row_idx", "ID", "OD", "coords").join(csv, ["date", "row_idx"])
-    grown = paths.upsert(dictionary, joined)
-    found = paths.lookup(joined, grown)
+    found = paths.lookup(joined, store.add(joined))
     width = ids.day_width(F.col("ID"), F.col("date"))
     shaped = found.withColumns(
         {
@@ -48,7 +48,7 @@ def step_day(features: DataFrame, csv: DataFrame, dictionary: DataFrame, check:
             "t": ids.hour_fraction(ids.clock_after_day(F.col("ID"), width)),
         }
     ).drop("tripID").withColumnRenamed("ID", "tripID")
-    return shaped.select(*STEP_COLUMNS), grown
+    return shaped.select(*STEP_COLUMNS)
 
 
 def step_day_without_lines(csv: DataFrame) -> DataFrame:
@@ -62,10 +62,9 @@ def step_day_without_lines(csv: DataFrame) -> DataFrame:
     return numbered.withColumn("fid", F.lit(None).cast("bigint")).select(*STEP_COLUMNS)
 
 
-def old_step_day(features: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
+def old_step_day(features: DataFrame, store: PathStore) -> DataFrame:
     """Step features with day, time, step number, path id and speed."""
-    grown = paths.upsert(dictionary, features)
-    found = paths.lookup(features, grown).withColumnRenamed("fid", "path_id")
+    found = paths.lookup(features, store.add(features)).withColumnRenamed("fid", "path_id")
     shaped = found.withColumns(
         {
             "day": F.substring("ID", 1, 2), "time": F.substring("ID", 3, 4),
@@ -73,18 +72,17 @@ def old_step_day(features: DataFrame, dictionary: DataFrame) -> tuple[DataFrame,
             "speed": speed_kmh(F.col("distance"), F.col("duration")),
         }
     )
-    return shaped.drop("coords"), grown
+    return shaped.drop("coords")
 
 
-def segment_day(features: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(traffic segments with path id and narrow types, grown dictionary)."""
+def segment_day(features: DataFrame, store: PathStore) -> DataFrame:
+    """Traffic segments with path id and narrow types."""
     whole = features.withColumns(
         {"lineID": F.col("lineID").try_cast("bigint"), "tripID": F.col("tripID").try_cast("bigint")}
     )
     whole = frames.cast_ints(whole, ["distance", "status"])
-    grown = paths.upsert(dictionary, whole)
-    found = paths.lookup(whole, grown).withColumnRenamed("fid", "path_id").drop("coords")
-    return frames.narrow_types(found), grown
+    found = paths.lookup(whole, store.add(whole)).withColumnRenamed("fid", "path_id").drop("coords")
+    return frames.narrow_types(found)
 
 
 def steps_to_parquet(merged: DataFrame, path: str) -> DataFrame:

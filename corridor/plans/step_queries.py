@@ -285,9 +285,9 @@ def semi_distinct(spark, folder):
 
 @query(
     "sym_diff",
-    """WITH a AS (SELECT l_suppkey AS node, l_linenumber AS n FROM lineitem), b AS (SELECT o_custkey AS node, o_orderstatus = 'F' AS f FROM orders),
-        c AS (SELECT node, CASE WHEN f THEN 1 ELSE 2 END AS n FROM b)
-        (SELECT node, n FROM a EXCEPT ALL SELECT node, n FROM c) UNION ALL (SELECT node, n FROM c EXCEPT ALL SELECT node, n FROM a)""",
+    """SELECT node, n, sum(sign)::BIGINT AS surplus FROM (
+        SELECT l_suppkey AS node, l_linenumber AS n, 1 AS sign FROM lineitem UNION ALL
+        SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END, -1 FROM orders) GROUP BY node, n HAVING sum(sign) <> 0""",
 )
 def sym_diff(spark, folder):
     a = V.table(spark, folder, "lineitem").selectExpr("l_suppkey as node", "l_linenumber as n")

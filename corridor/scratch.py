@@ -40,6 +40,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to a fresh Parquet folder of the shared scratch and read it back."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corridor.functions import ids
+from corridor.scratch import checkpoint, is_small
 
 CORRUPT = "_corrupt_record"
+MOST_SPLITS = 200_000
 
 
 def register_views(spark: SparkSession, paths: dict[str, str]) -> None:
@@ -56,8 +58,10 @@ def parquet_row_index(df: DataFrame) -> DataFrame:
 def file_row_index(df: DataFrame) -> DataFrame:
     """Row position inside its file for any file scan, from 0.
 
-    The scan numbers rows within its splits. One small row per split (file, start
-    offset) gives the rows before it in the same file.
+    The scan numbers rows within its splits and is checkpointed, since another
+    scan could be split differently. One row per split (file, start offset) gives
+    the rows before it in the same file; the splits are counted before they are
+    sent to every task.
     """
     split = ["_file", "_start"]
     numbered = df.withColumns(
@@ -66,11 +70,13 @@ def file_row_index(df: DataFrame) -> DataFrame:
             "_mid": F.monotonically_increasing_id(),
         }
     )
+    numbered = checkpoint(numbered)
     sizes = numbered.groupBy(*split).agg(F.min("_mid").alias("_base"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*split, "_base", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = checkpoint(offsets)
     return (
-        numbered.join(offsets, split)
+        numbered.join(F.broadcast(offsets) if is_small(offsets, MOST_SPLITS) else offsets, split)
         .withColumn("row_idx", F.col("_offset") + F.col("_mid") - F.col("_base"))
         .drop(*split, "_mid", "_base", "_offset")
     )
