@@ -65,7 +65,7 @@ def _pair_text(p: Column) -> Column:
 
 
 def point_wkt(p: Column) -> Column:
-    return F.concat(F.lit("POINT ("), _pair_text(p), F.lit(")"))
+    return F.when(p.isNotNull(), F.concat(F.lit("POINT ("), _pair_text(p), F.lit(")")))
 
 
 def line_wkt(coords: Column) -> Column:
