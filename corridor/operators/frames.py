@@ -171,27 +171,23 @@ def previous_in_group(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], column: str, probabilities: list[float], cuts: int = 200
+    df: DataFrame, keys: list[str], column: str, probabilities: list[float], margin: float = 0.002
 ) -> DataFrame:
     """Interpolated quantiles per group, exact for groups of any size.
 
-    Equal values collapse into counts first. Approximate quantiles (bounded
-    sketches) then cut each group into ranges of similar weight. The counts of the
-    earlier ranges give a range its offset, and only the few ranges that hold a
-    wanted rank are sorted.
+    Approximate quantiles (bounded sketches) a ``margin`` before and after each
+    probability cut a group into ranges. Exact counts give every range its offset,
+    so only the narrow ranges that hold a wanted rank are sorted. A poor sketch
+    makes a wider range, never a wrong result. Equal values collapse into counts.
     """
-    values = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*keys, F.col(column).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    edges = sorted({min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-margin, margin)})
+    known = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
+    cutting = known.groupBy(*keys).agg(
+        F.percentile_approx("_v", edges, 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_total")
     )
-    cutting = values.groupBy(*keys).agg(
-        F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 10 * cuts).alias("_cuts"),
-        F.sum("_n").alias("_total"),
-    )
-    ranged = values.join(cutting, keys).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    ).drop("_cuts")
+    values = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    below = sum(((F.col("_cuts")[i] < F.col("_v")).cast("int") for i in range(len(edges))), F.lit(0))
+    ranged = values.join(cutting, keys).withColumn("_range", below).drop("_cuts")
     weights = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_w"), F.max("_total").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     placed = weights.withColumn("_offset", F.coalesce(F.sum("_w").over(before), F.lit(0)))

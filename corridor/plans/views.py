@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corridor.constants import CITY_ORDER
+from corridor.sources.tables import spread
 
 TRIP_PERIODS = [
     "1996-01-01 12:00:00", "1997-06-30 11:45:00", "1998-12-31 13:45:00",
@@ -95,7 +96,7 @@ def steps(spark: SparkSession, folder: str) -> DataFrame:
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """embeddings as lines of 32 vertices across the study area."""
     at = "cast(embedding[{}] as double)"
-    return table(spark, folder, "embeddings").selectExpr(
+    return spread(table(spark, folder, "embeddings")).selectExpr(
         "vec_id as id",
         f"transform(sequence(0, 31), i -> {_point('113.5D + ' + at.format('2 * i'), '22.5D + ' + at.format('2 * i + 1'))}) as coords",
     )
@@ -114,7 +115,7 @@ def near_lines(spark: SparkSession, folder: str) -> DataFrame:
 def paths(spark: SparkSession, folder: str) -> DataFrame:
     """part as short paths over a few shared nodes, so that segments repeat."""
     node = lambda k: _point(f"113.0D + ({k}) * 0.01D", f"22.0D + ({k}) * ({k}) * 0.001D")
-    return table(spark, folder, "part").selectExpr(
+    return spread(table(spark, folder, "part")).selectExpr(
         "p_partkey as fid", "p_brand as source",
         f"array({node('p_size % 10')}, {node('(p_size + p_partkey) % 10')}, "
         f"{node('length(p_name) % 10')}, {node('p_partkey % 10')}) as coords",
@@ -140,7 +141,7 @@ def routes(spark: SparkSession, folder: str) -> DataFrame:
         f"'polyline', concat({spot.format('i', 'i')}, ';', {spot.format('i', 'i + 1')}, ';', {spot.format('i + 1', 'i + 2')}), "
         f"'tmcs', {tmcs}))"
     )
-    rows = table(spark, folder, "orders").selectExpr(
+    rows = spread(table(spark, folder, "orders")).selectExpr(
         "o_orderkey as k", "o_custkey as c", "cast(o_orderdate as date) as date"
     )
     return rows.selectExpr(

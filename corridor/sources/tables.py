@@ -18,6 +18,15 @@ def register_views(spark: SparkSession, paths: dict[str, str]) -> None:
         spark.read.parquet(path).createOrReplaceTempView(name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a scan of few splits over all cores before heavy per-row work.
+
+    A scan that already has a split per core, as any large one has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_csv(spark: SparkSession, path, schema: str, null_value: str | None = None) -> DataFrame:
     """Headered CSV; ``null_value='null'`` also reads that text as missing."""
     reader = spark.read.schema(schema).option("header", True)
