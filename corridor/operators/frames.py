@@ -1,9 +1,8 @@
 """General frame operators: composition, group statistics, set and key operations.
 
 Group statistics are aggregated first (partial aggregates collapse a hot group on
-the map side) and then joined back, so no task ever holds all rows of one group
-the way a whole-partition window would; a hot key in the join back is split by
-adaptive skew handling, because the aggregated side has one row per key.
+the map side) and then joined back with ``join_unique``, so no task ever holds
+all rows of one group the way a whole-partition window would.
 """
 
 from __future__ import annotations
@@ -16,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corridor.functions.numbers import to_int
+from corridor.scratch import checkpoint, is_small
+
+SMALL_SIDE = 100_000
+HOT_SHARE = 1000
 
 
 def compose(df: DataFrame, steps: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -23,10 +26,35 @@ def compose(df: DataFrame, steps: Iterable[Callable[[DataFrame], DataFrame]]) ->
     return reduce(lambda frame, step: frame.transform(step), steps, df)
 
 
-def with_group_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
-    """Add per-group aggregates to the rows; rows with a null key vanish."""
-    summary = df.groupBy(*keys).agg(*[value.alias(name) for name, value in stats.items()])
-    return df.join(summary, keys, "inner")
+def join_unique(
+    df: DataFrame, side: DataFrame, keys: list[str], how: str = "inner",
+    counts: DataFrame | None = None, small: int = SMALL_SIDE,
+) -> DataFrame:
+    """Join rows with a narrow ``side`` that has one row per key; hot keys are not shuffled.
+
+    A side of up to ``small`` rows (counted) goes to every task. Beyond that, the
+    keys that hold more than a thousandth of the repeated rows (fewer than a
+    thousand, whatever the data) meet their side rows by broadcast, and only the
+    other rows are shuffled. ``counts`` gives the rows per key as ``_n`` if known.
+    """
+    if is_small(side, small):
+        return df.join(F.broadcast(side), keys, how)
+    if counts is None:
+        counts = checkpoint(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("_n") * HOT_SHARE > total).select(*keys))
+    met = df.join(hot, keys, "left_semi").join(F.broadcast(side.join(hot, keys, "left_semi")), keys, how)
+    return met.unionByName(df.join(hot, keys, "left_anti").join(side, keys, how))
+
+
+def with_group_stats(df: DataFrame, keys: list[str], how: str = "inner", **stats: Column) -> DataFrame:
+    """Add per-group aggregates to the rows; with an inner join rows with a null key vanish.
+
+    The aggregate is checkpointed, so that it is computed once and its size known.
+    """
+    measures = [value.alias(name) for name, value in stats.items()]
+    summary = checkpoint(df.groupBy(*keys).agg(*measures, F.count(F.lit(1)).alias("_n")))
+    return join_unique(df, summary.drop("_n"), keys, how, summary.select(*keys, "_n"))
 
 
 def cast_ints(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -177,36 +205,42 @@ def exact_quantiles(
 
     Approximate quantiles (bounded sketches) a ``margin`` before and after each
     probability cut a group into ranges. Exact counts give every range its offset,
-    so only the narrow ranges that hold a wanted rank are sorted. A poor sketch
-    makes a wider range, never a wrong result. Equal values collapse into counts.
+    so only the rows of the narrow ranges that hold a wanted rank are shuffled and
+    sorted. A poor sketch makes a wider range, never a wrong result. Equal values
+    collapse into counts.
     """
     edges = sorted({min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-margin, margin)})
     known = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
-    cutting = known.groupBy(*keys).agg(
-        F.percentile_approx("_v", edges, 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_total")
+    cutting = with_group_stats(
+        known, keys, _cuts=F.percentile_approx("_v", edges, 10_000), _total=F.count(F.lit(1))
     )
-    values = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     below = sum(((F.col("_cuts")[i] < F.col("_v")).cast("int") for i in range(len(edges))), F.lit(0))
-    ranged = values.join(cutting, keys).withColumn("_range", below).drop("_cuts")
-    weights = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_w"), F.max("_total").alias("_t"))
+    ranged = cutting.withColumn("_range", below).drop("_cuts")
+    weights = checkpoint(
+        ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_w"), F.max("_total").alias("_total"))
+    )
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     placed = weights.withColumn("_offset", F.coalesce(F.sum("_w").over(before), F.lit(0)))
 
-    def target(total: Column, p: float) -> Column:
-        return (total - 1) * F.lit(float(p))
+    def target(p: float) -> Column:
+        return (F.col("_total") - 1) * F.lit(float(p))
 
     wanted = F.lit(False)
     for p in probabilities:
-        for at in (F.floor(target(F.col("_t"), p)), F.ceil(target(F.col("_t"), p))):
+        for at in (F.floor(target(p)), F.ceil(target(p))):
             wanted = wanted | ((F.col("_offset") <= at) & (at < F.col("_offset") + F.col("_w")))
-    offsets = placed.where(wanted).select(*keys, "_range", "_offset")
+    chosen = checkpoint(placed.where(wanted).select(*keys, "_range", "_offset"))
+    values = (
+        join_unique(ranged, chosen, [*keys, "_range"])
+        .groupBy(*keys, "_range", "_offset", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    )
     running = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.join(offsets, [*keys, "_range"]).withColumn("_upto", F.sum("_n").over(running)).withColumns(
-        {"_to": F.col("_offset") + F.col("_upto"), "_from": F.col("_offset") + F.col("_upto") - F.col("_n")}
+    ranked = values.withColumn("_to", F.col("_offset") + F.sum("_n").over(running)).withColumn(
+        "_from", F.col("_to") - F.col("_n")
     )
     picks = []
     for i, p in enumerate(probabilities):
-        rank = target(F.col("_total"), p)
+        rank = target(p)
         for side, at in (("low", F.floor(rank)), ("high", F.ceil(rank))):
             hit = (F.col("_from") <= at) & (at < F.col("_to"))
             picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))

@@ -109,7 +109,7 @@ def chain_roads(chain_rows: DataFrame, roads: DataFrame, block: int = 65536) ->
     """Road ids along each chain, in order, equal neighbours collapsed."""
     chain = ["chain_src", "chain_dst"]
     named = roads.select(F.col("s").alias("src"), F.col("e").alias("dst"), "rid")
-    along = chain_rows.join(named, ["src", "dst"]).select(*chain, "position", "rid").distinct()
+    along = checkpoint(chain_rows.join(named, ["src", "dst"]).select(*chain, "position", "rid").distinct())
     marked = previous_in_group(along, chain, "position", "rid", "rid", "_before", block)
     return marked.where(F.col("_before").isNull() | (F.col("_before") != F.col("rid"))).drop("_before")
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from corridor.functions import geometry as G
 from corridor.functions.numbers import ratio
-from corridor.operators.frames import dense_ids
+from corridor.operators.frames import dense_ids, with_group_stats
 from corridor.operators.graph import components
 from corridor.operators.spatial import near_pairs
+from corridor.scratch import checkpoint
 
 SEGMENT = ["a_lon", "a_lat", "b_lon", "b_lat"]
 
@@ -45,10 +46,9 @@ def segment_count(trips: DataFrame, paths: DataFrame) -> DataFrame:
 def segment_ratio(trips: DataFrame, paths: DataFrame) -> DataFrame:
     """Use of a segment relative to the busiest one of the OD, mean over the ODs that use it."""
     lines = path_use(trips, ["OD"]).join(paths.select("fid", "coords"), "fid")
-    counts = explode_segments(lines).groupBy("OD", *SEGMENT).agg(F.sum("used").alias("n"))
-    busiest = counts.groupBy("OD").agg(F.max("n").alias("top"))
+    counts = checkpoint(explode_segments(lines).groupBy("OD", *SEGMENT).agg(F.sum("used").alias("n")))
     return (
-        counts.join(busiest, "OD").withColumn("r", ratio(F.col("n"), F.col("top")))
+        with_group_stats(counts, ["OD"], top=F.max("n")).withColumn("r", ratio(F.col("n"), F.col("top")))
         .groupBy(*SEGMENT).agg(F.avg("r").alias("freq"))
     )
 
@@ -84,5 +84,5 @@ def merge_equal_edges(
 def merge_fine(lines: DataFrame, freq: str = "freq", cap: float | None = None, decimal: int = 4) -> DataFrame:
     """Cut lines into segments, add up identical ones, then merge nearly equal ones."""
     parts = explode_segments(lines).groupBy(*SEGMENT).agg(F.sum(freq).alias(freq))
-    numbered = segment_coords(dense_ids(parts, SEGMENT, "id", F.lit(0)))
+    numbered = segment_coords(checkpoint(dense_ids(checkpoint(parts), SEGMENT, "id", F.lit(0))))
     return merge_equal_edges(numbered, "id", freq, "coords", cap, decimal, SEGMENT)

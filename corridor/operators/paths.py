@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corridor import schemas
 from corridor.functions import geometry as G
-from corridor.operators.frames import dense_ids
+from corridor.operators.frames import dense_ids, join_unique
 from corridor.scratch import checkpoint
 
 KEY = ["key_hi", "key_lo"]
@@ -64,8 +64,7 @@ def upsert(dictionary: DataFrame, lines: DataFrame, coords: str = "coords", next
 
 def lookup(lines: DataFrame, dictionary: DataFrame, coords: str = "coords", how: str = "left") -> DataFrame:
     """Add ``fid`` to line rows: null for an unknown line, or no row with ``how='inner'``."""
-    found = keyed(lines, coords).join(dictionary.select("fid", *KEY), KEY, how)
-    return found.drop(*KEY)
+    return join_unique(keyed(lines, coords), dictionary.select("fid", *KEY), KEY, how).drop(*KEY)
 
 
 def get(dictionary: DataFrame, fids: DataFrame) -> DataFrame:

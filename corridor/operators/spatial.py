@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corridor.constants import BRIDGE_NAMES, BRIDGE_RINGS
 from corridor.functions import geometry as G
-from corridor.scratch import is_small
+from corridor.scratch import checkpoint, is_small
 
 FEW_POLYGONS = 64
 
@@ -138,7 +138,7 @@ def almost_equal(lines: DataFrame, key: str, coords: str = "coords", decimal: in
     A line without a partner has no row. The list of partners is kept as rows,
     so that no task has to hold a long one.
     """
-    pairs = near_pairs(lines, key, coords, decimal)
+    pairs = checkpoint(near_pairs(lines, key, coords, decimal))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     selves = both.select("a", F.col("a").alias("b")).distinct()
     return both.unionByName(selves).select(F.col("a").alias(key), F.col("b").alias("almost_equal"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.constants import CITY_ORDER, EARTH_RADIUS_KM, INGEST_PERIODS
 from corridor.functions import calendar, ids, text
 from corridor.functions.geometry import haversine
 from corridor.functions.numbers import ratio, to_int
-from corridor.operators.frames import exact_quantiles, with_group_stats
+from corridor.operators.frames import exact_quantiles, join_unique, with_group_stats
+from corridor.scratch import checkpoint
 
 
 def poi_distances(poi: DataFrame, radius: float = EARTH_RADIUS_KM) -> DataFrame:
@@ -81,8 +82,8 @@ def bridge_share(trips: DataFrame) -> DataFrame:
     keys = ["o", "d", "period"]
     known = trips.dropna(subset=[*keys, "bridge"])
     counts = known.groupBy(*keys, "bridge").agg(F.count("OD").alias("trips"))
-    total = counts.groupBy(*keys).agg(F.sum("trips").alias("_sum"))
-    return counts.join(total, keys).withColumn("percentage", ratio(F.col("trips"), F.col("_sum"))).drop("_sum")
+    total = F.sum("trips").over(Window.partitionBy(*keys))  # one row per bridge by now
+    return counts.withColumn("percentage", ratio(F.col("trips"), total))
 
 
 def bridge_share_pivot(trips: DataFrame, bridges: list[str], periods: list[int]) -> DataFrame:
@@ -99,11 +100,11 @@ def _mark_outliers(df: DataFrame, keys: list[str], column: str, factor: float) -
     null key belong to no group and are outliers too.
     """
     spread = F.stddev_samp(column) * F.lit(factor)
-    summary = df.groupBy(*keys).agg(
-        F.round(F.avg(column) - spread, 9).alias("_lower"), F.round(F.avg(column) + spread, 9).alias("_upper")
+    bounded = with_group_stats(
+        df, keys, "left", _lower=F.round(F.avg(column) - spread, 9), _upper=F.round(F.avg(column) + spread, 9)
     )
     inside = F.col(column).between(F.col("_lower"), F.col("_upper"))
-    return df.join(summary, keys, "left").withColumn("_kept", F.coalesce(inside, F.lit(False)))
+    return bounded.withColumn("_kept", F.coalesce(inside, F.lit(False)))
 
 
 def split_outliers(
@@ -132,12 +133,12 @@ def equal_weight(df: DataFrame, columns: list[str], keys: list[str] = ["o", "d",
 
 def box_summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Quartiles, whiskers (extreme values within 1.5 IQR) and outlier count per group."""
-    quartiles = exact_quantiles(df, keys, column, [0.25, 0.5, 0.75])
+    quartiles = checkpoint(exact_quantiles(df, keys, column, [0.25, 0.5, 0.75]))
     reach = (F.col("q75") - F.col("q25")) * 1.5
     value = F.col(column)
     inside = value.between(F.col("q25") - reach, F.col("q75") + reach)
     return (
-        df.select(*keys, column).join(quartiles, keys)
+        join_unique(df.select(*keys, column), quartiles, keys, counts=quartiles.select(*keys, F.col("n").alias("_n")))
         .groupBy(*keys, "n", "q25", "q50", "q75")
         .agg(
             F.min(F.when(inside, value)).alias("whisker_low"),

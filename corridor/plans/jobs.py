@@ -11,6 +11,7 @@ from corridor.functions import ids
 from corridor.functions.numbers import speed_kmh
 from corridor.operators import frames, heat, paths, quality, spatial, steps, trips
 from corridor.operators.paths import PathStore
+from corridor.scratch import checkpoint
 from corridor.sources import sinks, tables
 
 
@@ -116,14 +117,16 @@ def bridge_series(early: DataFrame, late: DataFrame, bounds=None, last_slot: flo
         )
 
     later = late.withColumn("speed", speed_kmh(F.col("distance"), F.col("duration"))).drop("period")
-    both = mean_speed(early).unionByName(mean_speed(later))
+    both = checkpoint(mean_speed(early).unionByName(mean_speed(later)))
     return steps.drop_off_cadence(steps.bridge_congestion(both), last_slot)
 
 
 def enrich_trips(store: DataFrame, dictionary: DataFrame, shapes: DataFrame, poi: DataFrame, bounds=None) -> DataFrame:
     """Trips with bridge, origin, destination, period and congestion index."""
-    crossed = spatial.join_polygons(dictionary, shapes, "fid").select("fid", "bridge")
-    joined = store.join(crossed, "fid", "left").drop("OD", "period")
+    crossed = spatial.join_polygons(dictionary, shapes, "fid").where("bridge is not null")
+    per_path = checkpoint(crossed.groupBy("fid").agg(F.collect_set("bridge").alias("bridges")))  # at most all bridges
+    named = frames.join_unique(store.drop("OD", "period", "bridge"), per_path, ["fid"], "left")
+    joined = named.withColumn("bridge", F.explode_outer("bridges")).drop("bridges")
     return frames.compose(
         trips.add_od(joined, poi), [lambda f: trips.add_period(f, "time", bounds), trips.congestion_index]
     )
@@ -137,7 +140,7 @@ def prepare_day(day: DataFrame, dictionary: DataFrame, poi: DataFrame) -> DataFr
 def od_heat_map(freq: DataFrame, dictionary: DataFrame, od: int, period: int, fine: bool = False, cap: float | None = None) -> DataFrame:
     """Merged step heat map of one OD and period, by whole step lines or by segments."""
     used = freq.where((F.col("OD") == od) & (F.col("period") == period)).withColumn("freq", F.col("nums").cast("double"))
-    lines = dictionary.select("fid", "coords", "_wkt").join(used, "fid", "right")
+    lines = checkpoint(dictionary.select("fid", "coords", "_wkt").join(used, "fid", "right"))
     merged = heat.merge_equal_edges(lines.where("coords is not null"), "fid", cap=cap)
     if not fine:
         return merged

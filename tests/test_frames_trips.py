@@ -36,6 +36,19 @@ def test_box_summary(spark):
     assert (row.q25, row.q50, row.q75, row.whisker_low, row.whisker_high, row.fliers) == (2.0, 3.0, 4.0, 1.0, 4.0, 1)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_unique_splits_hot_keys(spark, how):
+    rng = random.Random(4)
+    rows = [(1, i) for i in range(3000)] + [(rng.randint(2, 2500), -i) for i in range(3000)] + [(None, 7)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    side = spark.range(2000).selectExpr("cast(id as int) as k", "id * 3 as w")
+    want = values(df.join(side, "k", how).fillna(-9), "k", "v", "w")
+    for small in (100_000, 10):
+        assert values(frames.join_unique(df, side, ["k"], how, small=small).fillna(-9), "k", "v", "w") == want
+    plan = frames.join_unique(df, side, ["k"], how, small=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "LeftAnti" in plan
+
+
 def test_dense_ids(spark):
     df = spark.range(5000).selectExpr("id * 7 as k")
     for buckets in (1, 16, 4096):
