@@ -47,6 +47,11 @@ def join_unique(
     return met.unionByName(df.join(hot, keys, "left_anti").join(side, keys, how))
 
 
+def join_small(df: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", small: int = SMALL_SIDE) -> DataFrame:
+    """Join with a dimension table: broadcast if counted small, else left to Spark."""
+    return df.join(F.broadcast(side) if is_small(side, small) else side, keys, how)
+
+
 def with_group_stats(df: DataFrame, keys: list[str], how: str = "inner", **stats: Column) -> DataFrame:
     """Add per-group aggregates to the rows; with an inner join rows with a null key vanish.
 

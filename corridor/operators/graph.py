@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corridor.functions import geometry as G
-from corridor.operators.frames import dense_ids, previous_in_group
+from corridor.operators.frames import dense_ids, join_unique, previous_in_group, with_group_stats
 from corridor.scratch import checkpoint
 
 
@@ -77,8 +77,9 @@ def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     numbered = checkpoint(dense_ids(edge_set(edges), ["src", "dst"], "eid", F.lit(0)))
     through = degrees(numbered).where("indegree = 1 and outdegree = 1").select(F.col("node").alias("src"))
-    before = numbered.select(F.col("dst").alias("src"), F.col("eid").alias("prev")).join(through, "src", "left_semi")
-    linked = numbered.join(before, "src", "left").select(
+    ahead = numbered.select(F.col("dst").alias("src"), F.col("eid").alias("prev"))
+    before = checkpoint(ahead.join(through, "src", "left_semi"))
+    linked = join_unique(numbered, before, ["src"], "left").select(
         "eid", "src", "dst", F.col("prev").alias("jump"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("bigint").alias("hops"),
         F.when(F.col("prev").isNull(), F.col("src")).alias("chain_src"),
         F.when(F.col("prev").isNull(), F.col("dst")).alias("chain_dst"),
@@ -125,17 +126,13 @@ def components(pairs: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("_m"))
-        large = both.join(low, "a").where("b > a").select(
+        large = with_group_stats(both, ["a"], _m=F.min("b")).where("b > a").select(
             F.col("b").alias("a"), F.least("a", "_m").alias("b")
-        ).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        floor = down.groupBy("a").agg(F.min("b").alias("_m"))
-        small = (
-            down.join(floor, "a").where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-            .unionByName(floor.select("a", F.col("_m").alias("b"))).distinct()
         )
-        edges = checkpoint(small)
+        down = checkpoint(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        low = with_group_stats(down, ["a"], _m=F.min("b"))
+        linked = low.where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        edges = checkpoint(linked.unionByName(low.select("a", F.col("_m").alias("b"))).distinct())
         mark = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
         ).first()

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from corridor.functions import geometry as G
 from corridor.functions.numbers import ratio
-from corridor.operators.frames import dense_ids, with_group_stats
+from corridor.operators.frames import dense_ids, join_unique, with_group_stats
 from corridor.operators.graph import components
-from corridor.operators.spatial import near_pairs
+from corridor.operators.spatial import near_links
 from corridor.scratch import checkpoint
 
 SEGMENT = ["a_lon", "a_lat", "b_lon", "b_lat"]
@@ -63,15 +63,16 @@ def merge_equal_edges(
     highest frequency stands for it, the lowest ``ties`` columns (the key) deciding
     among equals. With ``cap``, a group whose sum would exceed it stays as it is.
     """
-    group = components(near_pairs(edges, key, coords, decimal)).withColumnRenamed("node", key)
-    tagged = edges.join(group, key, "left")
+    group = components(near_links(edges, key, coords, decimal)).withColumnRenamed("node", key)
+    tagged = checkpoint(edges.join(group, key, "left"))
     order = F.struct(-F.col(freq), *(ties or [key]))
-    summary = tagged.where("component is not null").groupBy("component").agg(
+    summary = checkpoint(tagged.where("component is not null").groupBy("component").agg(
         F.sum(freq).alias("_sum"), F.count(F.lit(1)).alias("_members"), F.min_by(key, order).alias("_leader")
-    )
+    ))
+    counts = summary.select("component", F.col("_members").alias("_n"))
     if cap is not None:
         summary = summary.where(F.round("_sum", 9) <= F.lit(cap))
-    full = tagged.join(summary, "component", "left")
+    full = join_unique(tagged, summary, ["component"], "left", counts)
     merged = F.col("_leader").isNotNull()
     return (
         full.where(~merged | (F.col(key) == F.col("_leader")))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corridor.constants import BRIDGE_NAMES, BRIDGE_RINGS
 from corridor.functions import geometry as G
+from corridor.operators.frames import join_unique
+from corridor.operators.graph import components
 from corridor.scratch import checkpoint, is_small
 
 FEW_POLYGONS = 64
@@ -95,43 +97,131 @@ def _near_cells(lon: Column, lat: Column, cell: float, reach: float) -> Column:
     return _cells(box, cell)
 
 
-def near_pairs(
-    lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4, boxes: bool = True
+def _near_join(
+    lines: DataFrame, others: DataFrame, key: str, coords: str, tolerance: float, boxes: bool, ordered: bool,
+    group: str | None = None,
 ) -> DataFrame:
-    """Pairs ``(a, b)``, ``a < b``, of lines equal vertex by vertex within a tolerance.
+    """Pairs ``(a, b)`` of a line and another one that are equal within the tolerance.
+
+    With ``group`` only lines of different groups are paired.
 
-    ``lines`` must hold each geometry once. Both ends of a line are put on a grid
-    of four tolerances; one side is copied to the cells its ends can reach, so
-    that pairs meet on an equality of vertex count and both end cells and each
-    pair is found once. ``boxes`` keeps only pairs whose bounding boxes meet.
+    Both ends of a line are put on a grid of four tolerances; ``others`` are copied
+    to the cells their ends can reach, so that pairs meet on an equality of vertex
+    count and both end cells, and each pair is found once.
     """
-    tolerance = 0.5 * 10.0**-decimal
     cell, reach = 4.0 * tolerance, 1.001 * tolerance
     line = F.col(coords)
-    ends = lines.where(F.size(line) > 0).select(
-        F.col(key).alias("_id"), line.alias("_line"), G.bounds(line).alias("_box"), F.size(line).alias("_n"),
-        G.start_point(line).alias("_s"), G.end_point(line).alias("_e"),
-    )
+
+    def ends(df: DataFrame) -> DataFrame:
+        return df.where(F.size(line) > 0).select(
+            F.col(key).alias("_id"), line.alias("_line"), G.bounds(line).alias("_box"), F.size(line).alias("_n"),
+            (F.col(group) if group else F.lit(0)).alias("_g"), G.start_point(line).alias("_s"), G.end_point(line).alias("_e"),
+        )
+
     at = {
         f"_{side}{axis}": F.floor(F.col(f"_{side}.{name}") / cell)
         for side, (axis, name) in product("se", (("x", "lon"), ("y", "lat")))
     }
     grid = list(at)
-    left = ends.withColumns(at).drop("_s", "_e")
+    left = ends(lines).withColumns(at).drop("_s", "_e")
     right = (
-        ends.withColumn("_c", F.explode(_near_cells(F.col("_s.lon"), F.col("_s.lat"), cell, reach)))
+        ends(others).withColumn("_c", F.explode(_near_cells(F.col("_s.lon"), F.col("_s.lat"), cell, reach)))
         .withColumns({"_sx": F.col("_c.cx"), "_sy": F.col("_c.cy")})
         .withColumn("_c", F.explode(_near_cells(F.col("_e.lon"), F.col("_e.lat"), cell, reach)))
         .withColumns({"_ex": F.col("_c.cx"), "_ey": F.col("_c.cy")})
-        .select("_n", *grid, F.col("_id").alias("_id2"), F.col("_line").alias("_line2"), F.col("_box").alias("_box2"))
+        .select("_n", *grid, F.col("_id").alias("_id2"), F.col("_g").alias("_g2"), F.col("_line").alias("_line2"), F.col("_box").alias("_box2"))
     )
-    matched = (F.col("_id") < F.col("_id2")) & G.almost_equal(F.col("_line"), F.col("_line2"), tolerance)
+    different = F.col("_id") < F.col("_id2") if ordered else F.col("_id") != F.col("_id2")
+    if group:
+        different = different & (F.col("_g") != F.col("_g2"))
+    matched = different & G.almost_equal(F.col("_line"), F.col("_line2"), tolerance)
     if boxes:
-        matched = (F.col("_id") < F.col("_id2")) & G.boxes_meet(F.col("_box"), F.col("_box2")) & matched
+        matched = different & G.boxes_meet(F.col("_box"), F.col("_box2")) & matched
     joined = left.join(right, ["_n", *grid]).where(matched)
     return joined.select(F.col("_id").alias("a"), F.col("_id2").alias("b"))
 
 
+def near_pairs(
+    lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4, boxes: bool = True
+) -> DataFrame:
+    """Pairs ``(a, b)``, ``a < b``, of lines equal vertex by vertex within a tolerance.
+
+    ``lines`` must hold each geometry once. ``boxes`` keeps only pairs whose bounding
+    boxes meet. The pairs are the result here; to merge groups use ``near_links``.
+    """
+    return _near_join(lines, lines, key, coords, 0.5 * 10.0**-decimal, boxes, True)
+
+
+def _small_cells(coords: Column, box: Column, tolerance: float) -> list[Column]:
+    """Key of lines that are surely nearly equal to each other, as two longs.
+
+    All vertices share cells whose diagonal is below the tolerance. Near lines at
+    least a tolerance wide and high always have meeting boxes; a thinner line is
+    keyed with its exact extent in the thin direction, which makes boxes meet too.
+    """
+    side = tolerance * 0.7
+    cells = F.transform(
+        coords, lambda p: F.struct(F.floor(p["lon"] / side).alias("x"), F.floor(p["lat"] / side).alias("y"))
+    )
+    wide = F.lit(tolerance * 1.001)
+    thin = [
+        F.when(box[high] - box[low] < wide, F.struct(box[low], box[high])) for low, high in (("x0", "x1"), ("y0", "y1"))
+    ]
+    return [F.xxhash64(cells, *thin), F.xxhash64(F.lit("cells"), cells, *thin)]
+
+
+def near_links(
+    lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4
+) -> DataFrame:
+    """Links ``(a, b)`` that connect just the lines that near-equal pairs connect.
+
+    A dense group is not listed pair by pair. Lines that share small cells are
+    surely near and link to one of them, their head. Every line is then compared
+    with the heads around it. Only cells whose heads are still apart after that
+    are compared line by line.
+    """
+    tolerance = 0.5 * 10.0**-decimal
+    hi, lo = _small_cells(F.col(coords), G.bounds(F.col(coords)), tolerance)
+    celled = checkpoint(lines.where(F.size(coords) > 0).select(key, coords, hi.alias("_hi"), lo.alias("_lo")))
+    heads = celled.groupBy("_hi", "_lo").agg(F.min_by(coords, key).alias(coords), F.min(key).alias(key), F.count(F.lit(1)).alias("_n"))
+    heads = checkpoint(heads)
+    headed = join_unique(
+        celled, heads.select("_hi", "_lo", F.col(key).alias("_head")), ["_hi", "_lo"], counts=heads.select("_hi", "_lo", "_n")
+    )
+    headed = checkpoint(headed.drop("_hi", "_lo"))
+    stars = headed.where(F.col(key) != F.col("_head")).select(F.col(key).alias("a"), F.col("_head").alias("b"))
+    to_heads = _near_join(headed, heads, key, coords, tolerance, True, False)
+    links = checkpoint(stars.unionByName(to_heads))
+    crowded = heads.where("_n > 1").select(key)
+    if crowded.isEmpty():
+        return links
+    return links.unionByName(_links_between_cells(headed, heads, links, key, coords, tolerance))
+
+
+def _links_between_cells(
+    headed: DataFrame, heads: DataFrame, links: DataFrame, key: str, coords: str, tolerance: float
+) -> DataFrame:
+    """Near pairs of lines in different cells that ``links`` leave unconnected.
+
+    Lines of two cells can only be near if their heads are within two tolerances
+    more. Cell pairs already connected, as all within a dense group are, drop out
+    before any of their lines meet.
+    """
+    group = components(links).select(F.col("node").alias(key), F.col("component").alias("_group"))
+    crowded = heads.where("_n > 1").join(group, key, "left").withColumn("_group", F.coalesce("_group", key))
+    crowded = checkpoint(crowded)
+    open_cells = checkpoint(_near_join(crowded, crowded, key, coords, 3.0 * tolerance, False, True, "_group"))
+    if open_cells.isEmpty():
+        return links.limit(0)
+    mine = headed.select(F.col("_head").alias("a"), F.col(key).alias("_id"), F.col(coords).alias("_line"))
+    theirs = headed.select(F.col("_head").alias("b"), F.col(key).alias("_id2"), F.col(coords).alias("_line2"))
+    met = open_cells.join(mine, "a").join(theirs, "b")
+    near = G.boxes_meet(G.bounds(F.col("_line")), G.bounds(F.col("_line2"))) & G.almost_equal(
+        F.col("_line"), F.col("_line2"), tolerance
+    )
+    return met.where(near).select(F.col("_id").alias("a"), F.col("_id2").alias("b"))
+
+
 def almost_equal(lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4) -> DataFrame:
     """One row per line and nearly equal partner, the line itself included.
 

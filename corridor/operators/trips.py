@@ -9,7 +9,7 @@ from corridor.constants import CITY_ORDER, EARTH_RADIUS_KM, INGEST_PERIODS
 from corridor.functions import calendar, ids, text
 from corridor.functions.geometry import haversine
 from corridor.functions.numbers import ratio, to_int
-from corridor.operators.frames import exact_quantiles, join_unique, with_group_stats
+from corridor.operators.frames import exact_quantiles, join_small, join_unique, with_group_stats
 from corridor.scratch import checkpoint
 
 
@@ -24,7 +24,7 @@ def add_od(trips: DataFrame, poi: DataFrame) -> DataFrame:
     keyed = trips.withColumns(
         {"OD": ids.od_of(F.col("tripID")), "speed": F.col("speed").cast("float")}
     )
-    return keyed.join(poi.select("OD", "o", "d"), "OD", "inner").withColumns(
+    return join_small(keyed, poi.select("OD", "o", "d"), ["OD"]).withColumns(
         {
             "o_rank": text.city_rank(F.col("o"), CITY_ORDER),
             "d_rank": text.city_rank(F.col("d"), CITY_ORDER),
@@ -72,7 +72,7 @@ def congestion_index(df: DataFrame, keys: list[str] = ["OD"], speed: str = "spee
 def circuity(trips: DataFrame, poi: DataFrame) -> DataFrame:
     """Travelled distance over great-circle distance of the same origin and destination."""
     direct = poi_distances(poi).select("o", "d", "great_circle_dis")
-    return trips.join(direct, ["o", "d"], "inner").withColumn(
+    return join_small(trips, direct, ["o", "d"]).withColumn(
         "circuity_factor", ratio(F.col("travelDis") / 1000.0, F.col("great_circle_dis"))
     )
 

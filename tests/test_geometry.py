@@ -118,6 +118,40 @@ def test_near_pairs_against_brute_force(spark, boxes):
     assert got == want and len(want) > 100
 
 
+def groups_of(pairs):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        ra, rb = find(a), find(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    return {x: find(x) for x in list(parent)}
+
+
+@pytest.mark.parametrize("kind", ["sparse", "dense", "flat", "tiny"])
+def test_near_links_connect_what_pairs_connect(spark, kind):
+    rng = random.Random(kind)
+    area, jitter = {"sparse": (3e-4, 2e-5), "dense": (0, 6e-5), "flat": (0, 8e-5), "tiny": (1e-4, 2e-5)}[kind]
+    wide, high = {"flat": (0.01, 0.0), "tiny": (2e-5, 2e-5)}.get(kind, (0.01, 0.01))
+    shapes = set()
+    while len(shapes) < 260:
+        x, y = 113 + rng.uniform(-area, area), 22 + rng.uniform(-area, area)
+        ends = [(x + dx + rng.uniform(-jitter, jitter), y + dy + rng.uniform(-jitter, jitter)) for dx, dy in ((0, 0), (wide, high))]
+        if kind == "flat":
+            ends = [(px, round(ends[0][1], 5)) for px, _ in ends]
+        shapes.add(tuple((round(px, 6), round(py, 6)) for px, py in ends))
+    shapes = [list(s) for s in sorted(shapes)]
+    links = [(r.a, r.b) for r in spatial.near_links(frame(spark, *shapes), "id").collect()]
+    pairs = brute_pairs(shapes, 0.5e-4, True)
+    assert groups_of(links) == groups_of(pairs) and len(pairs) > 50
+    assert {(min(p), max(p)) for p in links} <= pairs
+
+
 def test_near_equal_is_directed(spark):
     a, b = (114.057868, 22.543099), (114.058, 22.544)
     near = [(a[0] + 5e-6, a[1] - 5e-6), b]
@@ -185,3 +219,14 @@ def test_merge_fine_keeps_the_total(spark):
     df = spark.createDataFrame([(c, float(i + 1)) for i, c in enumerate(shapes)], "coords array<struct<lon:double,lat:double>>, freq double")
     got = sorted((r.a_lon, r.b_lon, r.freq, r.members) for r in heat.merge_fine(df).collect())
     assert got == [(113.00001, 113.1, 3.0, 2), (113.1, 113.0, 3.0, 1), (113.1, 113.2, 1.0, 1)]
+
+
+def test_near_links_between_crowded_cells(spark):
+    """Two cells whose heads are far from every line of the other cell, joined by two other members."""
+    base = 3.5e-5 * 3230000
+    at = [base + d for d in (1e-6, 33e-6, 104e-6, 71e-6)]
+    shapes = [[(x, 22.0000005), (x + 0.01, 22.0100005)] for x in at]
+    pairs = brute_pairs(shapes, 0.5e-4, True)
+    assert pairs == {(0, 1), (2, 3), (1, 3)}
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in spatial.near_links(frame(spark, *shapes), "id").collect()}
+    assert links == pairs
