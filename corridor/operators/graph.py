@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corridor.functions import geometry as G
-from corridor.operators.frames import dense_ids, join_unique, previous_in_group, with_group_stats
-from corridor.scratch import checkpoint
+from corridor.operators.frames import SMALL_SIDE, dense_ids, join_unique, previous_in_group, with_group_stats
+from corridor.scratch import checkpoint, is_small
 
 
 def endpoints(lines: DataFrame, coords: str = "coords") -> DataFrame:
@@ -123,14 +123,12 @@ def components(pairs: DataFrame) -> DataFrame:
     until the edges are stars. A component is named by its smallest node.
     """
     edges = checkpoint(pairs.select("a", "b").where("a <> b").distinct())
+    with_lowest = _small_lowest if is_small(edges, SMALL_SIDE) else _lowest
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = with_group_stats(both, ["a"], _m=F.min("b")).where("b > a").select(
-            F.col("b").alias("a"), F.least("a", "_m").alias("b")
-        )
-        down = checkpoint(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        low = with_group_stats(down, ["a"], _m=F.min("b"))
+        large = with_lowest(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "_m").alias("b"))
+        low = with_lowest(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         linked = low.where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
         edges = checkpoint(linked.unionByName(low.select("a", F.col("_m").alias("b"))).distinct())
         mark = edges.agg(
@@ -142,3 +140,13 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def _lowest(edges: DataFrame) -> DataFrame:
+    """Add each node's lowest neighbour; a hub's edges are not shuffled to one task."""
+    return with_group_stats(checkpoint(edges), ["a"], _m=F.min("b"))
+
+
+def _small_lowest(edges: DataFrame) -> DataFrame:
+    """The same for a graph counted to be small, whose nodes fit in a broadcast."""
+    return edges.join(F.broadcast(edges.groupBy("a").agg(F.min("b").alias("_m"))), "a")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from corridor.functions import geometry as G
 from corridor.functions.numbers import ratio
 from corridor.operators.frames import dense_ids, join_unique, with_group_stats
-from corridor.operators.graph import components
-from corridor.operators.spatial import near_links
+from corridor.operators.spatial import near_groups
 from corridor.scratch import checkpoint
 
 SEGMENT = ["a_lon", "a_lat", "b_lon", "b_lat"]
@@ -63,8 +62,7 @@ def merge_equal_edges(
     highest frequency stands for it, the lowest ``ties`` columns (the key) deciding
     among equals. With ``cap``, a group whose sum would exceed it stays as it is.
     """
-    group = components(near_links(edges, key, coords, decimal)).withColumnRenamed("node", key)
-    tagged = checkpoint(edges.join(group, key, "left"))
+    tagged = checkpoint(edges.join(near_groups(edges, key, coords, decimal), key, "left"))
     order = F.struct(-F.col(freq), *(ties or [key]))
     summary = checkpoint(tagged.where("component is not null").groupBy("component").agg(
         F.sum(freq).alias("_sum"), F.count(F.lit(1)).alias("_members"), F.min_by(key, order).alias("_leader")

@@ -147,7 +147,7 @@ def near_pairs(
     """Pairs ``(a, b)``, ``a < b``, of lines equal vertex by vertex within a tolerance.
 
     ``lines`` must hold each geometry once. ``boxes`` keeps only pairs whose bounding
-    boxes meet. The pairs are the result here; to merge groups use ``near_links``.
+    boxes meet. The pairs are the result here; to merge groups use ``near_groups``.
     """
     return _near_join(lines, lines, key, coords, 0.5 * 10.0**-decimal, boxes, True)
 
@@ -170,56 +170,73 @@ def _small_cells(coords: Column, box: Column, tolerance: float) -> list[Column]:
     return [F.xxhash64(cells, *thin), F.xxhash64(F.lit("cells"), cells, *thin)]
 
 
-def near_links(
+def near_groups(
     lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4
 ) -> DataFrame:
-    """Links ``(a, b)`` that connect just the lines that near-equal pairs connect.
+    """``(key, component)`` of the lines that near-equal pairs connect; a line alone has no row.
 
     A dense group is not listed pair by pair. Lines that share small cells are
-    surely near and link to one of them, their head. Every line is then compared
-    with the heads around it. Only cells whose heads are still apart after that
-    are compared line by line.
+    surely near and are stood for by one of them, their head. Heads are paired
+    first; then other lines only with heads of other groups; and only cells that
+    are still apart after that are compared line by line.
     """
     tolerance = 0.5 * 10.0**-decimal
+    cells = ["_hi", "_lo"]
     hi, lo = _small_cells(F.col(coords), G.bounds(F.col(coords)), tolerance)
     celled = checkpoint(lines.where(F.size(coords) > 0).select(key, coords, hi.alias("_hi"), lo.alias("_lo")))
-    heads = celled.groupBy("_hi", "_lo").agg(F.min_by(coords, key).alias(coords), F.min(key).alias(key), F.count(F.lit(1)).alias("_n"))
-    heads = checkpoint(heads)
-    headed = join_unique(
-        celled, heads.select("_hi", "_lo", F.col(key).alias("_head")), ["_hi", "_lo"], counts=heads.select("_hi", "_lo", "_n")
-    )
-    headed = checkpoint(headed.drop("_hi", "_lo"))
-    stars = headed.where(F.col(key) != F.col("_head")).select(F.col(key).alias("a"), F.col("_head").alias("b"))
-    to_heads = _near_join(headed, heads, key, coords, tolerance, True, False)
-    links = checkpoint(stars.unionByName(to_heads))
-    crowded = heads.where("_n > 1").select(key)
+    heads = checkpoint(celled.groupBy(*cells).agg(
+        F.min_by(coords, key).alias(coords), F.min(key).alias(key), F.count(F.lit(1)).alias("_n")
+    ))
+    links = checkpoint(_near_join(heads, heads, key, coords, tolerance, True, True))
+    group = components(links)
+    crowded = heads.where("_n > 1")
     if crowded.isEmpty():
-        return links
-    return links.unionByName(_links_between_cells(headed, heads, links, key, coords, tolerance))
-
-
-def _links_between_cells(
-    headed: DataFrame, heads: DataFrame, links: DataFrame, key: str, coords: str, tolerance: float
+        return group.withColumnRenamed("node", key)
+    head_of = heads.select(*cells, F.col(key).alias("_head"))
+    headed = checkpoint(join_unique(celled, head_of, cells, counts=heads.select(*cells, "_n")).drop(*cells))
+    others = headed.where(F.col(key) != F.col("_head"))
+    found = checkpoint(_lines_to_heads(others, _grouped(heads, group, key), group, key, coords, tolerance))
+    if not found.isEmpty():
+        group = components(_as_links(group).unionByName(found))
+    near_cells = _grouped(crowded, group, key)
+    open_cells = checkpoint(_near_join(near_cells, near_cells, key, coords, 3.0 * tolerance, False, True, "_group"))
+    if not open_cells.isEmpty():
+        group = components(_as_links(group).unionByName(_cells_to_cells(open_cells, headed, coords, tolerance)))
+    placed = _grouped(heads, group, key).select(F.col(key).alias("_head"), "_group", "_n", F.col("_linked"))
+    counts = placed.select("_head", "_n")
+    named = join_unique(headed, placed.where("_linked or _n > 1").drop("_n", "_linked"), ["_head"], counts=counts)
+    return named.select(key, F.col("_group").alias("component"))
+
+
+def _as_links(group: DataFrame) -> DataFrame:
+    return group.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _grouped(df: DataFrame, group: DataFrame, on: str) -> DataFrame:
+    """Add the group of the line in column ``on``, the line itself if it has none."""
+    named = group.select(F.col("node").alias(on), F.col("component").alias("_group"))
+    joined = checkpoint(join_unique(df, named, [on], "left"))
+    return joined.withColumns({"_linked": F.col("_group").isNotNull(), "_group": F.coalesce("_group", on)})
+
+
+def _lines_to_heads(
+    others: DataFrame, heads: DataFrame, group: DataFrame, key: str, coords: str, tolerance: float
 ) -> DataFrame:
-    """Near pairs of lines in different cells that ``links`` leave unconnected.
+    """Links between the head of a line and a near head of another group."""
+    mine = _grouped(others, group, "_head")
+    pairs = _near_join(mine, heads, key, coords, tolerance, True, False, "_group")
+    of_line = others.select(F.col(key).alias("a"), "_head")
+    return pairs.join(of_line, "a").select(F.col("_head").alias("a"), "b").distinct()
 
-    Lines of two cells can only be near if their heads are within two tolerances
-    more. Cell pairs already connected, as all within a dense group are, drop out
-    before any of their lines meet.
-    """
-    group = components(links).select(F.col("node").alias(key), F.col("component").alias("_group"))
-    crowded = heads.where("_n > 1").join(group, key, "left").withColumn("_group", F.coalesce("_group", key))
-    crowded = checkpoint(crowded)
-    open_cells = checkpoint(_near_join(crowded, crowded, key, coords, 3.0 * tolerance, False, True, "_group"))
-    if open_cells.isEmpty():
-        return links.limit(0)
-    mine = headed.select(F.col("_head").alias("a"), F.col(key).alias("_id"), F.col(coords).alias("_line"))
-    theirs = headed.select(F.col("_head").alias("b"), F.col(key).alias("_id2"), F.col(coords).alias("_line2"))
-    met = open_cells.join(mine, "a").join(theirs, "b")
+
+def _cells_to_cells(open_cells: DataFrame, headed: DataFrame, coords: str, tolerance: float) -> DataFrame:
+    """Links between heads ``(a, b)`` of which some lines are near."""
+    mine = headed.select(F.col("_head").alias("a"), F.col(coords).alias("_line"))
+    theirs = headed.select(F.col("_head").alias("b"), F.col(coords).alias("_line2"))
     near = G.boxes_meet(G.bounds(F.col("_line")), G.bounds(F.col("_line2"))) & G.almost_equal(
         F.col("_line"), F.col("_line2"), tolerance
     )
-    return met.where(near).select(F.col("_id").alias("a"), F.col("_id2").alias("b"))
+    return open_cells.join(mine, "a").join(theirs, "b").where(near).select("a", "b").distinct()
 
 
 def almost_equal(lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4) -> DataFrame:

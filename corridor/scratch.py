@@ -31,20 +31,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that outlives its executors."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to a fresh Parquet folder of the shared scratch and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, which outlives its executors.
+
+    A written table also gives later joins its true size, and unlike
+    ``DataFrame.checkpoint`` it does not hand down the constraints of its plan,
+    which grow from round to round in iterative jobs and stall the optimizer.
+    """
+    return stored(df, "cut")
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -134,7 +134,7 @@ def groups_of(pairs):
 
 
 @pytest.mark.parametrize("kind", ["sparse", "dense", "flat", "tiny"])
-def test_near_links_connect_what_pairs_connect(spark, kind):
+def test_near_groups_are_what_pairs_connect(spark, kind):
     rng = random.Random(kind)
     area, jitter = {"sparse": (3e-4, 2e-5), "dense": (0, 6e-5), "flat": (0, 8e-5), "tiny": (1e-4, 2e-5)}[kind]
     wide, high = {"flat": (0.01, 0.0), "tiny": (2e-5, 2e-5)}.get(kind, (0.01, 0.01))
@@ -146,10 +146,9 @@ def test_near_links_connect_what_pairs_connect(spark, kind):
             ends = [(px, round(ends[0][1], 5)) for px, _ in ends]
         shapes.add(tuple((round(px, 6), round(py, 6)) for px, py in ends))
     shapes = [list(s) for s in sorted(shapes)]
-    links = [(r.a, r.b) for r in spatial.near_links(frame(spark, *shapes), "id").collect()]
+    got = {r.id: r.component for r in spatial.near_groups(frame(spark, *shapes), "id").collect()}
     pairs = brute_pairs(shapes, 0.5e-4, True)
-    assert groups_of(links) == groups_of(pairs) and len(pairs) > 50
-    assert {(min(p), max(p)) for p in links} <= pairs
+    assert got == groups_of(pairs) and len(pairs) > 50
 
 
 def test_near_equal_is_directed(spark):
@@ -221,12 +220,12 @@ def test_merge_fine_keeps_the_total(spark):
     assert got == [(113.00001, 113.1, 3.0, 2), (113.1, 113.0, 3.0, 1), (113.1, 113.2, 1.0, 1)]
 
 
-def test_near_links_between_crowded_cells(spark):
+def test_near_groups_of_crowded_cells(spark):
     """Two cells whose heads are far from every line of the other cell, joined by two other members."""
     base = 3.5e-5 * 3230000
     at = [base + d for d in (1e-6, 33e-6, 104e-6, 71e-6)]
     shapes = [[(x, 22.0000005), (x + 0.01, 22.0100005)] for x in at]
     pairs = brute_pairs(shapes, 0.5e-4, True)
     assert pairs == {(0, 1), (2, 3), (1, 3)}
-    links = {(min(r.a, r.b), max(r.a, r.b)) for r in spatial.near_links(frame(spark, *shapes), "id").collect()}
-    assert links == pairs
+    got = {r.id: r.component for r in spatial.near_groups(frame(spark, *shapes), "id").collect()}
+    assert got == {i: 0 for i in range(4)}
