@@ -14,6 +14,7 @@ from corridor.operators.graph import components
 from corridor.scratch import checkpoint, is_small
 
 FEW_POLYGONS = 64
+FEW_LINES = 20_000
 
 
 def polygons(features: DataFrame, rings: str = "rings") -> DataFrame:
@@ -171,15 +172,18 @@ def _small_cells(coords: Column, box: Column, tolerance: float) -> list[Column]:
 
 
 def near_groups(
-    lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4
+    lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4, few: int = FEW_LINES
 ) -> DataFrame:
     """``(key, component)`` of the lines that near-equal pairs connect; a line alone has no row.
 
     A dense group is not listed pair by pair. Lines that share small cells are
     surely near and are stood for by one of them, their head. Heads are paired
     first; then other lines only with heads of other groups; and only cells that
-    are still apart after that are compared line by line.
+    are still apart after that are compared line by line. Up to ``few`` lines
+    (counted) are simply paired.
     """
+    if is_small(lines, few):
+        return components(near_pairs(lines, key, coords, decimal)).withColumnRenamed("node", key)
     tolerance = 0.5 * 10.0**-decimal
     cells = ["_hi", "_lo"]
     hi, lo = _small_cells(F.col(coords), G.bounds(F.col(coords)), tolerance)
