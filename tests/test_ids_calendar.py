@@ -58,7 +58,7 @@ def test_step_number_rules(spark):
 def test_od_and_dates(spark):
     assert one(spark, ids.od_of(F.col("i")), i=("string", "60630372")) == 372
     assert one(spark, ids.parse_date(F.col("i")), i=("int", 20200506)) == date(2020, 5, 6)
-    assert one(spark, ids.date_from_file_name(F.col("f")), f=("string", "/a/GBA_step_200506.csv")) == date(2020, 5, 6)
+    assert one(spark, ids.date_from_file_name(F.col("f")), f=("string", "/a/day_step_200506.csv")) == date(2020, 5, 6)
     assert one(spark, ids.date_from_file_name(F.col("f")), f=("string", "/a/other.csv")) is None
     assert one(spark, ids.at_clock(F.col("d"), F.lit("2575")), d=("date", date(2020, 5, 6))) is None
 

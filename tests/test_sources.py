@@ -13,7 +13,7 @@ HEADER = "tripID,instruction,orientation,road,distance,tolls,toll_distance,toll_
 
 
 def step_file(folder, day, rows):
-    path = folder / f"GBA_step_{day}.csv"
+    path = folder / f"day_step_{day}.csv"
     path.write_text("\n".join([HEADER, *rows]) + "\n")
     return path
 
