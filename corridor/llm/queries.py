@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor.llm import mixing, simhash
+from corridor.llm import chat, licenses, mixing, quality, simhash, warc
 from corridor.llm.common import table
-from corridor.scratch import stored
+from corridor.scratch import new_path, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,12 +23,65 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = quality.judged(docs, table(spark, folder, "labels"))
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_components(simhash.fingerprints(table(spark, folder, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _op7_sql() -> str:
+    """Base places by list slices; containment of every line with every template."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    places = " union all ".join(
+        f"select rid, '{label}' as label, unnest(list_filter(range(0, len(w)), lambda i: w[i+1:i+{len(p.split())}] = {quoted(p.split())})) as spot from d"
+        for p, label in licenses.PHRASES.items()
+    )
+    templates = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))})" for label, t in licenses.TEMPLATES.items())
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+with d as (select doc_id, row_number() over () as rid, {lower} as t, regexp_extract_all({lower}, {word}) as w from documents),
+p as ({places}),
+b as (select rid, count(*) as n_base, min(spot) as first_word, max(spot) as last_word, list_sort(list(distinct label)) as base from p group by rid),
+l as (select rid, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), {word})) as lw from d),
+t(label, tw) as (values {templates}),
+c as (select rid, label, len(list_intersect(lw, tw)) / len(tw)::double as containment from l, t
+      where len(list_intersect(lw, tw)) >= ceil({licenses.THRESHOLD} * len(tw) - 1e-9)),
+m as (select rid, max(containment) as best, list(distinct label) as found from c group by rid)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word,
+       cast(last_word as bigint) as last_word, coalesce(array_to_string(base, ','), '') as base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') as labels,
+       case when n_base > 0 then 1.0::double else coalesce(best, 0.0::double) end as score
+from d left join b using (rid) left join m using (rid)
+"""
+
+
+@query("op7_license_scan", _op7_sql())
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
+@query("op8_warc")
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    written = warc.write_warc(table(spark, folder, "pages"), new_path(spark, "warc"))
+    read = warc.read_warc(written).drop("payload")
+    number = lambda c: F.regexp_extract(c, "^urn:page:(.+)$", 1).try_cast("long")
+    return read.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to_id").alias("refers_to")
+    )
+
+
 OP9_SQL = r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
@@ -59,3 +112,35 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.sized(docs).withColumn("row", F.struct(F.col("row.doc_id").alias("doc_id")))
     mixed = mixing.allocate(stored(rows, "mix-sizes"))
     return mixed.select("row.doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken"))
+
+
+OP10_SQL = f"""
+with m as (select distinct conv_id, turn, case when trim(role) <> '' then role else 'unknown' end as speaker, coalesce(text, '') as text
+           from conversations),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, encode(speaker), encode(text)) - 1 as position from m),
+p as (select distinct conv_id, speaker as perspective from m where speaker <> '{chat.SYSTEM}'),
+v as (select o.conv_id, perspective, position, position // {chat.PART_TURNS} as part, speaker = perspective as own,
+             case when speaker = perspective then '{chat.START}assistant' when speaker = '{chat.SYSTEM}' then '{chat.START}system'
+                  else '{chat.START}user name=' || replace(speaker, '<|', '<' || chr(92) || '|') end || chr(10) as head,
+             replace(text, '<|', '<' || chr(92) || '|') || '{chat.END.strip()}' || chr(10) as body
+      from o join p on o.conv_id is not distinct from p.conv_id),
+a as (select *, length(head) + length(body) as size,
+             coalesce(sum(length(head) + length(body)) over (partition by conv_id, perspective, part order by position
+                      rows between unbounded preceding and 1 preceding), 0) as spot from v),
+g as (select conv_id, perspective, part, count(*) as n_turns, count(*) filter (where own) as n_own_turns, sum(size) as size,
+             string_agg(head || body, '' order by position) as rendered,
+             coalesce(sum(length(body)) filter (where own), 0) as mask_chars,
+             coalesce(string_agg(cast(spot + length(head) as bigint) || '-' || cast(spot + size as bigint), ',' order by position) filter (where own), '') as mask
+      from a group by conv_id, perspective, part)
+select conv_id, perspective, cast(part as bigint) as part,
+       cast(coalesce(sum(size) over (partition by conv_id, perspective order by part rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset",
+       n_turns, n_own_turns, rendered, mask, cast(mask_chars as bigint) as mask_chars
+from g
+"""
+
+
+@query("op10_chat_rotation", OP10_SQL)
+def op10_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    views = chat.rotate(table(spark, folder, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
+    return views.withColumn("mask", spans)
