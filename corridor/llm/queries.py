@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor.llm import chat, licenses, mixing, quality, simhash, warc
-from corridor.llm.common import table
+from corridor.llm import chat, licenses, lm, mixing, quality, simhash, warc
+from corridor.llm.common import fold, table
 from corridor.scratch import new_path, stored
 
 QUERIES: dict = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_lm_scores")
+def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    remainder = fold("doc_id", 7)
+    return lm.score(table(spark, folder, "documents").select("doc_id", "text"), remainder == 2, remainder == 5)
+
+
 @query("op3_quality_rules")
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -72,7 +78,18 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op8_warc")
+_QUARTER = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::int >> {15 - 5 * k}) & 31) + 1, 1)" for g in range(8) for k in range(4))
+OP8_SQL = f"""
+with p as (select page_id, sha1(coalesce(html, '')) as h, octet_length(encode(coalesce(html, ''))) as n from pages),
+f as (select *, max(page_id) over (partition by h, n) as first from p)
+select page_id, cast(n as bigint) as payload_bytes, {_QUARTER} as payload_digest,
+       case when page_id = first or n < {warc.LEAST_BYTES} then 'response' else 'revisit' end as record_type,
+       case when page_id <> first and n >= {warc.LEAST_BYTES} then first end as refers_to
+from f
+"""
+
+
+@query("op8_warc", OP8_SQL)
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     written = warc.write_warc(table(spark, folder, "pages"), new_path(spark, "warc"))
     read = warc.read_warc(written).drop("payload")
