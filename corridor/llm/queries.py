@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor.llm import chat, licenses, lm, mixing, quality, simhash, warc
+from corridor.llm import chat, langid, licenses, lm, mixing, quality, simhash, warc
 from corridor.llm.common import fold, table
 from corridor.scratch import new_path, stored
 
@@ -42,6 +42,13 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_langid")
+def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, fold("doc_id", 4) != 2)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "bits", "rejected")
+
+
 def _op7_sql() -> str:
     """Base places by list slices; containment of every line with every template."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
