@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor.llm import chat, langid, licenses, lm, mixing, quality, simhash, warc
+from corridor.llm import chat, langid, licenses, lm, mixing, quality, simhash, toxicity, warc
 from corridor.llm.common import fold, table
 from corridor.scratch import new_path, stored
 
@@ -23,6 +23,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, table(spark, folder, "labels"), fold("doc_id", 5) != 0)
+    return scored.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query("op2_lm_scores")
 def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     remainder = fold("doc_id", 7)
