@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor.llm import chat, langid, licenses, lm, mixing, quality, simhash, toxicity, warc
+from corridor.llm import chat, decontaminate, langid, licenses, lm, mixing, quality, simhash, toxicity, warc
 from corridor.llm.common import fold, table
 from corridor.scratch import new_path, stored
 
@@ -58,6 +58,11 @@ def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "bits", "rejected")
 
 
+@query("op6_decontaminate")
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 def _op7_sql() -> str:
     """Base places by list slices; containment of every line with every template."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
