@@ -114,15 +114,19 @@ def _hypergeometric(population: str, successes: str, draws: str, uniform: str) -
     low = f"greatest(0L, {draws} + {successes} - {population}, {mode} - ({spread}))"
     high = f"least({draws}, {successes}, {mode} + ({spread}))"
     ratio = f"({k} - (i - 1)) * ({n} - (i - 1)) / (i * ({p} - {k} - {n} + i))"
-    # running probabilities, relative to the lowest value of the support
-    masses = (
-        f"aggregate(sequence({low}, {high}), named_struct('last', cast(0 as double), 'sums', cast(array() as array<double>)), "
-        f"(s, i) -> named_struct('last', if(size(s.sums) = 0, 1D, s.last * {ratio}), "
-        f"'sums', concat(s.sums, array(if(size(s.sums) = 0, 1D, element_at(s.sums, -1) + s.last * {ratio})))))"
+    # probabilities relative to the lowest value of the support, added up twice: for the total and up to the draw
+    chance = f"if(m.last = 0, 1D, m.last * {ratio})"
+    total = (
+        f"aggregate(sequence({low}, {high}), named_struct('last', 0D, 'sum', 0D), "
+        f"(m, i) -> named_struct('last', {chance}, 'sum', m.sum + {chance})).sum"
+    )
+    passed = (
+        f"aggregate(sequence({low}, {high}), named_struct('last', 0D, 'sum', 0D, 'passed', 0L), (m, i) -> named_struct("
+        f"'last', {chance}, 'sum', m.sum + {chance}, 'passed', m.passed + if(m.sum + {chance} < {uniform} * whole, 1L, 0L))).passed"
     )
     return (
         f"if({population} <= 0 or {successes} <= 0 or {draws} <= 0, 0L, if({draws} >= {population}, {successes}, "
-        f"{low} + aggregate(array({masses}.sums), 0L, (z, c) -> size(filter(c, x -> x < {uniform} * element_at(c, -1))))))"
+        f"least({high}, {low} + aggregate(array({total}), 0L, (z, whole) -> {passed}))))"
     )
 
 
