@@ -200,7 +200,16 @@ def decide(rules: list[Rule]) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``(row, <statistics>, base_failed, kept)`` for every document; rules are learned from ``labels`` first."""
+    """``(row, <statistics>, base_failed, kept, place)`` for every document; rules are learned from ``labels`` first.
+
+    ``place`` numbers the rows. A filter that mentions it stays above the
+    statistics; any other would be pushed into them and compute them once per use.
+    """
     rules = learn(labelled(docs, labels, id_col, rows=rows), text_col)
     measured = measure(docs, text_col).withColumn("base_failed", base_failed())
-    return measured.withColumn("kept", ~F.col("base_failed") & decide(rules))
+    return measured.withColumn("kept", ~F.col("base_failed") & decide(rules)).withColumn("place", F.monotonically_increasing_id())
+
+
+def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that pass the base limits and that no rule rejects, with their own columns."""
+    return judged(docs, labels, id_col, text_col, rows).where("kept and place >= 0").select("row.*")
