@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corridor.llm.common import in_pieces
+from corridor.operators.frames import join_small
 from corridor.scratch import stored
 
 ORDER = 4
@@ -145,7 +146,7 @@ def sample(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows
     )
     place = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    kept = known.join(sizes, "lang").where(place * F.col("n") < rows)
+    kept = join_small(known, sizes, ["lang"]).where(place * F.col("n") < rows)
     return kept.select("lang", "text", (F.pmod(F.xxhash64("text", F.lit(6)), F.lit(5)) == 0).alias("held"))
 
 

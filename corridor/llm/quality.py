@@ -48,37 +48,32 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Repeated windows are found inside the row: window hashes are made distinct,
     and only texts in which some are equal sort them with their places; the words
     that the repeated windows cover then follow from the gaps between places.
+    Each step is a lambda's argument and so is computed once, wherever the
+    statistic is moved to by the optimizer.
     """
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     split = docs.select(F.struct(*docs.columns).alias("row"), text_of(text_col).alias("text")).select(
         "row", "text", words(text).alias("w"), lines.alias("lines")
     )
-    counted = split.select(
+    at = ", ".join(f"h[i + {k}]" if k else "h[i]" for k in range(WINDOW))
+    windows = f"transform(sequence(0, size(h) - {WINDOW}), i -> xxhash64({at}))"
+    ordered = "sort_array(transform(windows, (h, i) -> named_struct('h', h, 'i', i)))"
+    places = "sort_array(transform(filter(o, (x, j) -> x.h <=> get(o, j - 1).h or x.h <=> get(o, j + 1).h), x -> x.i))"
+    covered = f"aggregate(sequence(0, size(p) - 1), 0L, (t, k) -> t + least({WINDOW}, coalesce(get(p, k + 1) - get(p, k), {WINDOW})))"
+    repeated = (
+        f"if(size(w) <= {WINDOW}, 0L, aggregate(array(transform(w, x -> xxhash64(x))), 0L, (a, h) -> "
+        f"aggregate(array({windows}), 0L, (b, windows) -> if(size(array_distinct(windows)) = size(windows), 0L, "
+        f"aggregate(array({ordered}), 0L, (c, o) -> aggregate(array({places}), 0L, (d, p) -> {covered}))))))"
+    )
+    return split.select(
         "row", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size("lines").cast("long").alias("n_lines"),
+        F.expr(repeated).alias("n_repeat_words"), F.size("lines").cast("long").alias("n_lines"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         F.regexp_count("text", F.lit("!")).cast("long").alias("n_exclaims"),
-        F.expr("transform(w, x -> xxhash64(x))").alias("hashes"),
-    )
-    at = ", ".join(f"hashes[i + {k}]" if k else "hashes[i]" for k in range(WINDOW))
-    windows = F.expr(f"if(size(hashes) > {WINDOW}, transform(sequence(0, size(hashes) - {WINDOW}), i -> xxhash64({at})), array())")
-    windowed = counted.withColumn("windows", windows).drop("hashes")
-    ordered = F.expr(
-        "if(size(array_distinct(windows)) < size(windows), "
-        "sort_array(transform(windows, (h, i) -> named_struct('h', h, 'i', i))), array())"
-    )
-    places = F.expr(
-        "sort_array(transform(filter(ordered, (x, j) -> x.h <=> get(ordered, j - 1).h or x.h <=> get(ordered, j + 1).h), x -> x.i))"
-    )
-    covered = F.expr(
-        f"if(size(places) = 0, 0, aggregate(sequence(0, size(places) - 1), 0, (t, k) -> t + least({WINDOW}, "
-        f"coalesce(get(places, k + 1) - get(places, k), {WINDOW}))))"
     )
-    found = windowed.withColumn("ordered", ordered).drop("windows").withColumn("places", places).drop("ordered")
-    return found.withColumn("n_repeat_words", covered.cast("long")).select("row", *STATS)
 
 
 def base_failed() -> Column:
@@ -96,8 +91,9 @@ class Rule:
         return " and ".join(f"({FEATURES[f]}) {op} {value!r}D" for f, op, value in self.conditions)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents of a sample of about ``rows`` labelled ids, with ``bad`` and ``part`` (0: for pruning), picked by hash.
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+             rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``(text, bad, part)`` of a sample of about ``rows`` labelled ids, picked by hash; part 0 is for pruning.
 
     The sample's ids are bounded by ``rows``, so they go to every task and the
     documents are not shuffled.
@@ -112,11 +108,11 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
         known.where(place < int(share * (1 << 20))).groupBy("label_id").agg((F.avg("label") < 0.5).alias("bad"))
         .withColumn("part", F.pmod(F.xxhash64("label_id", F.lit(4)), F.lit(3)))
     )
-    wrapped = docs.select(F.struct(*docs.columns).alias("doc"))
-    return wrapped.join(F.broadcast(sample), F.col(f"doc.{id_col}") == F.col("label_id")).select("doc.*", F.col("bad").alias("_bad"), F.col("part").alias("_part"))
+    picked = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
+    return picked.join(F.broadcast(sample), "label_id").select("text", "bad", "part")
 
 
-def learn(sample: DataFrame, text_col: str = "text") -> list[Rule]:
+def learn(sample: DataFrame) -> list[Rule]:
     """Rules from a ``labelled`` sample, most certain coverage first.
 
     Every feature is binned at its quantiles. A rule grows by the condition with
@@ -124,8 +120,8 @@ def learn(sample: DataFrame, text_col: str = "text") -> list[Rule]:
     prefix that does best on the pruning rows, and stays if it is precise enough
     there; the rows it covers then leave.
     """
-    measured = measure(sample, text_col).selectExpr(
-        "row._bad as bad", "row._part as part", *[f"{sql} as {name}" for name, sql in FEATURES.items()]
+    measured = measure(sample).selectExpr(
+        "row.bad as bad", "row.part as part", *[f"{sql} as {name}" for name, sql in FEATURES.items()]
     )
     measured = stored(measured, "quality-sample")
     steps = [i / CUTS for i in range(1, CUTS)]
@@ -205,7 +201,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``place`` numbers the rows. A filter that mentions it stays above the
     statistics; any other would be pushed into them and compute them once per use.
     """
-    rules = learn(labelled(docs, labels, id_col, rows=rows), text_col)
+    rules = learn(labelled(docs, labels, id_col, text_col, rows=rows))
     measured = measure(docs, text_col).withColumn("base_failed", base_failed())
     return measured.withColumn("kept", ~F.col("base_failed") & decide(rules)).withColumn("place", F.monotonically_increasing_id())
 

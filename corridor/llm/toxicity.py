@@ -125,7 +125,7 @@ def with_features(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", nam
 
     @F.pandas_udf("array<double>")
     def made(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t, lexicon) for t in texts], index=texts.index)
+        return pd.Series([features(t, lexicon) for t in texts], index=texts.index, dtype=object)
 
     return docs.withColumn(name, array_to_vector(made(F.col(text_col).cast("string"))))
 
