@@ -36,9 +36,21 @@ def join_unique(
     keys that hold more than a thousandth of the repeated rows (fewer than a
     thousand, whatever the data) meet their side rows by broadcast, and only the
     other rows are shuffled. ``counts`` gives the rows per key as ``_n`` if known.
+    Rows with a null key meet nothing, however many there are, so they are never
+    shuffled: a left join adds them as they are, an inner join drops them first.
     """
     if is_small(side, small):
         return df.join(F.broadcast(side), keys, how)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    if how == "left":
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema.fields if f.name not in keys]
+        loose = df.where(~known).select(*keys, *[c for c in df.columns if c not in keys], *empty)
+        return _join_known(df.where(known), side, keys, how, counts).unionByName(loose)
+    return _join_known(df.where(known), side, keys, how, counts)
+
+
+def _join_known(df: DataFrame, side: DataFrame, keys: list[str], how: str, counts: DataFrame | None) -> DataFrame:
+    """``join_unique`` for rows without a null key and a large side."""
     if counts is None:
         counts = checkpoint(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     total = counts.agg(F.sum("_n")).first()[0] or 0

@@ -68,27 +68,32 @@ def join_polygons(
     lines: DataFrame, shapes: DataFrame, key: str, label: str = "bridge", coords: str = "coords",
     pad: float | None = None, cell: float = 0.05, few: int = FEW_POLYGONS,
 ) -> DataFrame:
-    """Left join of lines with the polygons they meet: one row per hit, null without.
+    """Left join of lines with the polygons they meet: one row per line row and polygon that meet, null without.
 
     Up to ``few`` polygons (counted, not assumed) are sent to every task, so the
-    lines are not shuffled. More of them meet the lines on grid cells instead.
+    lines are not shuffled. More of them meet the lines on grid cells instead. Both
+    ways give the same rows, whatever the keys and labels: on the grid, line rows
+    and polygons carry numbers of their own, so repeated and null keys keep their
+    own polygons and polygons of one label count separately.
     """
-    boxed = lines.withColumn("_box", G.bounds(F.col(coords)))
+    boxed = lines.drop(label).withColumn("_box", G.bounds(F.col(coords)))
     areas = shapes.select(F.col(label).alias("_label"), "edges", F.col("box").alias("_area"))
     hit = _hit(F.col(coords), F.col("_box"), F.col("edges"), F.col("_area"), pad)
     if is_small(areas, few):
         joined = boxed.join(F.broadcast(areas), hit, "left")
         return joined.withColumn(label, F.col("_label")).drop("_box", "_label", "edges", "_area")
 
+    boxed = checkpoint(boxed.withColumn("_line", F.monotonically_increasing_id()))
+    areas = checkpoint(areas.withColumn("_polygon", F.monotonically_increasing_id()))
     reach = areas if pad is None else areas.withColumn("_reach", _padded(F.col("_area"), pad))
     box = F.col("_area") if pad is None else F.col("_reach")
     area_cells = reach.select("*", F.explode(_cells(box, cell)).alias("_cell")).select("*", "_cell.*").drop("_cell")
     line_cells = (
-        boxed.select(key, coords, "_box", F.explode(_line_cells(F.col(coords), cell)).alias("_cell"))
+        boxed.select("_line", coords, "_box", F.explode(_line_cells(F.col(coords), cell)).alias("_cell"))
         .select("*", "_cell.*").drop("_cell")
     )
-    hits = line_cells.join(area_cells, ["cx", "cy"]).where(hit).select(key, F.col("_label").alias(label)).distinct()
-    return lines.join(hits, key, "left")
+    hits = line_cells.join(area_cells, ["cx", "cy"]).where(hit).select("_line", "_polygon", F.col("_label").alias(label)).distinct()
+    return boxed.join(hits.drop("_polygon"), "_line", "left").drop("_line", "_box")
 
 
 def _near_cells(lon: Column, lat: Column, cell: float, reach: float) -> Column:

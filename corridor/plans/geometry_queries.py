@@ -199,11 +199,11 @@ def left_paths(spark, folder):
 @query(
     "right_shapes",
     V.with_views("trips_v", "paths_v") + f"""SELECT fid, nums, {WKT} AS wkt FROM (SELECT fid, count(*) AS nums FROM trips_v WHERE fid IS NOT NULL GROUP BY fid)
-        LEFT JOIN (SELECT * FROM paths_v WHERE source <> 'Brand#3') USING (fid)""",
+        LEFT JOIN (SELECT * REPLACE (CASE WHEN source = 'Brand#3' THEN -1 - fid ELSE fid END AS fid) FROM paths_v) USING (fid)""",
 )
 def right_shapes(spark, folder):
     nums = heat.path_use(V.trips(spark, folder), []).withColumnRenamed("used", "nums")
-    shapes = V.paths(spark, folder).where("source <> 'Brand#3'")
+    shapes = V.paths(spark, folder).withColumn("fid", F.expr("case when source = 'Brand#3' then -1 - fid else fid end"))
     return shapes.join(nums, "fid", "right").select("fid", "nums", G.line_wkt(F.col("coords")).alias("wkt"))
 
 

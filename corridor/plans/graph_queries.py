@@ -12,9 +12,9 @@ def degrees(spark, folder):
     return graph.degrees(V.edges(spark, folder))
 
 
-@query("origins", V.with_views("degrees_v") + "SELECT node FROM degrees_v WHERE indegree = 0 AND outdegree <> 0")
+@query("origins", V.with_views("road_graph_v") + "SELECT DISTINCT src AS node FROM road_graph_v WHERE src NOT IN (SELECT dst FROM road_graph_v)")
 def origins(spark, folder):
-    return graph.origins(V.edges(spark, folder))
+    return graph.origins(V.road_graph(spark, folder))
 
 
 @query("merge_sinks", V.with_views("degrees_v") + "SELECT node FROM degrees_v WHERE outdegree = 0 AND indegree >= 2")
@@ -75,7 +75,7 @@ def chains(spark, folder):
     "chain_roads",
     CHAINS + """SELECT chain_src, chain_dst, position, rid FROM (
         SELECT w.*, w.src // 3 AS rid, lag(w.src // 3) OVER (PARTITION BY chain_src, chain_dst ORDER BY position) AS before
-        FROM walk w JOIN road_graph_v g ON w.src = g.src AND w.dst = g.dst WHERE g.source <> 'Brand#3')
+        FROM walk w JOIN road_graph_v g ON w.src = (CASE WHEN g.source = 'Brand#3' THEN -1 - g.src ELSE g.src END) AND w.dst = g.dst)
         WHERE before IS NULL OR before <> rid""",
 )
 def chain_roads(spark, folder):

@@ -16,10 +16,10 @@ from corridor.sources import lines, routes, sinks, tables
 from corridor.streaming import bridge_speed
 
 
-@query("scan_view", "SELECT event_type, count(*) AS n FROM events WHERE user_id < 100 GROUP BY event_type")
+@query("scan_view", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def scan_view(spark, folder):
     tables.register_views(spark, {"corridor_events": f"{folder}/events.parquet"})
-    return spark.sql("SELECT event_type, count(*) AS n FROM corridor_events WHERE user_id < 100 GROUP BY event_type")
+    return spark.sql("SELECT event_type, count(*) AS n FROM corridor_events GROUP BY event_type")
 
 
 @query(
@@ -67,31 +67,33 @@ def ingest_quarantine(spark, folder):
     "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER () - 1 AS row_idx FROM lineitem",
 )
 def row_index(spark, folder):
-    rows = tables.file_row_index(V.table(spark, folder, "lineitem"))
+    rows = tables.parquet_row_index(V.table(spark, folder, "lineitem"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "row_idx")
 
 
 def _siblings(spark, folder):
-    """One file seen as two sibling files that share row positions."""
+    """One file seen as two sibling files that share row positions, but for the rows of part 5."""
     rows = tables.parquet_row_index(V.table(spark, folder, "lineitem")).withColumn("file", F.col("_metadata.file_name"))
     left = rows.selectExpr("file", "row_idx", "l_orderkey", "cast(l_quantity as int) as duration", "l_linenumber as distance")
     right = rows.selectExpr(
-        "file", "row_idx", "l_orderkey", "l_partkey", "l_suppkey",
+        "file", "case when l_partkey = 5 then -1 - row_idx else row_idx end as row_idx", "l_orderkey", "l_partkey", "l_suppkey",
         "cast(l_quantity as int) + case when l_linenumber = 7 then 1 when l_linenumber = 6 then -1 else 0 end as duration",
         "l_linenumber as distance",
     )
-    return left, right.where("l_partkey <> 5")
+    return left, right
 
 
-@query("positional_join", "SELECT l_orderkey, l_linenumber AS distance, l_partkey, l_suppkey FROM lineitem WHERE l_partkey <> 5")
+@query("positional_join", "SELECT l_orderkey, l_linenumber AS distance, l_partkey, l_suppkey FROM lineitem")
 def positional_join(spark, folder):
-    left, right = _siblings(spark, folder)
+    rows = tables.parquet_row_index(V.table(spark, folder, "lineitem")).withColumn("file", F.col("_metadata.file_name"))
+    left = rows.selectExpr("file", "row_idx", "l_orderkey", "l_linenumber as distance")
+    right = rows.select("file", "row_idx", "l_orderkey", "l_partkey", "l_suppkey")
     return frames.positional_join(left, right, ["file", "row_idx"]).select("l_orderkey", "distance", "l_partkey", "l_suppkey")
 
 
 @query(
     "consistency_check",
-    """SELECT count(*) AS rows_left, count(*) FILTER (l_partkey <> 5) AS rows_right, count(*) FILTER (l_partkey = 5) AS rows_unmatched,
+    """SELECT count(*) AS rows_left, count(*) AS rows_right, 2 * count(*) FILTER (l_partkey = 5) AS rows_unmatched,
         count(*) FILTER (l_partkey <> 5 AND l_linenumber IN (6, 7)) AS duration_differs, 0::BIGINT AS distance_differs FROM lineitem""",
 )
 def consistency_check(spark, folder):
@@ -206,10 +208,15 @@ def parquet_roundtrip(spark, folder):
 
 
 def _landing_stream(spark, folder):
-    """events arriving as one-step route answers with their poll time."""
+    """The same answers as they arrive."""
     path = f"{folder}/events.parquet"
     arriving = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return arriving.selectExpr(
+    return _answers(arriving)
+
+
+def _answers(events):
+    """events as one-step route answers with their poll time."""
+    return events.selectExpr(
         "ts as polled_at", "cast(user_id % 1000 as int) as od", "date_format(ts, 'ddHHmm') as crawl",
         "to_json(named_struct('route', named_struct('paths', array(named_struct('distance', '1', 'duration', '1', 'steps', array(named_struct("
         "'instruction', case event_type when 'view' then '沿虎门大桥向西行驶' when 'click' then ' 驶入南沙大桥 ' "
@@ -225,14 +232,13 @@ def _landing_stream(spark, folder):
         round(avg(CASE WHEN duration <> 0 THEN distance::DOUBLE / duration * 3.6::DOUBLE END), 6) AS avg_speed,
         count(CASE WHEN duration <> 0 THEN 1 END) AS steps
         FROM (SELECT *, {BRIDGE} AS bridge FROM steps_v)
-        WHERE bridge > 0 AND timestamp + INTERVAL 15 MINUTES <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events
-            WHERE event_type <> 'signup')
-        GROUP BY ALL""",
+        WHERE bridge > 0 GROUP BY ALL""",
 )
 def stream_bridge_speed(spark, folder):
     windows = bridge_speed.windowed_speed(bridge_speed.step_stream(_landing_stream(spark, folder)), "polled_at")
     path, marks = scratch.new_path(spark, "windows"), scratch.new_path(spark, "stream")
     bridge_speed.run_available(windows, path, marks)
-    return spark.read.parquet(path).selectExpr(
+    arrived = bridge_speed.step_stream(_answers(V.table(spark, folder, "events")))
+    return bridge_speed.with_open_windows(spark.read.schema(windows.schema).parquet(path), arrived, "polled_at").selectExpr(
         f"{V.stamp('window_start')} as window_start", "bridge", "round(avg_speed, 6) as avg_speed", "steps"
     )

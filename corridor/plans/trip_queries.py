@@ -315,9 +315,9 @@ def _kmh(piece):
 
 @query(
     "apply_by_group",
-    V.with_views("trips_v") + f"SELECT {K}, round(kmh, 6) AS kmh FROM (SELECT *, travelDis / duration * 3.6::DOUBLE AS kmh FROM trips_v WHERE duration > 0)",
+    V.with_views("trips_v") + f"SELECT {K}, round(kmh, 6) AS kmh FROM (SELECT *, CASE WHEN duration > 0 THEN travelDis / duration * 3.6::DOUBLE END AS kmh FROM trips_v)",
 )
 def apply_by_group(spark, folder):
-    rows = V.trips(spark, folder).where("duration > 0").select(*KEYS, "travelDis", "duration")
+    rows = V.trips(spark, folder).select(*KEYS, "travelDis", "duration")
     schema = "k1 bigint, k2 int, k3 bigint, k4 bigint, kmh double"
     return frames.apply_in_pieces(rows, _kmh, schema).withColumn("kmh", F.round("kmh", 6))

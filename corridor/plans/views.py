@@ -170,8 +170,9 @@ def road_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 def roads(spark: SparkSession, folder: str) -> DataFrame:
     """Road ids of the road graph's edges; some edges have none."""
-    named = road_graph(spark, folder).where("source <> 'Brand#3'")
-    return named.selectExpr("src as s", "dst as e", "src div 3 as rid")
+    return road_graph(spark, folder).selectExpr(
+        "case when source = 'Brand#3' then -1 - src else src end as s", "dst as e", "src div 3 as rid"
+    )
 
 
 _DUCK_NODE = "struct_pack(lon := 113.0::DOUBLE + ({0}) * 0.01::DOUBLE, lat := 22.0::DOUBLE + ({0}) * ({0}) * 0.001::DOUBLE)"

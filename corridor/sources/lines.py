@@ -10,13 +10,10 @@ from corridor.functions import geometry as G
 from corridor.operators.spatial import polygons
 
 
-def ingest_lines(
-    features: DataFrame, text: str, wkt: bool = False, drop: tuple[str, ...] = (), limit: int | None = None
-) -> DataFrame:
-    """Line text to rounded ``coords``; listed attributes dropped, rows capped for trial runs."""
+def ingest_lines(features: DataFrame, text: str, wkt: bool = False, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Line text to rounded ``coords``; listed attributes dropped."""
     parsed = G.parse_wkt(F.col(text)) if wkt else G.parse_polyline(F.col(text))
-    lines = features.withColumn("coords", G.round_coords(parsed)).drop(text, *drop)
-    return lines if limit is None else lines.limit(limit)
+    return features.withColumn("coords", G.round_coords(parsed)).drop(text, *drop)
 
 
 def add_geometry(lines: DataFrame, coords: str = "coords") -> DataFrame:

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def write_by_date(df: DataFrame, path: str, date: str = "date") -> None:
     """Parquet partitioned by date, so that a day filter reads one folder.
 
     Rows are rebalanced by date rather than hashed to one task per date: adaptive
-    execution splits a date that holds much of the data and joins small ones.
+    execution splits a date that holds much of the data and joins small ones. Only
+    the dates that occur in ``df`` are replaced; the folders of other dates stay.
     """
-    df.hint("rebalance", F.col(date)).write.mode("overwrite").partitionBy(date).parquet(path)
+    writer = df.hint("rebalance", F.col(date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(date).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

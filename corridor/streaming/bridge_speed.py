@@ -36,6 +36,17 @@ def windowed_speed(steps: DataFrame, time: str, window: str = "15 minutes", late
     )
 
 
+def with_open_windows(finished: DataFrame, steps: DataFrame, time: str, window: str = "15 minutes", late: str = "1 hour") -> DataFrame:
+    """The windows that the stream has finished and, from the steps at rest, those still open.
+
+    The watermark closes windows in order of time, so all windows that start after
+    the last finished one are open; only the steps since then are read for them.
+    """
+    last = finished.agg(F.max("window_start").alias("last")).first()["last"]
+    newest = windowed_speed(steps if last is None else steps.where(F.col(time).cast("timestamp_ntz") >= F.lit(last)), time, window, late)
+    return finished.unionByName(newest if last is None else newest.where(F.col("window_start") > F.lit(last)))
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process what has arrived and append the finished windows to Parquet."""
     query = (

@@ -77,6 +77,19 @@ def test_lines_meet_bridges(spark):
         assert [r.bridge for r in padded.collect()] == ["HZMB"]
 
 
+def test_polygon_paths_agree_on_repeated_and_null_keys(spark):
+    rows = [(1, [(113.59, 22.80), (113.63, 22.78)]), (1, [(113.0, 23.0), (113.1, 23.1)]), (None, [(113.76, 22.282), (113.77, 22.282)]),
+            (None, [(113.0, 23.0), (113.1, 23.1)]), (1, [(113.59, 22.80), (113.63, 22.78)])]
+    df = spark.createDataFrame([(i, line(*points)) for i, points in rows], LINES)
+    shapes = spatial.bridge_polygons(spark)
+    doubled = shapes.unionByName(shapes)
+    few, grid = (
+        sorted(((r.id, len(r.coords), r.bridge) for r in spatial.join_polygons(df, doubled, "id", few=n).collect()), key=str) for n in (64, 0)
+    )
+    assert few == grid and len(few) == 8
+    assert [r[2] for r in few].count("Humen bridge") == 4 and [r[2] for r in few].count(None) == 2
+
+
 def test_polygon_paths_agree_on_random_lines(spark):
     rng = random.Random(5)
     shapes = [[(113.6 + rng.uniform(-0.2, 0.2), 22.5 + rng.uniform(-0.4, 0.4)) for _ in range(rng.randint(1, 6))] for _ in range(200)]

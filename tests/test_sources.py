@@ -87,7 +87,7 @@ def test_polygons_from_geojson(spark, tmp_path):
 
 def test_line_ingest(spark):
     df = spark.createDataFrame([(1, "113.1234567,22.5;bad;113,22.6000004", "r")], "id int, line string, road string")
-    row = lines.ingest_lines(df, "line", drop=("road",), limit=100)
+    row = lines.ingest_lines(df, "line", drop=("road",))
     assert row.columns == ["id", "coords"] and [tuple(p) for p in row.first().coords] == [(113.123457, 22.5), (113.0, 22.6)]
     wkt = lines.add_geometry(row).first()._wkt
     assert wkt == "LINESTRING (113.123457 22.5, 113 22.6)"
@@ -152,3 +152,10 @@ def test_merged_steps_to_parquet(spark, tmp_path):
     merged = spark.createDataFrame([("6063037203", "372", 20200506, "R")], "ID string, tripID string, date int, road string")
     row = jobs.steps_to_parquet(merged, str(tmp_path / "steps")).first()
     assert (row.timestamp, row.period, row.stepID) == (datetime(2020, 5, 6, 6, 30), 3, 3)
+
+
+def test_writing_a_day_keeps_the_others(spark, tmp_path):
+    path = str(tmp_path / "days")
+    sinks.write_by_date(spark.createDataFrame([(1, "2020-05-01"), (2, "2020-05-02")], "id int, date string"), path)
+    sinks.write_by_date(spark.createDataFrame([(3, "2020-05-02")], "id int, date string"), path)
+    assert sorted((r.id, str(r.date)) for r in spark.read.parquet(path).collect()) == [(1, "2020-05-01"), (3, "2020-05-02")]
