@@ -90,20 +90,30 @@ def segment_rows(routes: DataFrame, source: str = "gcj02", target: str = "gcj02"
     )
 
 
-def kept_points(points: Column, both: bool = True) -> Column:
+def kept_points(points: Column, both: bool = True, run: int = 256) -> Column:
     """Drop points that do not move away from the last kept one (0, 0 at the start).
 
     By default a point must differ in both coordinates; ``both=False`` keeps it if
-    either differs.
+    either differs. The fold gathers points in runs of ``run``, so that it does not
+    copy all points kept so far for each new one.
     """
-    def moved(kept: Column, p: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        dx = p["lon"] != F.coalesce(last["lon"], F.lit(0.0))
-        dy = p["lat"] != F.coalesce(last["lat"], F.lit(0.0))
+    def moved(last: Column, p: Column) -> Column:
+        dx, dy = p["lon"] != last["lon"], p["lat"] != last["lat"]
         return dx & dy if both else dx | dy
 
-    start = F.array().cast(schemas.COORDS)
-    return F.aggregate(points, start, lambda kept, p: F.when(moved(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
+    def add(state: Column, p: Column) -> Column:
+        grown = F.concat(state["open"], F.array(p))
+        full = F.size(state["open"]) >= run - 1
+        kept = F.struct(
+            F.when(full, F.concat(state["runs"], F.array(grown))).otherwise(state["runs"]).alias("runs"),
+            F.when(full, F.array().cast(schemas.COORDS)).otherwise(grown).alias("open"), p.alias("last"),
+        )
+        return F.when(moved(state["last"], p), kept).otherwise(state)
+
+    point = schemas.COORDS.removeprefix("array<").removesuffix(">")
+    start = F.struct(F.array().alias("runs"), F.array().alias("open"), F.struct(F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat")).alias("last"))
+    start = start.cast(f"struct<runs:array<{schemas.COORDS}>,open:{schemas.COORDS},last:{point}>")
+    return F.aggregate(points, start, add, lambda s: F.flatten(F.concat(s["runs"], F.array(s["open"]))))
 
 
 def trip_line(routes: DataFrame, source: str = "gcj02", target: str = "gcj02", both: bool = True) -> DataFrame:

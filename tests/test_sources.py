@@ -159,3 +159,17 @@ def test_writing_a_day_keeps_the_others(spark, tmp_path):
     sinks.write_by_date(spark.createDataFrame([(1, "2020-05-01"), (2, "2020-05-02")], "id int, date string"), path)
     sinks.write_by_date(spark.createDataFrame([(3, "2020-05-02")], "id int, date string"), path)
     assert sorted((r.id, str(r.date)) for r in spark.read.parquet(path).collect()) == [(1, "2020-05-01"), (3, "2020-05-02")]
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_kept_points_of_long_routes(spark, both):
+    points = [((i // 3) % 50 / 10, (i // 2) % 70 / 10) for i in range(2000)]
+    want, last = [], (0.0, 0.0)
+    for p in points:
+        moved = (p[0] != last[0], p[1] != last[1])
+        if all(moved) if both else any(moved):
+            want.append(p)
+            last = p
+    df = spark.createDataFrame([([{"lon": x, "lat": y} for x, y in points],)], "p array<struct<lon:double,lat:double>>")
+    for run in (1, 7, 256):
+        assert [tuple(p) for p in df.select(routes.kept_points(F.col("p"), both, run).alias("k")).first().k] == want
