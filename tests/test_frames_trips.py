@@ -49,6 +49,21 @@ def test_join_unique_splits_hot_keys(spark, how):
     assert "Union" in plan and "LeftAnti" in plan
 
 
+def test_join_unique_leaves_null_keys_in_place(spark):
+    """Half of the rows have a null key; without adaptive execution no partition gathers them."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(0, 8000, 1, 8).selectExpr("if(id % 2 = 0, null, cast(id % 997 as int)) as k", "id as v")
+        side = spark.range(997).selectExpr("cast(id as int) as k", "id * 3 as w")
+        joined = frames.join_unique(df, side, ["k"], "left", small=10)
+        assert joined.count() == 8000 and joined.where("k is null and w is null").count() == 4000
+        sizes = joined.where("k is null").groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == 8 and max(r["count"] for r in sizes) == 500
+        assert frames.join_unique(df, side, ["k"], "inner", small=10).count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_dense_ids(spark):
     df = spark.range(5000).selectExpr("id * 7 as k")
     for buckets in (1, 16, 4096):
