@@ -122,7 +122,8 @@ def _product(postings: DataFrame, by: str, other: str, size: int, dense: np.ndar
             np.add.at(block, at, parts)
             for key, row in zip(keys.tolist(), block):
                 sums[key] = sums[key] + row if key in sums else row
-        yield pd.DataFrame({"key": list(sums), "row": [r.tolist() for r in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"key": list(sums), "row": [r.tolist() for r in sums.values()]})
 
     out = np.zeros((size, width))
     for row in postings.repartition(by).mapInPandas(multiply, "key int, row array<double>").toLocalIterator():
