@@ -123,11 +123,12 @@ def _product(postings: DataFrame, by: str, other: str, size: int, dense: np.ndar
             for key, row in zip(keys.tolist(), block):
                 sums[key] = sums[key] + row if key in sums else row
         if sums:
-            yield pd.DataFrame({"key": list(sums), "row": [r.tolist() for r in sums.values()]})
+            yield pd.DataFrame({"key": list(sums), "row": [r.tobytes() for r in sums.values()]})
 
     out = np.zeros((size, width))
-    for row in postings.repartition(by).mapInPandas(multiply, "key int, row array<double>").toLocalIterator():
-        out[row["key"]] = row["row"]
+    # a block's passages or words times the width: a fixed bound
+    for row in postings.repartition(by).mapInPandas(multiply, "key int, row binary").collect():
+        out[row["key"]] = np.frombuffer(row["row"])
     return out
 
 
