@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corridor.llm import shingles
 from corridor.llm.common import in_pieces
 from corridor.operators.frames import join_small, join_unique
 from corridor.operators.graph import components
@@ -175,21 +176,21 @@ def near_components(prints: DataFrame, id_col: str = "doc_id", radius: int = RAD
     return join_unique(prints, labels.drop("_n"), ["fp"], "inner", labels.select("fp", "_n")).select(id_col, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Keep one row of each near-duplicate component: the one with the smallest id.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = shingles.SHINGLE,
+                similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """Keep one row of each group of near copies (see ``shingles``): the one with the smallest id, then row number.
 
-    Rows with the same smallest id: equal rows collapse, of different ones the
-    longest text stays, then the greatest. Texts without a word are no copies of
-    each other and stay, as do rows without an id.
+    Rows are told apart by a number they get here, not by their id: rows with the
+    same id are copies only if their texts are, and rows without an id are copies
+    as all others, but the last choice. Texts without a word are no copies of each
+    other and stay.
     """
-    columns = docs.columns
-    marked = near_components(fingerprints(docs, id_col, text_col, shingle), id_col, radius)
-    losers = stored(marked.where(f"component_id <> {id_col} and fp <> 0").select(id_col).distinct(), "simhash-losers")
-    repeated = stored(
-        docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).select(id_col), "simhash-repeated"
-    )
-    kept = join_small(docs, losers, [id_col], "left_anti")
-    once = join_small(kept, repeated, [id_col], "left_anti")
-    order = F.struct(F.length(F.col(text_col).cast("string")), *[F.col(c).cast("string") for c in columns])
-    twice = join_small(kept, repeated, [id_col], "left_semi").groupBy(id_col).agg(F.max_by(F.struct(*columns), order).alias("_row"))
-    return once.unionByName(twice.select("_row.*"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number"))
+    numbered = stored(rows, "simhash-rows")
+    texts = numbered.select("number", F.col("row")[text_col].cast("string").cast("binary").alias("text"))
+    grouped = stored(shingles.near_groups(texts, shingle, similarity), "simhash-groups")
+    named = join_small(numbered.select("number", F.col("row")[id_col].alias("id")), grouped, ["number"])
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "number"))["number"]
+    winners = named.groupBy("group").agg(first.alias("number")).select("number")
+    losers = stored(grouped.select("number").join(winners, "number", "left_anti"), "simhash-losers")
+    return join_small(numbered, losers, ["number"], "left_anti").select("row.*")

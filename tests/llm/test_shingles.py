@@ -1,0 +1,70 @@
+"""Near copies by shingle sets against all pairs."""
+
+import random
+
+import pytest
+
+from corridor.llm import shingles, simhash
+from tests.llm.data import words
+
+
+def shingles_of(text, size=5):
+    parts = words((text or "").lower())
+    return {tuple(parts[i : i + size]) for i in range(max(1, len(parts) - size + 1))} if parts else set()
+
+
+def groups_by_pairs(texts, similarity=0.8):
+    """Lowest member of each row's group, over all pairs."""
+    sets = [shingles_of(t) for t in texts]
+    lowest = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((lowest[i], lowest[j]))
+                lowest = [a if x == b else x for x in lowest]
+    return lowest
+
+
+def near_copies(seed=5, groups=60, most=5):
+    """Texts with copies in which so many words are replaced that the similarity lies around 0.8."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(groups):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(4, 300))]
+        for _ in range(rng.randint(1, most)):
+            text = list(base)
+            for k in rng.sample(range(len(text)), int(len(text) * rng.choice([0, 0.005, 0.015, 0.02, 0.025, 0.04]))):
+                text[k] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(text))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_deduplicate_equals_all_pairs(spark, crowd):
+    texts = near_copies()
+    wanted = groups_by_pairs(texts)
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "number long, text binary")
+    found = {r.number: r.group for r in shingles.near_groups(rows, crowd=crowd).collect()}
+    lowest = {}
+    for number, group in found.items():
+        lowest[group] = min(number, lowest.get(group, number))
+    assert [lowest[found[i]] if i in found else i for i in range(len(texts))] == wanted
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == sorted(set(wanted))
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = random.Random(2)
+    base = [f"word{i}" for i in range(400)]
+    texts = [" ".join(base)]
+    for i in range(200):
+        text = list(base)
+        for k in rng.sample(range(400), 4):
+            text[k] = f"other{i}x{k}"
+        texts.append(" ".join(text))
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "number long, text binary")
+    wanted = groups_by_pairs(texts)
+    found = {r.number: r.group for r in shingles.near_groups(rows).collect()}
+    assert len(set(found.values())) == len({w for i, w in enumerate(wanted) if wanted.count(w) > 1})
+    assert set(found) == {i for i, w in enumerate(wanted) if wanted.count(w) > 1}
