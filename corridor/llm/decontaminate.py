@@ -298,7 +298,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return result.select(F.col("id").alias(id_col), F.col("item").cast(item_kind).alias(item_col), *columns[2:])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that leak no item; leaking ids are a written table, broadcast if counted small."""
-    leaking = stored(find_leaks(docs, benchmark, id_col, text_col, **options).select(id_col).distinct(), "latent-leaks")
-    return join_small(docs, leaking, [id_col], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that leak no item.
+
+    A leak depends on the text alone, so texts are told apart by their digest, not
+    by the row's id: ids may repeat or be null. Leaking digests are a written
+    table, broadcast if counted small.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(F.col(text_col).cast("string").cast("binary"), 256).alias("digest"))
+    texts = rows.select("digest", F.col("row")[text_col].alias("text"))
+    leaking = stored(find_leaks(texts, benchmark, "digest", "text", **options).select("digest").distinct(), "latent-leaks")
+    return join_small(rows, leaking, ["digest"], "left_anti").select("row.*")

@@ -86,3 +86,14 @@ def test_edges(spark):
         assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "None"]
     assert dc.find_leaks(empty_docs(spark), bench).count() == 0
     assert dc.find_leaks(edge_docs(spark), bench.where("false")).count() == 0
+
+
+def test_clean_by_row_not_by_id(spark):
+    item = "a passage that the benchmark holds and that no document of the corpus may hold"
+    docs = spark.createDataFrame(
+        [(None, item), (None, "a clean text without an id"), (3, item), (3, "a clean text that shares the id of a leaking one"), (4, None)],
+        "doc_id long, text string",
+    )
+    kept = dc.clean(docs, spark.createDataFrame([(1, item)], ITEM)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [
+        ("3", "a clean text that shares the id of a leaking one"), ("4", "None"), ("None", "a clean text without an id")]

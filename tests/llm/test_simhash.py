@@ -93,3 +93,14 @@ def test_one_large_group_of_near_copies(spark):
     values = {r.doc_id: r.fp & (1 << 64) - 1 for r in prints.collect()}
     found = {r.doc_id: r.component_id for r in simhash.near_components(prints, crowd=16).collect()}
     assert found == components_by_pairs([values[i] for i in range(301)], 3)
+
+
+def test_deduplicate_by_row_not_by_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    third = " ".join(f"u{i}" for i in range(60))
+    docs = spark.createDataFrame(
+        [(None, text), (None, text), (None, other), (7, third), (7, other), (7, "unrelated words under the same id")], "doc_id long, text string"
+    )
+    kept = sorted((str(r.doc_id), r.text) for r in simhash.deduplicate(docs).collect())
+    assert kept == sorted([("None", text), ("7", third), ("7", other), ("7", "unrelated words under the same id")])
