@@ -2,7 +2,7 @@
 
 Base: the places where the words of a phrase stand consecutively.
 
-Method: a text block (a line) contains a template if it has at least
+Method: a text block (a line, or a run of words) contains a template if it has at least
 ``threshold`` of the template's distinct words. All blocks that do are found by
 the exact join of prefix filtering. Words are ordered by their frequency in the
 whole corpus, rarest first. A block that shares ``a = ceil(threshold * |T|)`` words
@@ -119,19 +119,32 @@ def containing_blocks(blocks: DataFrame, templates: dict[str, str] = TEMPLATES,
     return verified.select("rid", "block", "label", (F.col("shared") / F.size("t")).alias("containment"))
 
 
+def _run_hits(words: Column, listed: Column, templates: dict[str, str]) -> Column:
+    """``(block, hits)`` of overlapping runs of words, twice as long as the longest template and one template apart.
+
+    Every stretch as long as a template lies whole in a run, so line breaks do not matter.
+    """
+    longest = max((len(text.split()) for text in templates.values()), default=1)
+    # the outer transform binds the words once, not for each run
+    return F.flatten(F.transform(F.array(words), lambda w: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(w) - 1) / longest).cast("int")),
+        lambda i: F.struct(i.cast("long").alias("block"), F.array_intersect(F.slice(w, i * longest + 1, F.lit(2 * longest)), listed).alias("hits")))))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES,
-         threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:
+         threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES, by_runs: bool = False) -> DataFrame:
     """A row per document: ``<id>, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks``.
 
     ``labels`` and ``base_labels`` are sorted arrays. ``blocks`` lists ``(block,
     label, containment)`` of the lines that contain a template, lines counted from
-    0. ``score`` is 1 with a base place, else the best containment, else 0. The text
+    0; with ``by_runs`` of the runs of words (see ``_run_hits``), which find a notice
+    however its lines are broken. ``score`` is 1 with a base place, else the best containment, else 0. The text
     is read once; a table of the base results and of each line's template words
     goes on, with a row number, so repeated and null ids keep their own results.
     """
     flat = F.concat(F.lit(" "), F.trim(F.regexp_replace("normal", "[ \n]+", " ")), F.lit(" "))
     listed = F.array(*[F.lit(w) for w in _vocabulary(templates)])
-    hits = F.transform(F.split("normal", "\n"), lambda line, i: F.struct(
+    hits = _run_hits(F.split(F.trim("flat"), " "), listed, templates) if by_runs else F.transform(F.split("normal", "\n"), lambda line, i: F.struct(
         i.cast("long").alias("block"), F.array_intersect(F.split(F.trim(line), " +"), listed).alias("hits")))
     normal = docs.select(F.col(id_col).alias("id"), normal_text(text_of(text_col)).alias("normal")).withColumn("flat", flat)
     base = stored(normal.select(

@@ -54,3 +54,19 @@ def test_edges(spark):
         rows = licenses.scan(docs).collect()
         assert len(rows) == 8 and all(r.score == 0 and r.labels == [] for r in rows)
     assert licenses.scan(empty_docs(spark)).count() == 0
+
+
+def test_wrapped_notices_by_runs(spark):
+    filler = "some other words stand here and there in between " * 12
+    wrapped = {
+        "gpl-redistribute": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License",
+        "bsd-redistribution": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted",
+        "mpl-2-notice": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+    }
+    scattered = "released " + filler + "under the " + filler + "mit " + filler + "license"
+    texts = [filler + "\n" + text + "\n" + filler for text in wrapped.values()] + [scattered, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in licenses.scan(docs, by_runs=True).collect()}
+    for i, label in enumerate(wrapped):
+        assert label in found[i]
+    assert found[3] == found[4] == found[5] == []
