@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor.llm import chat, decontaminate, langid, licenses, lm, mixing, quality, simhash, toxicity, warc
+from corridor.llm import chat, decontaminate, langid, licenses, lm, mixing, quality, repair, simhash, topk, toxicity, warc, whitening
 from corridor.llm.common import fold, table
 from corridor.scratch import new_path, stored
 
@@ -182,3 +182,91 @@ def op10_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
     views = chat.rotate(table(spark, folder, "conversations"))
     spans = F.array_join(F.transform("mask", lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
     return views.withColumn("mask", spans)
+
+
+OP11_SQL = f"""
+with v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda c: cast(floor({topk.SCALE} * cast(c as double)) as bigint)) as x
+           from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0),
+s as (select q.rid, q.vec_id as query_id, c.vec_id,
+             cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) as bigint) as score
+      from v q join v c on q.rid <> c.rid where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by rid order by score desc, vec_id nulls last) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= {topk.K}
+"""
+
+
+@query("op11_topk", OP11_SQL)
+def op11_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+
+def _op13_sql() -> str:
+    """The damage by a byte-wise crc32, and the edits by a recursion over the rows of each conversation from its end."""
+    blank = r"'[^\x20\x09-\x0D]'"
+    wanted, after, names = repair.WANTED, repair.AFTER, repair.NAMES
+
+    def option(cost: str, letter: str, then: str, line: str | None = None) -> str:
+        text = f"{then}.t" if line is None else f"{line} || coalesce(chr(10) || {then}.t, '')"
+        return f"{{'c': ({cost} + {then}.c)::bigint, 'a': '{letter}' || {then}.a, 't': {text}}}"
+
+    def base(state: int) -> str:
+        to = f"s{after[state]}"
+        keep = f"when not gone and class = '{wanted[state]}' then {option('3 * cut', 'K', to, 'line')}"
+        if state == 0:
+            keep += f" when not gone and class = 's' then {option('3 * cut', 'K', 's1', 'line')}"
+        role = names[wanted[state]]
+        rerole = option("3 + 3 * cut", "R", to, f"'{role}:' || text")
+        options = f"[{option('4', 'D', f's{state}')}, case {keep} end, case when not gone then {rerole} end]"
+        return f"list_sort(list_filter({options}, lambda x: x is not null))[1] as b{state}"
+
+    def inserted(state: int, then: str, name: str) -> str:
+        line = f"'{names[wanted[state]]}:'"
+        return f"list_sort([b{state}, {option('3', 'I', then, line)}])[1] as {name}"
+
+    ends = "{'c': 0::bigint, 'a': '', 't': null::varchar}", "{'c': 6::bigint, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}", \
+        "{'c': 3::bigint, 'a': 'I', 't': 'assistant:'}", "{'c': 0::bigint, 'a': '', 't': null::varchar}"
+    return f"""
+with recursive k as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                        lambda c, n: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as steps),
+c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+             coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+h as (select c.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::bigint)),
+                      lambda a, b: xor(steps[(xor(a, b) & 255) + 1], a // 256)), 4294967295) % 20 as kind from c, k),
+d as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+             case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+             unnest(case when kind = 3 then [0, 1] else [0] end) as copy from h where kind <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, encode(role), md5(length(role) || ':' || role || text)) as pos,
+             not regexp_matches(text, {blank}) as blank from d),
+f as (select *, not blank and row_number() over (partition by conv_id, role, text order by pos) > 1 as again,
+             case when role[1] in ('s', 'u', 'a') then role[1] else 'o' end as class,
+             regexp_extract_all(text, {blank})[-1] not in ('.', '!', '?') as open, role || ':' || text as line from o),
+g as (select *, blank or again as gone, case when not blank and not again and open then 1 else 0 end as cut,
+             lag(class) over (partition by conv_id order by pos) || class as pair from f),
+dp as (select conv_id, max(pos) + 1 as i, {', '.join(f'{e} as s{n}' for n, e in enumerate(ends))} from g group by conv_id
+       union all
+       select conv_id, i, {inserted(0, 'z2', 's0')}, {inserted(1, 'z2', 's1')}, z2 as s2, z3 as s3 from (
+         select *, {inserted(2, 'b3', 'z2')}, {inserted(3, 'b2', 'z3')} from (
+           select dp.conv_id, dp.i - 1 as i, {', '.join(base(n) for n in range(4))}
+           from dp join g on g.conv_id is not distinct from dp.conv_id and g.pos = dp.i - 1))),
+e as (select conv_id, s0.c as cost, s0.a as audit, sha256(coalesce(s0.t, '')) as repaired_sha256 from dp where i = 1),
+n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank,
+             count(*) filter (where again) as duplicate, sum(cut)::bigint as truncated,
+             count(*) filter (where pair is not null and pair not in ('su', 'ua', 'au')) as illegal from g group by conv_id),
+w as (select distinct conv_id from conversations)
+select w.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost,
+       coalesce(audit, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from w left join n on w.conv_id is not distinct from n.conv_id left join e on w.conv_id is not distinct from e.conv_id
+"""
+
+
+@query("op13_repair", _op13_sql())
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return repair.report(repair.damage(rows), rows)

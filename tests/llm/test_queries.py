@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_registered():
     names = contract.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
 
 
