@@ -52,7 +52,7 @@ EXACT = 2.0**62
 
 @dataclass
 class Fit:
-    """What ``fit`` learns: rows, exact sums, mean, eigenvalues and vectors (as columns), share of the variance."""
+    """What ``fit`` learns: rows, exact sums, mean, eigenvalues and vectors (as columns), share of the variance, the packed rows."""
 
     n: int
     sums: list[int]
@@ -61,6 +61,7 @@ class Fit:
     vectors: np.ndarray
     explained: np.ndarray
     rounds: int
+    blocks: DataFrame | None
 
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -76,6 +77,22 @@ def _batches(frame: pd.DataFrame, width: int) -> Iterator[tuple[pd.DataFrame, np
         yield part, filled(list(part["x"]), width)
 
 
+def packed(rows: DataFrame, width: int) -> DataFrame:
+    """The vectors as blocks of a few MB, stored: the passes read them without decoding lists again and again."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, x in _batches(frame, width):
+                yield pd.DataFrame({"x": [x.tobytes()]})
+
+    return stored(rows.select("x").mapInPandas(each, "x binary"), "whiten-blocks")
+
+
+def _blocks(frame: pd.DataFrame, width: int) -> Iterator[np.ndarray]:
+    for block in frame["x"]:
+        yield np.frombuffer(block, np.int64).reshape(-1, width)
+
+
 def _added(df: DataFrame, task, rows: int, columns: int) -> np.ndarray:
     """The sum over all batches of ``task(batch) -> matrix``: each task adds its own up, Spark adds the tasks'."""
 
@@ -102,27 +119,27 @@ def _moments(fit_rows: DataFrame) -> tuple[int, list[int]]:
     return fit_rows.count(), [sums[i] for i in range(len(sums))]
 
 
-def _product(fit_rows: DataFrame, mean: np.ndarray, n: int, block: np.ndarray) -> np.ndarray:
+def _product(blocks: DataFrame, mean: np.ndarray, n: int, block: np.ndarray) -> np.ndarray:
     """``XᵀX block / n`` with the rows of X centred before they are multiplied."""
     width = len(mean)
 
     def task(frame: pd.DataFrame) -> np.ndarray:
         total = np.zeros(block.shape)
-        for _, x in _batches(frame, width):
+        for x in _blocks(frame, width):
             centred = x - mean
             total += centred.T @ (centred @ block)
         return total
 
-    return _added(fit_rows.select("x"), task, *block.shape) / n
+    return _added(blocks, task, *block.shape) / n
 
 
-def _total_variance(fit_rows: DataFrame, mean: np.ndarray, n: int) -> float:
+def _total_variance(blocks: DataFrame, mean: np.ndarray, n: int) -> float:
     width = len(mean)
 
     def task(frame: pd.DataFrame) -> np.ndarray:
-        return np.array([[sum(float(((x - mean) ** 2).sum()) for _, x in _batches(frame, width))]])
+        return np.array([[sum(float(((x - mean) ** 2).sum()) for x in _blocks(frame, width))]])
 
-    return float(_added(fit_rows.select("x"), task, 1, 1)[0, 0]) / n
+    return float(_added(blocks, task, 1, 1)[0, 0]) / n
 
 
 def _ritz(q: np.ndarray, vq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,13 +156,14 @@ def fit(fit_rows: DataFrame, components: int = COMPONENTS, guards: int = GUARDS,
     n, sums = _moments(fit_rows)
     width = len(sums)
     if not n:
-        return Fit(0, sums, np.zeros(0), np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0)
+        return Fit(0, sums, np.zeros(0), np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0, None)
     mean = np.array([float(Fraction(s, n)) for s in sums])
     k = min(components, width)
     m = min(width, components + guards)
-    trace = _total_variance(fit_rows, mean, n)
+    blocks = packed(fit_rows, width)
+    trace = _total_variance(blocks, mean, n)
     draw = np.random.default_rng(seed)
-    apply = lambda b: _product(fit_rows, mean, n, b)
+    apply = lambda b: _product(blocks, mean, n, b)
     q = np.linalg.qr(draw.standard_normal((width, m)))[0]
     values, x, vx, residual = _ritz(q, apply(q))
     fresh = False
@@ -153,7 +171,7 @@ def fit(fit_rows: DataFrame, components: int = COMPONENTS, guards: int = GUARDS,
         small = bool((residual[:k] <= TOLERANCE * max(values[0], 0.0)).all())
         if small and (fresh or m == width or not trace):  # with as many directions as dimensions none can hide
             shares = np.maximum(values[:k], 0.0) / trace if trace else np.zeros(k)
-            return Fit(n, sums, mean, values[:k], x[:, :k], shares, rounds)
+            return Fit(n, sums, mean, values[:k], x[:, :k], shares, rounds, blocks)
         fresh = small
         start, v_start = x, vx
         low = max(values[-1], values[0] * 1e-6)  # the spectrum below is damped
@@ -180,8 +198,8 @@ def _scales(found: Fit) -> np.ndarray:
     return np.where(real, 1 / np.sqrt(np.where(real, found.values, 1.0)), np.nan)
 
 
-def identity_error(fit_rows: DataFrame, found: Fit) -> float | None:
-    """Largest absolute entry of the whitened rows' covariance minus the identity, over the components with variance."""
+def identity_error(found: Fit) -> float | None:
+    """Largest absolute entry of the whitened fit rows' covariance minus the identity, over the components with variance."""
     real = np.flatnonzero(~np.isnan(_scales(found)))
     if not len(real):
         return None
@@ -189,18 +207,18 @@ def identity_error(fit_rows: DataFrame, found: Fit) -> float | None:
     turn = found.vectors[:, real] * _scales(found)[real]
 
     def sums(frame: pd.DataFrame) -> np.ndarray:
-        return sum(((x - mean) @ turn).sum(axis=0)[:, None] for _, x in _batches(frame, width))
+        return sum(((x - mean) @ turn).sum(axis=0)[:, None] for x in _blocks(frame, width))
 
-    centre = (_added(fit_rows.select("x"), sums, len(real), 1) / found.n)[:, 0]
+    centre = (_added(found.blocks, sums, len(real), 1) / found.n)[:, 0]
 
     def products(frame: pd.DataFrame) -> np.ndarray:
         total = np.zeros((len(real), len(real)))
-        for _, x in _batches(frame, width):
+        for x in _blocks(frame, width):
             w = (x - mean) @ turn - centre
             total += w.T @ w
         return total
 
-    covariance = _added(fit_rows.select("x"), products, len(real), len(real)) / found.n
+    covariance = _added(found.blocks, products, len(real), len(real)) / found.n
     return float(np.abs(covariance - np.eye(len(real))).max())
 
 
@@ -216,7 +234,7 @@ def _deviations(x: np.ndarray, n: int, sums: list[int]) -> list[int | None]:
 def project(rows: DataFrame, found: Fit) -> DataFrame:
     """``(vec_id, component, deviation, whitened, explained)``: a row for each row and component."""
     width, mean, scales = len(found.mean), found.mean, _scales(found)
-    k, turn = len(scales), found.vectors * np.nan_to_num(scales)
+    k, turn, n, sums = len(scales), found.vectors * np.nan_to_num(scales), found.n, found.sums
     if not width:
         return rows.selectExpr("vec_id", "0 as component", "0L as deviation", "0D as whitened", "0D as explained").limit(0)
 
@@ -225,7 +243,7 @@ def project(rows: DataFrame, found: Fit) -> DataFrame:
             for part, x in _batches(frame, width):
                 whitened = (x - mean) @ turn
                 yield pd.DataFrame({
-                    "vec_id": part["vec_id"].to_numpy(), "deviation": pd.array(_deviations(x, found.n, found.sums), dtype="Int64"),
+                    "vec_id": part["vec_id"].to_numpy(), "deviation": pd.array(_deviations(x, n, sums), dtype="Int64"),
                     "whitened": list(whitened),
                 })
 
@@ -246,6 +264,6 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "vec_
     rows = whole_vectors(vectors, id_col, vector_col)
     fit_rows = stored(rows.select("x").distinct(), "whiten-fit")
     found = fit(fit_rows, components)
-    error = identity_error(fit_rows, found) if found.n else None
+    error = identity_error(found) if found.n else None
     done = project(rows, found).withColumns({"n": F.lit(found.n).cast("bigint"), "identity_error": F.lit(error).cast("double")})
     return done.select(F.col("vec_id").alias(id_col), "component", "n", "deviation", "whitened", "explained", "identity_error")
