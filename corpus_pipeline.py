@@ -29,8 +29,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: 0.8 of their five-word shingles in common, verified."""
-    return simhash.deduplicate(docs)
+    """One document of each group of linked fingerprints stays: three-word shingles, three bits at most (as ``op4``)."""
+    return simhash.deduplicate(docs, shingle=simhash.SHINGLE, radius=simhash.RADIUS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corridor.llm import shingles
 from corridor.llm.common import in_pieces
 from corridor.operators.frames import join_small, join_unique
 from corridor.operators.graph import components
@@ -176,21 +175,22 @@ def near_components(prints: DataFrame, id_col: str = "doc_id", radius: int = RAD
     return join_unique(prints, labels.drop("_n"), ["fp"], "inner", labels.select("fp", "_n")).select(id_col, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = shingles.SHINGLE,
-                similarity: float = shingles.SIMILARITY) -> DataFrame:
-    """Keep one row of each group of near copies (see ``shingles``): the one with the smallest id, then row number.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Keep one row of each group of linked fingerprints: the one with the smallest id, then row number.
 
     Rows are told apart by a number they get here, not by their id: rows with the
-    same id are copies only if their texts are, and rows without an id are copies
-    as all others, but the last choice. Texts without a word are no copies of each
-    other and stay.
+    same id are copies only if their fingerprints are linked, and rows without an id are
+    copies as all others, but the last choice. Texts without a word share the
+    fingerprint zero and are linked like any others, so one of them stays.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number"))
     numbered = stored(rows, "simhash-rows")
-    texts = numbered.select("number", F.col("row")[text_col].cast("string").cast("binary").alias("text"))
-    grouped = stored(shingles.near_groups(texts, shingle, similarity), "simhash-groups")
-    named = join_small(numbered.select("number", F.col("row")[id_col].alias("id")), grouped, ["number"])
+    prints = fingerprints(numbered.select("number", F.col("row")[text_col].alias("text")), "number", "text", shingle)
+    linked = stored(near_components(prints, "number", radius), "simhash-linked")
+    groups = stored(linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "simhash-groups")
+    members = stored(join_unique(linked, groups.select("component_id"), ["component_id"], "inner", groups).select("number", "component_id"), "simhash-members")
+    named = join_small(numbered.select("number", F.col("row")[id_col].alias("id")), members, ["number"])
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "number"))["number"]
-    winners = named.groupBy("group").agg(first.alias("number")).select("number")
-    losers = stored(grouped.select("number").join(winners, "number", "left_anti"), "simhash-losers")
+    winners = named.groupBy("component_id").agg(first.alias("number")).select("number")
+    losers = stored(members.select("number").join(winners, "number", "left_anti"), "simhash-losers")
     return join_small(numbered, losers, ["number"], "left_anti").select("row.*")

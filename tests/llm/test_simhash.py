@@ -76,7 +76,7 @@ def test_deduplicate(spark, make):
     docs = make(spark)
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "None"]  # 1, 2 and 3 have no word
     assert simhash.deduplicate(empty_docs(spark)).count() == 0
 
 
@@ -104,3 +104,23 @@ def test_deduplicate_by_row_not_by_id(spark):
     )
     kept = sorted((str(r.doc_id), r.text) for r in simhash.deduplicate(docs).collect())
     assert kept == sorted([("None", text), ("7", third), ("7", other), ("7", "unrelated words under the same id")])
+
+
+def test_deduplicate_keeps_the_smallest_id_of_each_component(spark):
+    rng = random.Random(8)
+    base = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(150):  # copies with one word changed; the row order is not the id order
+        text = list(base)
+        text[rng.randrange(300)] = f"other{i}"
+        rows.append((500 - 3 * i, " ".join(text)))
+    rows += [(1000 + i, " ".join(f"t{i}x{k}" for k in range(40))) for i in range(20)] + [(None, " ".join(base)), (1001, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    values = [by_definition(t) & (1 << 64) - 1 for _, t in rows]
+    component = components_by_pairs(values, simhash.RADIUS)
+    best = {}
+    for at, (number, _) in enumerate(rows):
+        key = (number is None, number or 0, at)
+        best[component[at]] = min(key, best.get(component[at], key))
+    wanted = sorted(str(rows[at][0]) for _, _, at in best.values())
+    assert sorted(str(r.doc_id) for r in simhash.deduplicate(docs).collect()) == wanted
