@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from corridor.functions import geometry as G
+from corridor.functions import ids
 from corridor.operators import heat, spatial, trips
 from corridor.operators.paths import PathStore
 from corridor.plans import jobs
 from corridor.plans import views as V
 from corridor.plans.geometry_queries import SPATIAL, duck_groups, duck_merged, duck_near
 from corridor.plans.registry import query
+from corridor.plans.step_queries import CLOCK, _merged
 from corridor.plans.trip_queries import KEYS, K
 from corridor.scratch import new_path, stored
 from corridor.sources import routes
+from corridor.streaming import day_batches
 
 POINT = "split_part(polyline, ';', p)"
 TEXT = f"""string_agg({V.duck_degree(f"split_part({POINT}, ',', 1)::DOUBLE")} || ' ' ||
@@ -146,3 +150,40 @@ def job_bridge_steps(spark, folder):
     dictionary = V.lines(spark, folder).withColumnRenamed("id", "fid")
     rows = V.steps(spark, folder).select("fid", "OD", "road", "instruction")
     return jobs.steps_on_bridges(rows, dictionary, spatial.bridge_polygons(spark))
+
+
+@query(
+    "job_batch_days",
+    V.with_views("steps_v") + f"""SELECT event_id, concat(day(date), clock, OD, lpad(stepID::VARCHAR, 2, '0')) AS tripID, OD::VARCHAR AS OD,
+        date::VARCHAR AS day, round({CLOCK}, 6) AS t, stepID, road FROM steps_v""",
+)
+def job_batch_days(spark, folder):
+    """Day files in two arrivals, the second one late for days that are done; the first run is lost after a write and repeated."""
+    rows = _merged(spark, folder).withColumn("file", F.expr("concat('trip_step_', date % 1000000, '.csv')"))
+    lines = rows.select("event_id", "file", F.concat_ws(",", "event_id", "ID", "tripID", F.coalesce("road", F.lit("")), "fid").alias("value"))
+    landing, out, marks = (new_path(spark, name) for name in ("landing", "days", "marks"))
+
+    def arrive(part, condition):
+        lines.where(condition).drop("event_id").hint("rebalance", F.col("file")).write.partitionBy("file").text(f"{landing}/{part}")
+
+    def run(after_write=None):
+        jobs.batch_days(
+            spark, landing, out, marks, "event_id bigint, ID string, tripID string, road string, fid bigint", after_write,
+            glob="*.txt", date=lambda file: ids.date_from_file_name(F.regexp_extract(file, "file=([^/]+)/", 1)), files_per_batch=64,
+        )
+
+    def lose(number):
+        raise ConnectionError("the driver is lost before the batch counts as done")
+
+    arrive("first", "event_id % 3 <> 0")
+    try:
+        run(lose)
+    except StreamingQueryException:
+        pass
+    run()
+    arrive("second", "event_id % 3 = 0")
+    run()
+    done = spark.read.parquet(f"{out}/rows")
+    return done.select(
+        "event_id", "tripID", F.col("OD").cast("string").alias("OD"), F.col("date").cast("string").alias("day"), F.round("t", 6).alias("t"), "stepID", "road"
+    )

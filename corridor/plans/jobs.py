@@ -13,6 +13,7 @@ from corridor.operators import frames, heat, paths, quality, spatial, steps, tri
 from corridor.operators.paths import PathStore
 from corridor.scratch import checkpoint
 from corridor.sources import sinks, tables
+from corridor.streaming import day_batches
 
 
 def trip_day(features: DataFrame, csv: DataFrame, store: PathStore, check: bool = True) -> DataFrame:
@@ -93,6 +94,20 @@ def steps_to_parquet(merged: DataFrame, path: str) -> DataFrame:
     return merged.sparkSession.read.parquet(path)
 
 
+def batch_days(
+    spark: SparkSession, landing: str, out: str, marks: str, schema: str = f"ID string, fid bigint, {schemas.STEPS}", after_write=None, **more
+) -> None:
+    """All step files that have arrived in ``landing`` to parsed, period-marked rows by date and file.
+
+    Bad files are set aside with an outcome and the run goes on; a repeated run writes nothing twice.
+    """
+    def shape(rows: DataFrame) -> DataFrame:
+        dated = rows.withColumn("date", F.date_format("date", "yyyyMMdd").cast("int"))
+        return frames.compose(dated, [steps.parse_step_ids, steps.add_step_period])
+
+    day_batches.run_day_batches(spark, landing, out, marks, schema, shape, after_write=after_write, **more)
+
+
 def step_csv_to_parquet(spark: SparkSession, folder: str, path: str) -> DataFrame:
     """Step CSV files with an int date column to date-partitioned Parquet, read back."""
     rows = tables.read_csv(spark, folder, f"date string, {schemas.STEPS}")

@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_by_date(df: DataFrame, path: str, date: str = "date") -> None:
-    """Parquet partitioned by date, so that a day filter reads one folder.
+def write_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Parquet partitioned by ``keys``, replacing only the partitions that occur in ``df``.
 
-    Rows are rebalanced by date rather than hashed to one task per date: adaptive
-    execution splits a date that holds much of the data and joins small ones. Only
-    the dates that occur in ``df`` are replaced; the folders of other dates stay.
+    Rows are rebalanced by the keys rather than hashed to one task per partition:
+    adaptive execution splits one that holds much of the data and joins small ones.
     """
-    writer = df.hint("rebalance", F.col(date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(date).parquet(path)
+    writer = df.hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*keys).parquet(path)
+
+
+def write_by_date(df: DataFrame, path: str, date: str = "date") -> None:
+    """Parquet partitioned by date, so that a day filter reads one folder; the folders of other dates stay."""
+    write_partitions(df, path, [date])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
