@@ -290,6 +290,35 @@ def merge_equal_edges(spark, folder):
     return merged.select("id", F.round("freq", 6).alias("freq"), "members")
 
 
+def _duck_fold(cap: float) -> str:
+    """The greedy fold of small components, edge by edge in order."""
+    return f"""members AS (SELECT component, e.id, freq, (SELECT list(b) FROM links WHERE a = e.id) AS partners,
+            row_number() OVER (PARTITION BY component ORDER BY freq DESC, ('0x' || md5(e.id::VARCHAR)[1:15])::BIGINT, e.id) AS place
+        FROM near_freq e JOIN groups g ON e.id = g.node),
+    fold AS (
+        SELECT component, 0::BIGINT AS place, []::BIGINT[] AS done, NULL::BIGINT AS id, NULL::DOUBLE AS freq, 1::BIGINT AS members FROM members WHERE place = 1
+        UNION ALL
+        SELECT component, place, CASE WHEN skip THEN done WHEN fits THEN list_concat(done, [id], found) ELSE list_append(done, id) END,
+            CASE WHEN NOT skip THEN id END, CASE WHEN fits THEN total ELSE freq END, CASE WHEN fits THEN len(found) + 1 ELSE 1 END
+        FROM (SELECT *, round(total, 9) <= {cap} AS fits FROM (
+            SELECT *, freq + coalesce((SELECT sum(freq) FROM near_freq WHERE id IN (SELECT unnest(found))), 0) AS total FROM (
+                SELECT m.*, f.done, list_contains(f.done, m.id) AS skip, list_filter(m.partners, lambda p: NOT list_contains(f.done, p)) AS found
+                FROM fold f JOIN members m ON m.component = f.component AND m.place = f.place + 1))))"""
+
+
+@query(
+    "fold_equal_edges",
+    V.with_views("near_v", recursive=True, more=f"""near_freq AS (SELECT id, 0.2::DOUBLE + (id % 5) * 0.1::DOUBLE AS freq, coords FROM near_v),
+    pairs AS ({duck_near('near_v', 'id')}), {duck_groups('pairs')}, {_duck_fold(1.0)}""")
+    + """SELECT id, round(freq, 6) AS freq, members FROM fold WHERE id IS NOT NULL
+        UNION ALL SELECT id, round(freq, 6), 1 FROM near_freq WHERE id NOT IN (SELECT node FROM groups)""",
+)
+def fold_equal_edges(spark, folder):
+    edges = V.near_lines(spark, folder).withColumn("freq", F.expr("0.2D + (id % 5) * 0.1D"))
+    folded = heat.fold_equal_edges(edges, cap=1.0)
+    return folded.select("id", F.round("freq", 6).alias("freq"), "members")
+
+
 FINE = """fine AS (SELECT row_number() OVER (ORDER BY a_lon, a_lat, b_lon, b_lat) AS id, *,
         [struct_pack(lon := a_lon, lat := a_lat), struct_pack(lon := b_lon, lat := b_lat)] AS coords
     FROM (SELECT coords[i].lon AS a_lon, coords[i].lat AS a_lat, coords[i + 1].lon AS b_lon, coords[i + 1].lat AS b_lat, sum(freq) AS freq
