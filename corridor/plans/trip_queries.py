@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corridor.constants import CITY_ORDER
 from corridor.functions import calendar, ids
 from corridor.functions.geometry import haversine
-from corridor.operators import frames, quality, trips
+from corridor.operators import folds, frames, quality, trips
 from corridor.plans import views as V
 from corridor.plans.registry import query
 
@@ -321,3 +321,16 @@ def apply_by_group(spark, folder):
     rows = V.trips(spark, folder).select(*KEYS, "travelDis", "duration")
     schema = "k1 bigint, k2 int, k3 bigint, k4 bigint, kmh double"
     return frames.apply_in_pieces(rows, _kmh, schema).withColumn("kmh", F.round("kmh", 6))
+
+
+@query(
+    "regress_by_od",
+    V.with_views("trips_v") + """SELECT OD, count(duration + travelDis) AS n, round(regr_slope(travelDis, duration), 6) AS slope,
+        round(regr_intercept(travelDis, duration), 4) AS intercept, round(regr_r2(travelDis, duration), 6) AS r2
+        FROM (SELECT * EXCLUDE (od), CASE WHEN k3 % 10 > 0 THEN 0 WHEN od < 28 THEN od END AS OD FROM trips_v) GROUP BY OD""",
+)
+def regress_by_od(spark, folder):
+    """Distance on duration per OD; nine tenths of the trips are of one OD, and some have none."""
+    rows = V.trips(spark, folder).selectExpr("case when k3 % 10 > 0 then 0 when od < 28 then od end as OD", "duration", "travelDis")
+    found = folds.apply_by_group(rows, ["OD"], folds.regression("duration", "travelDis"), "n bigint, slope double, intercept double, r2 double")
+    return found.select("OD", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"))
