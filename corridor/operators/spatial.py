@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,13 @@ from corridor.operators.graph import components
 from corridor.scratch import checkpoint, is_small
 
 FEW_POLYGONS = 64
-FEW_LINES = 20_000
+#: Rows of a leaf beyond which it is cut, rows of a block of a leaf, representatives of a leaf at a time.
+CROWD = 512
+BLOCK = 4096
+HEADS = 8
+#: Where on a line its vertices are looked at, after both ends, to cut a crowded leaf; and the sign for its box.
+PROBES = [0.5, 0.25, 0.75]
+CORNER = -1.0
 
 
 def polygons(features: DataFrame, rings: str = "rings") -> DataFrame:
@@ -103,149 +109,229 @@ def _near_cells(lon: Column, lat: Column, cell: float, reach: float) -> Column:
     return _cells(box, cell)
 
 
-def _near_join(
-    lines: DataFrame, others: DataFrame, key: str, coords: str, tolerance: float, boxes: bool, ordered: bool,
-    group: str | None = None,
-) -> DataFrame:
-    """Pairs ``(a, b)`` of a line and another one that are equal within the tolerance.
-
-    With ``group`` only lines of different groups are paired.
+def _split(rows: DataFrame, own: Column, reached: Column, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(smaller leaves, leaves as they were): rows at home in the cell ``own`` and visiting all others they reach.
 
-    Both ends of a line are put on a grid of four tolerances; ``others`` are copied
-    to the cells their ends can reach, so that pairs meet on an equality of vertex
-    count and both end cells, and each pair is found once.
+    A leaf is cut only if that at least halves its comparisons (rows at home times all
+    rows); lines around a border of cells would else become visitors of every part.
+    Visitors of cells in which no row is at home are of no use and dropped.
     """
-    cell, reach = 4.0 * tolerance, 1.001 * tolerance
-    line = F.col(coords)
+    placed = rows.withColumns({"_own": own, "_cell": F.explode(reached)}).withColumns(
+        {"_in": F.col("_home") & (F.col("_cell") == F.col("_own")), "_part": F.xxhash64("_leaf", "_cell")}
+    )
+    parts = placed.groupBy("_leaf", "_part").agg(F.count(F.lit(1)).alias("_k"), F.count_if("_in").alias("_at")).where("_at > 0")
+    parts = checkpoint(parts)
+    work = parts.groupBy("_leaf").agg(F.sum(F.col("_k") * F.col("_at")).alias("_work"))
+    paying = checkpoint(work.join(sizes, "_leaf").where("2 * _work <= _n * _h").select("_leaf", F.lit(True).alias("_cut"), "_n"))
+    marked = checkpoint(join_unique(rows, paying.drop("_n"), ["_leaf"], "left", paying.select("_leaf", "_n")))
+    same = marked.where("_cut is null").drop("_cut")
+    cut = marked.where("_cut").drop("_cut").withColumns({"_own": own, "_cell": F.explode(reached)}).select(
+        F.xxhash64("_leaf", "_cell").alias("_leaf"), (F.col("_home") & (F.col("_cell") == F.col("_own"))).alias("_home"), "_id", "_line", "_box"
+    )
+    inhabited = parts.select(F.col("_part").alias("_leaf"), F.col("_k").alias("_n"))
+    return checkpoint(join_unique(cut, inhabited.select("_leaf"), ["_leaf"], "inner", inhabited)), same
 
-    def ends(df: DataFrame) -> DataFrame:
-        return df.where(F.size(line) > 0).select(
-            F.col(key).alias("_id"), line.alias("_line"), G.bounds(line).alias("_box"), F.size(line).alias("_n"),
-            (F.col(group) if group else F.lit(0)).alias("_g"), G.start_point(line).alias("_s"), G.end_point(line).alias("_e"),
-        )
 
-    at = {
-        f"_{side}{axis}": F.floor(F.col(f"_{side}.{name}") / cell)
-        for side, (axis, name) in product("se", (("x", "lon"), ("y", "lat")))
-    }
-    grid = list(at)
-    left = ends(lines).withColumns(at).drop("_s", "_e")
-    right = (
-        ends(others).withColumn("_c", F.explode(_near_cells(F.col("_s.lon"), F.col("_s.lat"), cell, reach)))
-        .withColumns({"_sx": F.col("_c.cx"), "_sy": F.col("_c.cy")})
-        .withColumn("_c", F.explode(_near_cells(F.col("_e.lon"), F.col("_e.lat"), cell, reach)))
-        .withColumns({"_ex": F.col("_c.cx"), "_ey": F.col("_c.cy")})
-        .select("_n", *grid, F.col("_id").alias("_id2"), F.col("_g").alias("_g2"), F.col("_line").alias("_line2"), F.col("_box").alias("_box2"))
+def _cut_by(tolerance: float) -> tuple[Column, Column]:
+    """The cell in which a row is at home and those it reaches, by what column ``_by`` of its leaf names.
+
+    That is the place of a vertex on the line, or ``CORNER``: then the corner of the bounding box, in cells of
+    four times the leaf's longest extent ``_sx``, ``_sy``. Boxes that meet begin no further apart than the
+    longest is; without any extent they begin alike. A side as long as the tolerance is not looked at.
+    """
+    point = F.col("_line")[F.floor(F.col("_by") * (F.size("_line") - 1)).cast("int")]
+    cell = 4.0 * tolerance
+
+    def side(axis: str) -> tuple[Column, Column]:
+        low, most = F.col(f"_box.{axis}0"), F.col(f"_s{axis}")
+        exact, wide, at = F.xxhash64(low), most >= tolerance, lambda v: F.floor(F.try_divide(v, 4.0 * most))
+        own = F.when(wide, F.lit(0).cast("long")).when(most == 0, exact).otherwise(at(low))
+        span = F.sequence(at(low - 1.001 * most), at(low + 1.001 * most))
+        return own, F.when(wide, F.array(F.lit(0).cast("long"))).when(most == 0, F.array(exact)).otherwise(span)
+
+    (x, xs), (y, ys) = side("x"), side("y")
+    corners = F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    corner = F.col("_by") == CORNER
+    own = F.when(corner, F.struct(x.alias("cx"), y.alias("cy"))).otherwise(
+        F.struct(F.floor(point["lon"] / cell).alias("cx"), F.floor(point["lat"] / cell).alias("cy"))
     )
-    different = F.col("_id") < F.col("_id2") if ordered else F.col("_id") != F.col("_id2")
-    if group:
-        different = different & (F.col("_g") != F.col("_g2"))
-    matched = different & G.almost_equal(F.col("_line"), F.col("_line2"), tolerance)
-    if boxes:
-        matched = different & G.boxes_meet(F.col("_box"), F.col("_box2")) & matched
-    joined = left.join(right, ["_n", *grid]).where(matched)
-    return joined.select(F.col("_id").alias("a"), F.col("_id2").alias("b"))
+    return own, F.when(corner, corners).otherwise(_near_cells(point["lon"], point["lat"], cell, 1.001 * tolerance))
 
 
-def near_pairs(
-    lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4, boxes: bool = True
-) -> DataFrame:
-    """Pairs ``(a, b)``, ``a < b``, of lines equal vertex by vertex within a tolerance.
+def _crowded(rows: DataFrame, crowd: int, tolerance: float, boxes: bool) -> DataFrame:
+    """Leaves of more than ``crowd`` rows: their rows ``_n``, those at home ``_h`` and the best cut ``_by``, null if none would help.
 
-    ``lines`` must hold each geometry once. ``boxes`` keeps only pairs whose bounding
-    boxes meet. The pairs are the result here; to merge groups use ``near_groups``.
+    The lines at home spread over some cells at each place that could be looked at; the
+    place with the widest spread is taken, if it is two cells at least.
     """
-    return _near_join(lines, lines, key, coords, 0.5 * 10.0**-decimal, boxes, True)
+    home = lambda v: F.when(F.col("_home"), v)
+    spread = lambda v: F.max(home(v)) - F.min(home(v))
+    width, height = F.col("_box.x1") - F.col("_box.x0"), F.col("_box.y1") - F.col("_box.y0")
+    places = []
+    for n, place in enumerate(PROBES):
+        point = F.col("_line")[F.floor(F.lit(place) * (F.size("_line") - 1)).cast("int")]
+        places.append((F.greatest(spread(point["lon"]), spread(point["lat"])) / (4.0 * tolerance)).alias(f"_w{n}"))
+    counts = rows.groupBy("_leaf").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("_home").alias("_h"), F.max(width).alias("_sx"), F.max(height).alias("_sy"),
+        spread(F.col("_box.x0")).alias("_rx"), spread(F.col("_box.y0")).alias("_ry"), *places,
+    ).where((F.col("_h") > 0) & (F.col("_n") > crowd))
+    corner = [
+        F.when(F.col(f"_s{c}") < tolerance, F.when(F.col(f"_s{c}") > 0, F.col(f"_r{c}") / (4.0 * F.col(f"_s{c}"))).otherwise(F.col(f"_r{c}") / 1e-9))
+        for c in "xy"
+    ]
+    options = [F.struct(F.col(f"_w{n}").alias("w"), F.lit(place).alias("by")) for n, place in enumerate(PROBES)]
+    if boxes:
+        options.append(F.struct(F.coalesce(F.greatest(*corner), F.lit(0.0)).alias("w"), F.lit(CORNER).alias("by")))
+    best = F.array_max(F.array(*options))
+    return counts.select("_leaf", "_n", "_h", "_sx", "_sy", F.when(best["w"] >= 2, best["by"]).alias("_by"))
 
 
-def _small_cells(coords: Column, box: Column, tolerance: float) -> list[Column]:
-    """Key of lines that are surely nearly equal to each other, as two longs.
+def _leaves(lines: DataFrame, key: str, coords: str, tolerance: float, boxes: bool, crowd: int) -> DataFrame:
+    """Rows ``(_leaf, _home, _id, _line, _box)``: every line at home in one leaf and a visitor of all others it can be near to.
 
-    All vertices share cells whose diagonal is below the tolerance. Near lines at
-    least a tolerance wide and high always have meeting boxes; a thinner line is
-    keyed with its exact extent in the thin direction, which makes boxes meet too.
+    A leaf is first a vertex count and the cells of both ends. Leaves of more than
+    ``crowd`` rows are counted and cut again where their lines spread most: at a vertex in
+    between, or by the corners of the bounding boxes, if those must meet. Two near lines
+    always share the home leaf of each. Stored.
     """
-    side = tolerance * 0.7
-    cells = F.transform(
-        coords, lambda p: F.struct(F.floor(p["lon"] / side).alias("x"), F.floor(p["lat"] / side).alias("y"))
+    cell, reach, line = 4.0 * tolerance, 1.001 * tolerance, F.col(coords)
+    rows = lines.where(F.size(line) > 0).select(
+        F.size(line).cast("long").alias("_leaf"), F.lit(True).alias("_home"), F.col(key).alias("_id"), line.alias("_line"), G.bounds(line).alias("_box")
     )
-    wide = F.lit(tolerance * 1.001)
-    thin = [
-        F.when(box[high] - box[low] < wide, F.struct(box[low], box[high])) for low, high in (("x0", "x1"), ("y0", "y1"))
-    ]
-    return [F.xxhash64(cells, *thin), F.xxhash64(F.lit("cells"), cells, *thin)]
+    for point in (G.start_point(F.col("_line")), G.end_point(F.col("_line"))):
+        own = F.struct(F.floor(point["lon"] / cell).alias("cx"), F.floor(point["lat"] / cell).alias("cy"))
+        rows = rows.withColumns({"_own": own, "_cell": F.explode(_near_cells(point["lon"], point["lat"], cell, reach))}).withColumns(
+            {"_home": F.col("_home") & (F.col("_cell") == F.col("_own")), "_leaf": F.xxhash64("_leaf", "_cell")}
+        ).drop("_own", "_cell")
+    rows, done = checkpoint(rows), []
+    while True:
+        wide = checkpoint(_crowded(rows, crowd, tolerance, boxes).where("_by is not null"))
+        if wide.isEmpty():
+            return checkpoint(reduce(DataFrame.unionByName, [*done, rows]))
+        marked = checkpoint(join_unique(rows, wide.select("_leaf", "_sx", "_sy", "_by"), ["_leaf"], "left", wide.select("_leaf", "_n")))
+        done.append(marked.where("_by is null").drop("_sx", "_sy", "_by"))
+        rows, same = _split(marked.where("_by is not null"), *_cut_by(tolerance), wide.select("_leaf", "_n", "_h"))
+        done.append(same.drop("_sx", "_sy", "_by"))
+
+
+def _near(line: Column, box: Column, line2: Column, box2: Column, tolerance: float, boxes: bool) -> Column:
+    near = G.almost_equal(line, line2, tolerance)
+    return G.boxes_meet(box, box2) & near if boxes else near
+
+
+def _compared(left: DataFrame, right: DataFrame, condition: Column, block: int = BLOCK) -> DataFrame:
+    """Pairs ``(a, b)`` of rows of one leaf that meet the condition, compared in blocks.
+
+    A leaf is cut into as many blocks on each side as it holds ``block`` rows, and each
+    block meets each other one under a key of its own, so no key has more than about
+    ``2 * block`` rows. The right columns end with ``2``.
+    """
+    def sized(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    blocks = checkpoint(sized(left, "_bl").join(sized(right, "_br"), "_leaf"))
+    counts = blocks.select("_leaf", (F.greatest("_bl", "_br") * block).cast("long").alias("_n"))
+
+    def dealt(df: DataFrame, mine: str, other: str, at: str, across: str) -> DataFrame:
+        joined = join_unique(df, blocks, ["_leaf"], "inner", counts)
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(across)
+        return joined.select(*df.columns, F.pmod(F.xxhash64("_id"), F.col(mine)).cast("int").alias(at), every)
+
+    mine = dealt(left, "_bl", "_br", "_i", "_j")
+    theirs = dealt(right, "_br", "_bl", "_j", "_i")
+    renamed = theirs.select("_leaf", "_i", "_j", *[F.col(c).alias(f"{c}2") for c in right.columns if c != "_leaf"])
+    return mine.join(renamed, ["_leaf", "_i", "_j"]).where(condition).select(F.col("_id").alias("a"), F.col("_id2").alias("b"))
 
 
-def near_groups(
-    lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4, few: int = FEW_LINES
+def near_pairs(
+    lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4, boxes: bool = True, crowd: int = CROWD
 ) -> DataFrame:
+    """Pairs ``(a, b)``, ``a < b``, of lines equal vertex by vertex within a tolerance.
+
+    ``lines`` must hold each geometry once. ``boxes`` keeps only pairs whose bounding
+    boxes meet. The pairs are the result here; to merge groups use ``near_groups``.
+    """
+    tolerance = 0.5 * 10.0**-decimal
+    rows = _leaves(lines, key, coords, tolerance, boxes, crowd)
+    near = _near(F.col("_line"), F.col("_box"), F.col("_line2"), F.col("_box2"), tolerance, boxes)
+    return _compared(rows.where("_home").drop("_home"), rows.drop("_home"), (F.col("_id") < F.col("_id2")) & near)
+
+
+def near_groups(lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4, crowd: int = CROWD) -> DataFrame:
     """``(key, component)`` of the lines that near-equal pairs connect; a line alone has no row.
 
-    A dense group is not listed pair by pair. Lines that share small cells are
-    surely near and are stood for by one of them, their head. Heads are paired
-    first; then other lines only with heads of other groups; and only cells that
-    are still apart after that are compared line by line. Up to ``few`` lines
-    (counted) are simply paired.
+    Leaves that stay crowded however they are cut are not listed pair by pair. In each
+    of them a few lines at a time become representatives: all lines of the leaf are
+    compared with them, and the lines near to one are covered and need no more. When
+    representatives cover little beyond themselves, the lines that are left are compared
+    with all others. A pair that could still connect two groups has a line outside the
+    largest group of its leaf, so only those are compared at last.
     """
-    if is_small(lines, few):
-        return components(near_pairs(lines, key, coords, decimal)).withColumnRenamed("node", key)
     tolerance = 0.5 * 10.0**-decimal
-    cells = ["_hi", "_lo"]
-    hi, lo = _small_cells(F.col(coords), G.bounds(F.col(coords)), tolerance)
-    celled = checkpoint(lines.where(F.size(coords) > 0).select(key, coords, hi.alias("_hi"), lo.alias("_lo")))
-    heads = checkpoint(celled.groupBy(*cells).agg(
-        F.min_by(coords, key).alias(coords), F.min(key).alias(key), F.count(F.lit(1)).alias("_n")
-    ))
-    links = checkpoint(_near_join(heads, heads, key, coords, tolerance, True, True))
-    group = components(links)
-    crowded = heads.where("_n > 1")
+    near = _near(F.col("_line"), F.col("_box"), F.col("_line2"), F.col("_box2"), tolerance, True)
+    rows = _leaves(lines, key, coords, tolerance, True, crowd)
+    counts = rows.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_home").alias("_h"))
+    crowded = checkpoint(counts.where((F.col("_h") > 0) & (F.col("_n") > crowd)).drop("_h"))
     if crowded.isEmpty():
-        return group.withColumnRenamed("node", key)
-    head_of = heads.select(*cells, F.col(key).alias("_head"))
-    headed = checkpoint(join_unique(celled, head_of, cells, counts=heads.select(*cells, "_n")).drop(*cells))
-    others = headed.where(F.col(key) != F.col("_head"))
-    found = checkpoint(_lines_to_heads(others, _grouped(heads, group, key), group, key, coords, tolerance))
-    if not found.isEmpty():
-        group = components(_as_links(group).unionByName(found))
-    near_cells = _grouped(crowded, group, key)
-    open_cells = checkpoint(_near_join(near_cells, near_cells, key, coords, 3.0 * tolerance, False, True, "_group"))
-    if not open_cells.isEmpty():
-        group = components(_as_links(group).unionByName(_cells_to_cells(open_cells, headed, coords, tolerance)))
-    placed = _grouped(heads, group, key).select(F.col(key).alias("_head"), "_group", "_n", F.col("_linked"))
-    counts = placed.select("_head", "_n")
-    named = join_unique(headed, placed.where("_linked or _n > 1").drop("_n", "_linked"), ["_head"], counts=counts)
-    return named.select(key, F.col("_group").alias("component"))
-
-
-def _as_links(group: DataFrame) -> DataFrame:
-    return group.select(F.col("node").alias("a"), F.col("component").alias("b"))
-
-
-def _grouped(df: DataFrame, group: DataFrame, on: str) -> DataFrame:
-    """Add the group of the line in column ``on``, the line itself if it has none."""
-    named = group.select(F.col("node").alias(on), F.col("component").alias("_group"))
-    joined = checkpoint(join_unique(df, named, [on], "left"))
-    return joined.withColumns({"_linked": F.col("_group").isNotNull(), "_group": F.coalesce("_group", on)})
-
-
-def _lines_to_heads(
-    others: DataFrame, heads: DataFrame, group: DataFrame, key: str, coords: str, tolerance: float
-) -> DataFrame:
-    """Links between the head of a line and a near head of another group."""
-    mine = _grouped(others, group, "_head")
-    pairs = _near_join(mine, heads, key, coords, tolerance, True, False, "_group")
-    of_line = others.select(F.col(key).alias("a"), "_head")
-    return pairs.join(of_line, "a").select(F.col("_head").alias("a"), "b").distinct()
-
-
-def _cells_to_cells(open_cells: DataFrame, headed: DataFrame, coords: str, tolerance: float) -> DataFrame:
-    """Links between heads ``(a, b)`` of which some lines are near."""
-    mine = headed.select(F.col("_head").alias("a"), F.col(coords).alias("_line"))
-    theirs = headed.select(F.col("_head").alias("b"), F.col(coords).alias("_line2"))
-    near = G.boxes_meet(G.bounds(F.col("_line")), G.bounds(F.col("_line2"))) & G.almost_equal(
-        F.col("_line"), F.col("_line2"), tolerance
+        links = _compared(rows.where("_home").drop("_home"), rows.drop("_home"), (F.col("_id") < F.col("_id2")) & near)
+        return components(links).withColumnRenamed("node", key)
+    marked = checkpoint(join_unique(rows, crowded.select("_leaf", F.lit(True).alias("_full")), ["_leaf"], "left", crowded))
+    few, full = marked.where("_full is null").drop("_full"), marked.where("_full").drop("_full")
+    links = [_compared(few.where("_home").drop("_home"), few.drop("_home"), (F.col("_id") < F.col("_id2")) & near)]
+    covered, resolved = _cover(full, crowded, tolerance)
+    links.append(covered)
+    rest = resolved.where("_rest").select("_leaf", "_id")
+    left = checkpoint(full.where("_home").drop("_home").join(rest, ["_leaf", "_id"], "left_semi"))
+    links.append(_compared(left, full.drop("_home"), (F.col("_id") != F.col("_id2")) & near))
+    linked = checkpoint(reduce(DataFrame.unionByName, links))
+    group = components(linked)
+    more = checkpoint(_bridges(full, group, crowded, resolved, near))
+    if not more.isEmpty():
+        group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return group.withColumnRenamed("node", key)
+
+
+def _cover(full: DataFrame, crowded: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(links, resolved): links to representatives, and ``(_leaf, _id, _rest)`` of the representatives and the lines left over."""
+    links, heads = [], []
+    open_ = full.where("_home").drop("_home")
+    n_open = open_.count()
+    while n_open:
+        spread = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(HEADS))
+        one = F.min_by(F.struct("_id", "_line", "_box"), F.xxhash64("_id"))
+        chosen = open_.groupBy("_leaf", spread.alias("_slot")).agg(one.alias("_head"))
+        chosen = checkpoint(chosen.groupBy("_leaf").agg(F.collect_list("_head").alias("_heads")))  # at most HEADS a leaf
+        near = lambda h: _near(F.col("_line"), F.col("_box"), h["_line"], h["_box"], tolerance, True)
+        found = join_unique(full, chosen, ["_leaf"], "inner", crowded).select(
+            "_leaf", "_home", "_id", F.transform(F.filter("_heads", near), lambda h: h["_id"]).alias("_near")
+        )
+        found = checkpoint(found.where(F.size("_near") > 0))
+        links.append(found.select(F.col("_id").alias("a"), F.explode("_near").alias("b")).where("a <> b"))
+        heads.append(chosen.select("_leaf", F.explode(F.transform("_heads", lambda h: h["_id"])).alias("_id")))
+        open_ = checkpoint(open_.join(found.where("_home").select("_id"), "_id", "left_anti"))
+        before, n_open = n_open, open_.count()
+        if before - n_open < 2 * heads[-1].count():
+            break
+    told = [h.withColumn("_rest", F.lit(False)) for h in heads] + [open_.select("_leaf", "_id", F.lit(True).alias("_rest"))]
+    return reduce(DataFrame.unionByName, links), checkpoint(reduce(DataFrame.unionByName, told))
+
+
+def _bridges(full: DataFrame, group: DataFrame, crowded: DataFrame, resolved: DataFrame, near: Column) -> DataFrame:
+    """Near pairs between different groups in crowded leaves, of lines that were not compared with their whole leaf yet."""
+    named = join_unique(full, group.select(F.col("node").alias("_id"), "component"), ["_id"], "left")
+    named = checkpoint(named.withColumn("_group", F.coalesce("component", "_id")).drop("component"))
+    sizes = named.groupBy("_leaf", "_group").agg(F.count(F.lit(1)).alias("_m"))
+    largest = sizes.groupBy("_leaf").agg(F.max_by("_group", F.struct("_m", "_group")).alias("_large"), F.count(F.lit(1)).alias("_groups"))
+    largest = checkpoint(largest.where("_groups > 1").drop("_groups"))
+    placed = join_unique(named, largest, ["_leaf"], "inner", crowded).join(
+        resolved.select("_leaf", "_id", F.lit(True).alias("_known")), ["_leaf", "_id"], "left"
     )
-    return open_cells.join(mine, "a").join(theirs, "b").where(near).select("a", "b").distinct()
+    placed = checkpoint(placed.where(~F.col("_home") | F.col("_known").isNull()))
+    minor, columns = F.col("_group") != F.col("_large"), ["_leaf", "_id", "_line", "_box", "_group"]
+    apart = (F.col("_group") != F.col("_group2")) & near
+    home = placed.where("_home")
+    first = _compared(home.where(minor).select(columns), placed.select(columns), apart)
+    return first.unionByName(_compared(home.where(~minor).select(columns), placed.where(minor).select(columns), apart)).distinct()
 
 
 def almost_equal(lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4) -> DataFrame:

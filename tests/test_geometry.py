@@ -159,7 +159,7 @@ def test_near_groups_are_what_pairs_connect(spark, kind):
             ends = [(px, round(ends[0][1], 5)) for px, _ in ends]
         shapes.add(tuple((round(px, 6), round(py, 6)) for px, py in ends))
     shapes = [list(s) for s in sorted(shapes)]
-    got = {r.id: r.component for r in spatial.near_groups(frame(spark, *shapes), "id", few=0).collect()}
+    got = {r.id: r.component for r in spatial.near_groups(frame(spark, *shapes), "id", crowd=8).collect()}
     pairs = brute_pairs(shapes, 0.5e-4, True)
     assert got == groups_of(pairs) and len(pairs) > 50
     if kind == "dense":
@@ -242,5 +242,5 @@ def test_near_groups_of_crowded_cells(spark):
     shapes = [[(x, 22.0000005), (x + 0.01, 22.0100005)] for x in at]
     pairs = brute_pairs(shapes, 0.5e-4, True)
     assert pairs == {(0, 1), (2, 3), (1, 3)}
-    got = {r.id: r.component for r in spatial.near_groups(frame(spark, *shapes), "id", few=0).collect()}
+    got = {r.id: r.component for r in spatial.near_groups(frame(spark, *shapes), "id", crowd=8).collect()}
     assert got == {i: 0 for i in range(4)}
