@@ -37,7 +37,7 @@ SAMPLE_ROWS = 1500
 REJECTED = 0.005
 UNKNOWN = "und"
 DISCOUNT = 0.75
-ALPHABET = 1 << 16
+ALPHABET = 0x110000
 BLANK = 32
 PIECE = 1 << 22
 
@@ -47,7 +47,7 @@ def codes(text: str | None) -> np.ndarray:
     if not text:
         return np.zeros(0, np.uint64)
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _LETTER[np.minimum(points, ALPHABET - 1)]
+    letter = _LETTER[points]
     if not letter.any():
         return np.zeros(0, np.uint64)
     kept = letter | np.concatenate([[False], letter[:-1]])
@@ -57,10 +57,8 @@ def codes(text: str | None) -> np.ndarray:
 
 
 def _letters() -> np.ndarray:
-    """Which code points of the first plane are letters; the last entry stands for all beyond."""
-    table = np.fromiter((chr(i).isalpha() for i in range(ALPHABET)), bool, ALPHABET)
-    table[-1] = True
-    return table
+    """Which code points are letters, by their Unicode category."""
+    return np.fromiter((chr(i).isalpha() for i in range(ALPHABET)), bool, ALPHABET)
 
 
 _LETTER = _letters()

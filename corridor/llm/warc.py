@@ -65,7 +65,8 @@ def marked_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str
     """The rows with ``_revisits``: the id of the response that a row repeats, else null.
 
     Of rows with equal payloads of at least ``least`` bytes the one with the
-    largest id is the response. Payloads meet by SHA-1 and length; the largest id
+    largest id is the response; a row without an id repeats it like any other, and
+    rows that all have none are responses. Payloads meet by SHA-1 and length; the largest id
     is a partial aggregate, so many copies do not meet in one task, and hot
     payloads get it by broadcast.
     """
@@ -76,7 +77,7 @@ def marked_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str
         "warc-copies",
     )
     joined = join_unique(keyed, groups.drop("_n"), ["_key"], "left", groups.select("_key", "_n"))
-    return joined.withColumn("_revisits", F.when(F.col("_first") != F.col(id_col), F.col("_first"))).drop("_key", "_first")
+    return joined.withColumn("_revisits", F.when(~F.col("_first").eqNullSafe(F.col(id_col)), F.col("_first"))).drop("_key", "_first")
 
 
 def _record(row_id: str, uri: str, payload: bytes, revisits: str | None) -> bytes:

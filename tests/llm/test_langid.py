@@ -45,3 +45,9 @@ def test_edges(spark):
         assert all(0 <= r.score <= 1 and r.lang_pred in ("en", "de", "und") for r in rows)
     assert {r.lang_pred for r in langid.identify(edge_docs(spark), F.lit(False)).collect()} == {"und"}
     assert langid.identify(empty_docs(spark), F.lit(True)).count() == 0
+
+
+def test_only_letters_of_any_plane_count():
+    for text in ("\U0001F600 \U0001F600!", "\U0001F1E9\U0001F1EA", "12 %", "", None):
+        assert not len(langid.codes(text))
+    assert langid.codes("\U00020000").tolist() == [32, 0x20000, 32] and langid.codes("a\U0001F600b").tolist() == [32, 97, 32, 98, 32]

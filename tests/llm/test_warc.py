@@ -22,7 +22,7 @@ def expected(rows, least):
         data = (html or "").encode()
         same = [p for p, _, h in rows if (h or "").encode() == data and p is not None]
         first = max(same) if same and len(data) >= least else None
-        revisit = first is not None and page is not None and page != first
+        revisit = first is not None and page != first
         digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
         out.append((page, len(data), digest, "revisit" if revisit else "response", first if revisit else None))
     return sorted(out, key=str)
@@ -55,3 +55,16 @@ def test_listed_archives_and_empty_table(spark):
     listed = warc.archive_files(spark, folder)
     assert sorted(r.record_id for r in warc.read_warc(listed).collect()) == sorted(r.record_id for r in warc.read_warc(files).collect())
     assert warc.read_warc(warc.write_warc(spark.createDataFrame([], PAGES), new_path(spark, "warc"))).count() == 0
+
+
+def test_a_page_without_an_id_repeats_the_largest(spark):
+    pages = spark.createDataFrame([(2, "u", "same"), (None, "u", "same"), (1, "u", "same"), (None, "u", "alone"), (None, "u", "alone")], PAGES)
+    found = [(r.page_id, r._revisits) for r in warc.marked_revisits(pages).collect()]
+    assert sorted(found, key=str) == sorted([(2, None), (None, 2), (1, 2), (None, None), (None, None)], key=str)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(i, "u", f"text {i % 2}", "a", "b", 1, "p", b"x") for i in range(6)]
+    pages = spark.createDataFrame(rows, PAGES + ", _key string, _first string, _n int, path string, payload binary")
+    read = warc.read_warc(warc.write_warc(pages, new_path(spark, "warc"))).collect()
+    assert sorted(r.record_type for r in read) == ["response"] * 2 + ["revisit"] * 4
