@@ -267,8 +267,11 @@ LEAKS = "cosine double, lcs int, lcs_share double, answer_share double, start_wo
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-               item_text: str = "text", items: int = ITEMS, rank: int = RANK) -> DataFrame:
-    """A row per document and leaked item: ``<id>, <item>, cosine, lcs, lcs_share, answer_share, start_word, end_word``."""
+               item_text: str = "text", items: int = ITEMS, rank: int = RANK, piece: int = PIECE) -> DataFrame:
+    """A row per document and leaked item: ``<id>, <item>, cosine, lcs, lcs_share, answer_share, start_word, end_word``.
+
+    ``piece`` is about how many characters of text a task works on at a time; it bounds memory, not results.
+    """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     named = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).distinct()
@@ -287,7 +290,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         def each(frames, index=index):
             for frame in frames:
-                for part in in_pieces(frame, "text", PIECE):
+                for part in in_pieces(frame, "text", piece):
                     found = index.value.search(part["text"].tolist())
                     if found:
                         out = pd.DataFrame(found, columns=["at", *columns[1:]])
