@@ -11,8 +11,9 @@ subsequence. A document leaks an item if the subsequence holds ``COPIED`` of a
 passage's words, or ``REWORDED`` of them with a cosine of ``CLOSE`` and the answer
 (the passage's last sentence) among the words.
 
-The benchmark is worked off in blocks of ``ITEMS`` items, so what tasks and the
-driver hold has a fixed bound; each block reads the corpus twice, without any
+The benchmark is worked off in blocks of at most ``ITEMS`` items and ``RANK``
+passages, so what tasks and the driver hold has a fixed bound (an item of more
+passages is a block of its own); each block reads the corpus twice, without any
 shuffle of texts. All windows of all documents are searched. The latent space is
 fitted to the block's passages, with a rank that keeps them apart: with fewer
 dimensions than passages, common words carry most projections.
@@ -164,7 +165,7 @@ class Index:
 
     def __post_init__(self):
         """Which words a passage has, how many words, how many of them repeat another, and each word's part in a projection."""
-        self.members = np.zeros((len(self.passages), len(self.vocabulary)), bool)
+        self.members = np.zeros((len(self.passages), len(self.vocabulary) + 1), bool)  # the last column: other words
         for i, p in enumerate(self.passages):
             self.members[i, [self.vocabulary[w] for w in p.words]] = True
         self.counts = np.array([len(p.words) for p in self.passages])
@@ -213,27 +214,42 @@ class Index:
                 a = int(start_of[text]) + first
                 stretch = ids[a : min(a + WINDOW_BLOCKS * BLOCK, int(start_of[text + 1]))]
                 near = passage[row == window]
-                # no subsequence can be longer than the shared words allow
-                shared = self.members[near][:, np.unique(stretch[stretch < other])].sum(axis=1)
+                # no subsequence can be longer than the shared words allow; it may reach half a passage beyond the window
+                low = max(a - PASSAGE // 2, int(start_of[text]))
+                reach = ids[low : min(a + WINDOW_BLOCKS * BLOCK + PASSAGE // 2, int(start_of[text + 1]))]
+                shared = self.members[near][:, np.unique(reach)].sum(axis=1)
                 near = near[shared + self.repeats[near] >= REWORDED * self.counts[near]]
                 for p in near:
-                    found = self.compare(int(p), words[text], stretch, first)
+                    found = self.compare(int(p), words[text], stretch, a - low, reach, low - int(start_of[text]))
                     key = (text, self.passages[p].item)
                     if found and (key not in best or (found[2], found[0]) > (best[key][2], best[key][0])):
                         best[key] = found
         return [(text, item, *found) for (text, item), found in sorted(best.items())]
 
-    def compare(self, passage: int, words: list[str], stretch: np.ndarray, first: int) -> tuple | None:
-        """Cosine, subsequence and answer of a candidate; None if it is no leak."""
+    def compare(self, passage: int, words: list[str], stretch: np.ndarray, behind: int, reach: np.ndarray, low: int) -> tuple | None:
+        """Cosine, subsequence and answer of a candidate; None if it is no leak.
+
+        The region for the subsequence is twice as long as the passage: the part of
+        ``reach`` (it begins at word ``low``, ``behind`` words before the stretch)
+        with most of the passage's words, of equal ones the nearest around the
+        stretch of the cosine. So words that are spread by insertions are all met.
+        """
         cosine, at = self.cosine(stretch, passage)
         if cosine < COSINE:
             return None
         p = self.passages[passage]
         size = len(p.words)
-        start, end = max(0, first + at - size // 2), min(len(words), first + at + size + size // 2)
+        sums = np.concatenate([[0], np.cumsum(self.members[passage][reach])])
+        held = sums[2 * size :] - sums[: -2 * size] if len(reach) > 2 * size else sums[-1:]
+        full = np.flatnonzero(held == held.max())
+        start = low + int(full[np.argmin(np.abs(full - (behind + at - size // 2)))])
+        end = min(start + 2 * size, low + len(reach))
         region = words[start:end]
+        have = set(region)
+        if sum(map(have.__contains__, p.words)) < REWORDED * size:
+            return None
         common = lcs_length(p.words, region)
-        share, answer = common / size, len(p.answer & set(region)) / len(p.answer)
+        share, answer = common / size, len(p.answer & have) / len(p.answer)
         if share >= COPIED or share >= REWORDED and cosine >= CLOSE and answer >= ANSWER:
             return cosine, common, share, answer, start, end
         return None
@@ -263,6 +279,18 @@ def build_index(found: list[Passage], docs: DataFrame, rank: int = RANK) -> Inde
     return Index(found, vocabulary, terms, vectors, np.maximum(np.linalg.norm(vectors, axis=1), 1e-9))
 
 
+def passage_blocks(items: list[tuple], most: int) -> list[list[Passage]]:
+    """Passages of ``(item, text)`` rows in blocks of at most ``most``; an item stays whole, so one of more is a block of its own."""
+    blocks: list[list[Passage]] = []
+    for item, text in items:
+        found = passages(item, text)
+        if blocks and len(blocks[-1]) + len(found) <= most:
+            blocks[-1] += found
+        elif found:
+            blocks.append(found)
+    return blocks
+
+
 LEAKS = "cosine double, lcs int, lcs_share double, answer_share double, start_word int, end_word int"
 
 
@@ -283,21 +311,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     result = spark.createDataFrame([], schema)
     for first in range(0, total, items):
         block = numbered.where((F.col("number") >= first) & (F.col("number") < first + items)).orderBy("number").collect()
-        found = [p for row in block for p in passages(row["item"], row["text"])]
-        if not found:
-            continue
-        index = spark.sparkContext.broadcast(build_index(found, texts, rank))
-
-        def each(frames, index=index):
-            for frame in frames:
-                for part in in_pieces(frame, "text", piece):
-                    found = index.value.search(part["text"].tolist())
-                    if found:
-                        out = pd.DataFrame(found, columns=["at", *columns[1:]])
-                        out.insert(0, "id", part["id"].to_numpy()[out.pop("at")])
-                        yield out
-
-        result = result.unionByName(texts.mapInPandas(each, schema))
+        for found in passage_blocks([(row["item"], row["text"]) for row in block], rank):
+            index = spark.sparkContext.broadcast(build_index(found, texts, max(rank, len(found))))
+
+            def each(frames, index=index):
+                for frame in frames:
+                    for part in in_pieces(frame, "text", piece):
+                        found = index.value.search(part["text"].tolist())
+                        if found:
+                            out = pd.DataFrame(found, columns=["at", *columns[1:]])
+                            out.insert(0, "id", part["id"].to_numpy()[out.pop("at")])
+                            yield out
+
+            result = result.unionByName(texts.mapInPandas(each, schema))
     return result.select(F.col("id").alias(id_col), F.col("item").cast(item_kind).alias(item_col), *columns[2:])
 
 

@@ -67,6 +67,41 @@ def test_recall_against_brute_force(spark):
     assert all(d % 3 == 0 for d, _ in found)  # no clean document
 
 
+def test_words_spread_by_insertions(spark):
+    """Copies of whole passages with other words put between theirs, against the rule itself over the widest region."""
+    rng = random.Random(11)
+    item = [f"w{i}" for i in range(64)]
+    docs = []
+    for kept in (40, 42, 48, 56, 64):
+        for length in (96, 112, 128):
+            for shift in (0, 7, 16, 31):
+                body = [f"other{rng.randrange(10**6)}" for _ in range(500)]
+                places = sorted(rng.sample(range(length), kept))
+                for place, k in zip(places, sorted(rng.sample(range(64), kept))):
+                    body[200 + shift + place] = item[k]
+                docs.append(" ".join(body))
+    wanted = set()
+    for d, text in enumerate(docs):
+        body = text.split()
+        if any(slow_lcs(item, body[a : a + 128]) >= dc.COPIED * 64 for a in range(180, 260, 4)):
+            wanted.add(d)
+    frame = dc.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], ITEM))
+    found = {r.doc_id for r in frame.collect()}
+    assert len(wanted) >= 50 and found <= wanted
+    assert len(found) >= 0.9 * len(wanted)
+
+
+def test_blocks_hold_few_passages(spark):
+    """Long items come in blocks of their own and are found all the same, one row per document and item."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for i, n in enumerate([300, 20, 200, 40, 150, 30])]
+    sizes = [len(b) for b in dc.passage_blocks([(str(i), t) for i, t in items], 6)]
+    assert sum(sizes) == sum(len(dc.passages(str(i), t)) for i, t in items) and sorted(sizes)[:-1] == [n for n in sorted(sizes)[:-1] if n <= 6]
+    docs = [(10 + i, f"before {text} behind") for i, text in items]
+    found = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM), rank=6).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(10 + i, i) for i, _ in items]
+
+
 def test_randomised_svd(spark):
     rng = np.random.default_rng(1)
     dense = rng.standard_normal((20, 6)) @ rng.standard_normal((6, 30))
