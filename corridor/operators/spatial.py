@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corridor.constants import BRIDGE_NAMES, BRIDGE_RINGS
 from corridor.functions import geometry as G
-from corridor.operators.frames import join_unique
+from corridor.operators.frames import join_small, join_unique
 from corridor.operators.graph import components
 from corridor.scratch import checkpoint, is_small
 
@@ -21,6 +21,9 @@ HEADS = 8
 #: Where on a line its vertices are looked at, after both ends, to cut a crowded leaf; and the sign for its box.
 PROBES = [0.5, 0.25, 0.75]
 CORNER = -1.0
+#: Degrees by which a path's columns are widened against rounding, and the least size of a counted grid's cells.
+MARGIN = 1e-9
+LEAST_CELL = 1e-5
 
 
 def polygons(features: DataFrame, rings: str = "rings") -> DataFrame:
@@ -61,23 +64,126 @@ def _cells(box: Column, cell: float) -> Column:
     )
 
 
-def _line_cells(coords: Column, cell: float) -> Column:
-    """Grid cells along a line, segment by segment, each once."""
-    parts = F.when(F.size(coords) > 1, G.segments(coords)).otherwise(
-        F.transform(coords, lambda p: F.struct(p.alias("a"), p.alias("b")))
+def _bands(parts: DataFrame, cell: float) -> DataFrame:
+    """Rows with ends ``a`` and ``b``, once for each grid row ``cy`` they pass, with the columns ``c0`` to ``c1`` they pass in it.
+
+    A long part is followed along its path, so it has about as many cells as its
+    length holds. The margin makes up for rounding.
+    """
+    box = G.segment_box({"a": F.col("a"), "b": F.col("b")})
+    rows = parts.withColumn("_box", box).withColumn(
+        "cy", F.explode(F.sequence(F.floor(F.col("_box.y0") / cell), F.floor(F.col("_box.y1") / cell)))
     )
-    boxes = F.transform(parts, G.segment_box)
-    return F.array_distinct(F.flatten(F.transform(boxes, lambda box: _cells(box, cell))))
+    slope = F.try_divide(F.col("b.lon") - F.col("a.lon"), F.col("b.lat") - F.col("a.lat"))
+    at = lambda lat: F.col("a.lon") + (lat - F.col("a.lat")) * slope
+    low, high = at(F.greatest(F.col("_box.y0"), F.col("cy") * cell)), at(F.least(F.col("_box.y1"), (F.col("cy") + 1) * cell))
+    x0 = F.greatest(F.col("_box.x0"), F.coalesce(F.least(low, high) - MARGIN, "_box.x0"))
+    x1 = F.least(F.col("_box.x1"), F.coalesce(F.greatest(low, high) + MARGIN, "_box.x1"))
+    return rows.withColumns({"c0": F.floor(F.least(x0, x1) / cell), "c1": F.floor(F.greatest(x0, x1) / cell)}).drop("_box")
+
+
+def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], right_id: list[str], most: int = BLOCK) -> DataFrame:
+    """Inner join in which no key has more than about ``most`` rows of each side in one place.
+
+    The rows of a key counted to have more are dealt over parts by a hash of their
+    number, on both sides; each part of one side meets each part of the other.
+    """
+    def crowded(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).alias(name)).where(F.col(name) > 1)
+
+    cuts = checkpoint(crowded(left, "_ls").join(crowded(right, "_rs"), keys, "full"))
+    if cuts.isEmpty():
+        return left.join(right, keys)
+
+    def dealt(df: DataFrame, own: str, other: str, numbers: list[str], part: str, every: str) -> DataFrame:
+        placed = join_small(df, cuts, keys, "left")
+        return placed.withColumn(part, F.pmod(F.xxhash64(*numbers), F.coalesce(own, F.lit(1)))).withColumn(
+            every, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(other, F.lit(1)) - 1))
+        ).drop("_ls", "_rs")
+
+    return dealt(left, "_ls", "_rs", left_id, "_i", "_j").join(dealt(right, "_rs", "_ls", right_id, "_j", "_i"), [*keys, "_i", "_j"])
+
+
+def _mean_reach(parts: DataFrame) -> tuple[float, int]:
+    """Sum of the longer box sides of ``a``-``b`` rows, and their number."""
+    reach = F.greatest(F.abs(F.col("a.lon") - F.col("b.lon")), F.abs(F.col("a.lat") - F.col("b.lat")))
+    row = parts.agg(F.sum(reach).alias("sum"), F.count(F.lit(1)).alias("n")).first()
+    return row["sum"] or 0.0, row["n"]
+
+
+def _inside(starts: DataFrame, edge_bands: DataFrame, cell: float) -> DataFrame:
+    """``(_line, _polygon)`` of the start points inside a polygon, by even-odd ray casting.
+
+    Cells that no edge of a polygon passes are all inside or all outside. In a grid
+    row they form runs between the cells with edges, so a large polygon has few
+    runs, whatever its area. Points in a run marked inside are surely inside; points
+    in a cell with edges are tested against the polygon's edges of that grid row.
+    A run is found at the level of its own length: it lies in two blocks of it at most.
+    """
+    rows = checkpoint(edge_bands.groupBy("_polygon", "cy").agg(
+        F.collect_list(F.struct("a", "b")).alias("edges"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("c0", "c1"))))).alias("passed"),
+    ))
+    after = F.slice("passed", F.lit(2), F.size("passed"))
+    gaps = F.filter(
+        F.zip_with(F.slice("passed", F.lit(1), F.size("passed") - 1), after, lambda p, n: F.struct((p + 1).alias("f"), (n - 1).alias("t"))),
+        lambda g: g["f"] <= g["t"],
+    )
+    middle = G.point((F.col("g.f") + 0.5) * cell, (F.col("cy") + 0.5) * cell)
+    sure = rows.select("_polygon", "cy", "edges", F.explode(gaps).alias("g")).where(G.point_inside(middle, F.col("edges")))
+    passed = rows.select("_polygon", "cy", F.explode("passed").alias("f"), F.lit(False).alias("sure")).withColumn("t", F.col("f"))
+    runs = sure.select("_polygon", "cy", "g.f", "g.t", F.lit(True).alias("sure")).unionByName(passed)
+    width = F.col("t") - F.col("f") + 1
+    runs = runs.withColumn("level", F.ceil(F.log2(width)).cast("int"))
+    runs = checkpoint(runs.withColumn("block", F.explode(F.sequence(
+        F.floor(F.col("f") / F.pow(F.lit(2.0), "level")), F.floor(F.col("t") / F.pow(F.lit(2.0), "level"))))))
+    levels = [r["level"] for r in runs.select("level").distinct().collect()]  # at most the bits of a cell number
+    if not levels:
+        return starts.select("_line").withColumn("_polygon", F.lit(0).cast("bigint")).where("false")
+    placed = starts.withColumns({"cx": F.floor(F.col("p.lon") / cell), "cy": F.floor(F.col("p.lat") / cell)})
+    placed = placed.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])))
+    placed = placed.withColumn("block", F.floor(F.col("cx") / F.pow(F.lit(2.0), "level")))
+    met = _spread_join(placed, runs, ["cy", "level", "block"], ["_line"], ["_polygon", "f"]).where("cx between f and t")
+    met = checkpoint(met.select("_line", "p", "_polygon", "cy", "sure"))
+    tested = join_unique(met.where("not sure"), rows.select("_polygon", "cy", "edges"), ["_polygon", "cy"])
+    tested = tested.where(G.point_inside(F.col("p"), F.col("edges")))
+    return met.where("sure").select("_line", "_polygon").unionByName(tested.select("_line", "_polygon"))
+
+
+def _grid_hits(boxed: DataFrame, areas: DataFrame, coords: str, cell: float | None) -> DataFrame:
+    """``(_line, _polygon)`` that meet: an edge of the polygon touches a part of the line, or the line starts inside.
+
+    Edges and parts meet on the cells along their paths. The cell size follows
+    from the counted extents: about three cells for the mean part, so the rows are a small
+    multiple of the parts, however large single polygons are.
+    """
+    part = lambda c: F.posexplode(c).alias("_no", "_part")
+    lines = boxed.select("_line", part(G.segments(F.col(coords)))).select("_line", "_no", "_part.*")
+    edges = checkpoint(areas.select("_polygon", part("edges")).select("_polygon", F.col("_no").alias("_edge"), "_part.*"))
+    if cell is None:
+        (length, n), (more, m) = _mean_reach(lines), _mean_reach(edges)
+        cell = max((length + more) / (3 * max(n + m, 1)), LEAST_CELL)
+    edge_bands = checkpoint(_bands(edges, cell))
+    column = F.explode(F.sequence("c0", "c1")).alias("cx")
+    line_cells = checkpoint(_bands(lines, cell).select("_line", "_no", F.struct("a", "b").alias("s"), "cy", column))
+    edge_cells = checkpoint(edge_bands.select("_polygon", "_edge", F.struct("a", "b").alias("e"), "cy", column))
+    touching = _spread_join(line_cells, edge_cells, ["cx", "cy"], ["_line", "_no"], ["_polygon", "_edge"]).where(
+        G.segments_touch(F.col("s"), F.col("e"))
+    )
+    starts = boxed.select("_line", G.start_point(F.col(coords)).alias("p")).where("p.lon is not null and p.lat is not null")
+    return touching.select("_line", "_polygon").unionByName(_inside(starts, edge_bands, cell)).distinct()
 
 
 def join_polygons(
     lines: DataFrame, shapes: DataFrame, key: str, label: str = "bridge", coords: str = "coords",
-    pad: float | None = None, cell: float = 0.05, few: int = FEW_POLYGONS,
+    pad: float | None = None, cell: float | None = None, few: int = FEW_POLYGONS,
 ) -> DataFrame:
     """Left join of lines with the polygons they meet: one row per line row and polygon that meet, null without.
 
     Up to ``few`` polygons (counted, not assumed) are sent to every task, so the
-    lines are not shuffled. More of them meet the lines on grid cells instead. Both
+    lines are not shuffled. More of them meet the lines on grid cells instead: the
+    edges on the cells along their paths, their inner cells as runs marked inside
+    (with ``pad`` on the cells of their boxes). ``cell`` is its size, by default taken from the counted extents. Both
     ways give the same rows, whatever the keys and labels: on the grid, line rows
     and polygons carry numbers of their own, so repeated and null keys keep their
     own polygons and polygons of one label count separately.
@@ -91,15 +197,16 @@ def join_polygons(
 
     boxed = checkpoint(boxed.withColumn("_line", F.monotonically_increasing_id()))
     areas = checkpoint(areas.withColumn("_polygon", F.monotonically_increasing_id()))
-    reach = areas if pad is None else areas.withColumn("_reach", _padded(F.col("_area"), pad))
-    box = F.col("_area") if pad is None else F.col("_reach")
-    area_cells = reach.select("*", F.explode(_cells(box, cell)).alias("_cell")).select("*", "_cell.*").drop("_cell")
-    line_cells = (
-        boxed.select("_line", coords, "_box", F.explode(_line_cells(F.col(coords), cell)).alias("_cell"))
-        .select("*", "_cell.*").drop("_cell")
-    )
-    hits = line_cells.join(area_cells, ["cx", "cy"]).where(hit).select("_line", "_polygon", F.col("_label").alias(label)).distinct()
-    return boxed.join(hits.drop("_polygon"), "_line", "left").drop("_line", "_box")
+    if pad is None:
+        hits = _grid_hits(boxed, areas.select("_polygon", "edges"), coords, cell)
+    else:
+        size = cell or 0.05
+        area_cells = areas.select("*", F.explode(_cells(_padded(F.col("_area"), pad), size)).alias("_cell")).select("*", "_cell.*")
+        line_cells = boxed.select("_line", coords, "_box", F.explode(_cells(F.col("_box"), size)).alias("_cell")).select("*", "_cell.*")
+        met = line_cells.drop("_cell").join(area_cells.drop("_cell"), ["cx", "cy"]).where(hit)
+        hits = met.select("_line", "_polygon").distinct()
+    named = checkpoint(join_small(hits, areas.select("_polygon", F.col("_label").alias(label)), ["_polygon"]).drop("_polygon"))
+    return boxed.join(named, "_line", "left").drop("_line", "_box")
 
 
 def _near_cells(lon: Column, lat: Column, cell: float, reach: float) -> Column:

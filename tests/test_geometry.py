@@ -244,3 +244,31 @@ def test_near_groups_of_crowded_cells(spark):
     assert pairs == {(0, 1), (2, 3), (1, 3)}
     got = {r.id: r.component for r in spatial.near_groups(frame(spark, *shapes), "id", crowd=8).collect()}
     assert got == {i: 0 for i in range(4)}
+
+
+def test_many_polygons_with_a_large_one(spark):
+    """Many small rings and one over nearly everything: the grid equals the direct comparison, crowded cells cut or not."""
+    rng = random.Random(8)
+    spot = lambda reach: (113.6 + rng.uniform(-reach, reach), 22.5 + rng.uniform(-reach, reach))
+    rings = [[(x - r, y), (x, y - r), (x + r, y), (x, y + r), (x - r, y)] for (x, y), r in ((spot(0.3), rng.choice([0.002, 0.01, 0.05])) for _ in range(90))]
+    rings.append([(113.35, 22.3), (113.6, 22.15), (113.9, 22.45), (113.62, 22.8), (113.35, 22.3)])  # large
+    hole = [(113.5, 22.45), (113.7, 22.45), (113.7, 22.55), (113.5, 22.55), (113.5, 22.45)]
+    rows = [(f"r{i}", [line(*ring)] if i < 90 else [line(*ring), line(*hole)]) for i, ring in enumerate(rings)]
+    areas = spatial.polygons(spark.createDataFrame(rows, "bridge string, rings array<array<struct<lon:double,lat:double>>>"))
+    lines = [[spot(0.35)] * rng.randint(0, 1) + [spot(0.35) for _ in range(rng.randint(0, 3))] for _ in range(250)]
+    lines += [[rings[3][0]], [rings[90][1], (113.6, 22.0)], [(113.6, 22.5), (113.61, 22.5)], [(113.45, 22.4), (113.45, 22.41)]]
+    df = frame(spark, *lines)
+    direct = {(r.id, r.bridge) for r in spatial.join_polygons(df, areas, "id", few=1000).collect()}
+    assert len(direct) > 300 and any(b == "r90" for _, b in direct)
+    for cell in (None, 0.01, 0.2):
+        got = spatial.join_polygons(df, areas, "id", few=0, cell=cell).collect()
+        assert {(r.id, r.bridge) for r in got} == direct and len(got) == len(direct)
+
+
+def test_spread_join_cuts_crowded_keys(spark):
+    left = spark.range(300).selectExpr("id as l", "if(id < 200, 0, id % 7) as k")
+    right = spark.range(100).selectExpr("id as r", "if(id < 70, 0, id % 7) as k")
+    want = sorted(tuple(r) for r in left.join(right, "k").select("l", "r").collect())
+    got = spatial._spread_join(left, right, ["k"], ["l"], ["r"], most=16)
+    assert sorted(tuple(r) for r in got.select("l", "r").collect()) == want
+    assert max(r["count"] for r in got.groupBy("k", "_i", "_j").count().collect()) <= 40 * 40
