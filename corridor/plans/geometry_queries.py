@@ -237,6 +237,42 @@ def spatial_left(spark, folder):
     return spatial.join_polygons(V.lines(spark, folder), spatial.bridge_polygons(spark), "id").select("id", "bridge")
 
 
+SPATIAL_MANY = V.with_views("lines_v", more=f"""
+    firsts AS (SELECT id, coords[1].lon AS x, coords[1].lat AS y, 0.0005::DOUBLE * (1 + id % 5) AS r FROM lines_v),
+    spans AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM firsts HAVING count(*) > 0),
+    corners AS (
+        SELECT id AS area, [x - r, x, x + r, x, x - r] AS xs, [y, y - r, y, y + r, y] AS ys FROM firsts
+        UNION ALL SELECT -1, [x0, (x0 + x1) / 2, x1, (x0 + x1) / 2, x0], [(y0 + y1) / 2, y0, (y0 + y1) / 2, y1, (y0 + y1) / 2] FROM spans),
+    ring AS (SELECT area, xs[i] AS ex, ys[i] AS ey, xs[i + 1] AS fx, ys[i + 1] AS fy FROM (SELECT *, unnest(range(1, 5)) AS i FROM corners)),
+    parts AS (SELECT id, coords[i].lon AS sx, coords[i].lat AS sy, coords[i + 1].lon AS tx, coords[i + 1].lat AS ty
+        FROM (SELECT *, unnest(range(1, len(coords))) AS i FROM lines_v)),
+    crossing AS (SELECT DISTINCT p.id, area FROM parts p, ring r
+        WHERE least(sx, tx) <= greatest(ex, fx) AND least(ex, fx) <= greatest(sx, tx)
+          AND least(sy, ty) <= greatest(ey, fy) AND least(ey, fy) <= greatest(sy, ty)
+          AND {_duck_turn('e', 'f', 's')} * {_duck_turn('e', 'f', 't')} <= 0
+          AND {_duck_turn('s', 't', 'e')} * {_duck_turn('s', 't', 'f')} <= 0),
+    inside AS (SELECT f.id, area FROM firsts f, ring r
+        WHERE (ey > f.y) <> (fy > f.y) AND f.x < (fx - ex) * (f.y - ey) / (fy - ey) + ex
+        GROUP BY f.id, area HAVING count(*) % 2 = 1),
+    hits AS (SELECT * FROM crossing UNION SELECT id, area FROM inside)""")
+
+
+@query("spatial_many", SPATIAL_MANY + "SELECT l.id, h.area FROM lines_v l LEFT JOIN hits h ON l.id = h.id")
+def spatial_many(spark, folder):
+    """Lines with many areas: a small one around the first vertex of each line, and a large one over most of them."""
+    lines = V.lines(spark, folder)
+    firsts = lines.select("id", F.col("coords")[0]["lon"].alias("x"), F.col("coords")[0]["lat"].alias("y")).withColumn(
+        "r", F.lit(0.0005) * (1 + F.col("id") % 5))
+    spans = firsts.agg(*[f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))]).where("x0 is not null")
+    x, y, r = (F.col(c) for c in ("x", "y", "r"))
+    around = [(x - r, y), (x, y - r), (x + r, y), (x, y + r), (x - r, y)]
+    mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    over = [(F.col("x0"), my), (mx, F.col("y0")), (F.col("x1"), my), (mx, F.col("y1")), (F.col("x0"), my)]
+    ring = lambda corners: F.array(F.array(*[G.point(*c) for c in corners])).alias("rings")
+    rows = firsts.select(F.col("id").alias("area"), ring(around)).unionByName(spans.select(F.lit(-1).cast("bigint").alias("area"), ring(over)))
+    return spatial.join_polygons(lines, spatial.polygons(rows), "id", label="area").select("id", "area")
+
+
 def duck_near(table: str, key: str) -> str:
     """Unordered near-equal pairs of a table with ``coords``, compared directly."""
     near = (
