@@ -167,11 +167,13 @@ def near_components(prints: DataFrame, id_col: str = "doc_id", radius: int = RAD
     )
     links = stored(near_links(distinct, radius, crowd).distinct(), "simhash-links")
     named = components(links)
-    grouped = distinct.join(named.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
-        "fp", "rep", "_n", F.coalesce("component", "fp").alias("component")
-    )
-    lowest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = stored(grouped.join(lowest, "component").select("fp", "component_id", "_n"), "simhash-labels")
+    grouped = stored(join_small(distinct, named.select(F.col("node").alias("fp"), "component"), ["fp"], "left"), "simhash-grouped")
+    linked = grouped.where("component is not null")
+    lowest = stored(linked.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_n")), "simhash-lowest")
+    # a component may hold a third of the fingerprints, so it is not shuffled by its name
+    met = join_unique(linked, lowest.drop("_n"), ["component"], "inner", lowest.select("component", "_n"))
+    alone = grouped.where("component is null").select("fp", F.col("rep").alias("component_id"), "_n")
+    labels = stored(alone.unionByName(met.select("fp", "component_id", "_n")), "simhash-labels")
     return join_unique(prints, labels.drop("_n"), ["fp"], "inner", labels.select("fp", "_n")).select(id_col, "fp", "component_id")
 
 
