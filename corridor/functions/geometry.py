@@ -30,7 +30,7 @@ def round_degrees(value: Column, digits: int = 6) -> Column:
 
 
 def parse_polyline(text: Column) -> Column:
-    """``lon,lat;lon,lat`` text to points; parts that are no points are dropped."""
+    """``lon,lat;lon,lat`` text to points; parts that are no points are dropped (``bad_points`` counts them)."""
     points = F.transform(
         F.split(text, ";"),
         lambda n: F.struct(
@@ -41,6 +41,11 @@ def parse_polyline(text: Column) -> Column:
     return F.filter(points, lambda p: p["lon"].isNotNull() & p["lat"].isNotNull())
 
 
+def bad_points(text: Column) -> Column:
+    """How many parts of ``lon,lat;lon,lat`` text ``parse_polyline`` drops: a line with any has lost its shape and key."""
+    return F.size(F.split(text, ";")) - F.size(parse_polyline(text))
+
+
 def parse_wkt(text: Column) -> Column:
     """``LINESTRING (x y, x y)`` text to points."""
     body = F.regexp_extract(text, r"\((.*)\)", 1)

@@ -163,8 +163,9 @@ def only_once(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def semi_distinct(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Distinct rows whose key occurs in ``keys``."""
-    return df.join(keys.select(*on).distinct(), on, "left_semi").distinct()
+    """Distinct rows whose key occurs in ``keys``; rows of a hot key are not shuffled by it."""
+    wanted = checkpoint(keys.select(*on).dropna().distinct())
+    return join_unique(df, wanted, on).select(*df.columns).distinct()
 
 
 def without_seen(df: DataFrame, seen: DataFrame, on: list[str]) -> DataFrame:

@@ -67,6 +67,14 @@ def lookup(lines: DataFrame, dictionary: DataFrame, coords: str = "coords", how:
     return join_unique(keyed(lines, coords), dictionary.select("fid", *KEY), KEY, how).drop(*KEY)
 
 
+def with_lines(rows: DataFrame, dictionary: DataFrame, columns: tuple[str, ...] = ("_wkt",), how: str = "inner") -> DataFrame:
+    """Add columns of the dictionary to rows by ``fid``; rows with a null or a frequent id are not shuffled by it.
+
+    Lines have no bounded width, so only those of the frequent ids go to every task; Spark sizes the rest.
+    """
+    return join_unique(rows, dictionary.select("fid", *columns), ["fid"], how, small=0)
+
+
 def get(dictionary: DataFrame, fids: DataFrame) -> DataFrame:
     """Dictionary rows of the given ids."""
     return dictionary.join(fids.select("fid").distinct(), "fid", "left_semi")
@@ -81,7 +89,9 @@ class PathStore:
     """A dictionary kept as Parquet: rows are only appended, removals are listed.
 
     Because removed rows stay in the files, the next id is one above the highest
-    ever given out and no id is used twice.
+    ever given out and no id is used twice. A store has one writer at a time: the
+    next id is read before the new rows are appended, so two jobs that add to one
+    folder at once could give out an id twice. Readers may come at any time.
     """
 
     def __init__(self, spark: SparkSession, folder: str):

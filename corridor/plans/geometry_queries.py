@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corridor.constants import BRIDGE_NAMES, BRIDGE_RINGS
 from corridor.functions import datum
 from corridor.functions import geometry as G
-from corridor.operators import graph, heat, paths, spatial
+from corridor.operators import frames, graph, heat, paths, spatial
 from corridor.plans import views as V
 from corridor.plans.registry import query
 from corridor.scratch import new_path
@@ -165,7 +165,7 @@ def dict_join(spark, folder):
     rows = V.paths(spark, folder)
     dictionary = paths.upsert(paths.empty(spark), _first_batch(rows))
     found = paths.lookup(rows.withColumnRenamed("fid", "row"), dictionary, how="inner").select("row", "fid")
-    return found.join(dictionary, "fid").select(F.col("row").alias("fid"), F.col("_wkt").alias("wkt"))
+    return paths.with_lines(found, dictionary).select(F.col("row").alias("fid"), F.col("_wkt").alias("wkt"))
 
 
 @query(
@@ -193,7 +193,7 @@ def dict_remove(spark, folder):
 )
 def left_paths(spark, folder):
     shapes = V.paths(spark, folder).select("fid", F.size("coords").alias("vertices"))
-    return V.trips(spark, folder).join(shapes, "fid", "left").select("k1", "k2", "k3", "k4", "fid", "vertices")
+    return frames.join_unique(V.trips(spark, folder), shapes, ["fid"], "left").select("k1", "k2", "k3", "k4", "fid", "vertices")
 
 
 @query(

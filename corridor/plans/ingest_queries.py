@@ -111,6 +111,44 @@ def line_ingest(spark, folder):
     return found.select("fid", G.line_wkt(F.col("coords")).alias("wkt"))
 
 
+DAMAGE = "CASE WHEN fid % 7 = 1 THEN replace({line}, '113.0', '113,x') WHEN fid % 11 = 2 THEN NULL WHEN fid % 13 = 3 THEN {line} || ';' ELSE {line} END"
+
+
+@query(
+    "line_quarantine",
+    V.with_views("paths_v", more=f"""texts AS (
+        SELECT fid, array_to_string(list_transform(coords, lambda p: p.lon || ',' || p.lat), ';') AS line FROM paths_v),
+        damaged AS (SELECT fid, {DAMAGE.format(line='line')} AS line FROM texts),
+        counted AS (SELECT *, len(list_filter(string_split(line, ';'), lambda n: TRY_CAST(split_part(n, ',', 1) AS DOUBLE) IS NULL
+            OR TRY_CAST(split_part(n, ',', 2) AS DOUBLE) IS NULL))::INTEGER AS bad FROM damaged)""")
+    + "SELECT fid, bad AS bad_points, bad = 0 IS TRUE AS kept FROM counted",
+)
+def line_quarantine(spark, folder):
+    """Lines with damaged points are set aside whole; all lines come back, kept or not."""
+    text = V.paths(spark, folder).selectExpr("fid", PATH_TEXT)
+    damaged = text.withColumn("line", F.expr(DAMAGE.format(line="line")))
+    good, aside = lines.split_lines(damaged, "line")
+    kept = good.select("fid", F.lit(0).alias("bad_points"), F.lit(True).alias("kept"))
+    return kept.unionByName(aside.select("fid", "bad_points", F.lit(False).alias("kept")))
+
+
+BODIES = {
+    0: "''", 1: "substr(body, 1, 40)", 2: """'{"status":"0","info":"INVALID_KEY"}'""", 3: """'{"route":{"paths":[]}}'""", 4: "NULL", 5: "'[1, 2'",
+}
+
+
+@query(
+    "route_unanswered",
+    V.with_views("answers_v") + """SELECT k, ['empty', 'not json', 'no route', 'no path', 'empty', 'not json'][k % 9 + 1] AS reason
+        FROM answers_v WHERE k % 9 < 6""",
+)
+def route_unanswered(spark, folder):
+    """Answers that bear no path, with the reason; the others are what ``parse_routes`` keeps."""
+    cases = " ".join(f"WHEN k % 9 = {k} THEN {text}" for k, text in BODIES.items())
+    raw = V.routes(spark, folder).withColumn("body", F.expr(f"CASE {cases} ELSE body END"))
+    return routes.unanswered(raw).select("k", "reason")
+
+
 @query(
     "polyline_parse",
     V.with_views("paths_v") + """SELECT fid, (pos - 1)::INTEGER AS pos, coords[pos].lon AS lon, coords[pos].lat AS lat

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corridor.functions import geometry as G
 from corridor.functions import ids
-from corridor.operators import heat, spatial, trips
+from corridor.operators import heat, paths, spatial, trips
 from corridor.operators.paths import PathStore
 from corridor.plans import jobs
 from corridor.plans import views as V
@@ -42,7 +42,7 @@ def job_trip_day(spark, folder):
     )
     store = PathStore(spark, new_path(spark, "paths"))
     day = jobs.trip_day(features, csv, store)
-    named = day.join(store.load().select("fid", F.col("_wkt").alias("wkt")), "fid")
+    named = paths.with_lines(day, store.load()).withColumnRenamed("_wkt", "wkt")
     return named.select("row_idx", "tripID", "OD", F.round("t", 6).alias("t"), "duration", "travelDis", "traffic_lights", "wkt")
 
 
@@ -68,7 +68,7 @@ def job_steps(spark, folder):
     features, csv = _step_files(spark, folder)
     store = PathStore(spark, new_path(spark, "paths"))
     rows = jobs.step_day(features, csv, store)
-    named = rows.join(store.load().select("fid", F.col("_wkt").alias("wkt")), "fid")
+    named = paths.with_lines(rows, store.load()).withColumnRenamed("_wkt", "wkt")
     return named.select(
         "tripID", "OD", "step_id", "road", "distance", "duration", F.col("date").cast("string").alias("day"), F.round("t", 6).alias("t"), "wkt"
     )
@@ -101,7 +101,7 @@ def job_segments(spark, folder):
     features = stored(segments.select("lineID", "tripID", "distance", "status", "coords"), "segments")
     store = PathStore(spark, new_path(spark, "paths"))
     rows = jobs.segment_day(features, store)
-    named = rows.join(store.load().select("fid", F.col("_wkt").alias("wkt")), F.col("path_id") == F.col("fid"))
+    named = paths.with_lines(rows.withColumnRenamed("path_id", "fid"), store.load()).withColumnRenamed("_wkt", "wkt")
     return named.selectExpr(
         "cast(lineID as bigint) as lineID", "cast(tripID as bigint) as tripID", "cast(distance as int) as distance",
         "cast(status as int) as status", "wkt",
@@ -141,6 +141,19 @@ def job_heat_map(spark, folder):
     return jobs.od_heat_map(freq, dictionary, 7, 2).select("fid", "freq", "members")
 
 
+@query(
+    "job_heat_map_rest",
+    V.with_views("paths_v", "trips_v", more=f"""used AS (
+        SELECT fid, count(*) AS nums FROM trips_v WHERE od = 7 AND {V.duck_period('time', V.TRIP_PERIODS, 'NULL')} = 2 AND fid IS NOT NULL GROUP BY fid)""")
+    + "SELECT fid, nums::DOUBLE AS freq FROM used WHERE fid NOT IN (SELECT fid FROM paths_v WHERE source <> 'Brand#3')",
+)
+def job_heat_map_rest(spark, folder):
+    rows = trips.add_period(V.trips(spark, folder), "time", V.TRIP_PERIODS).withColumnRenamed("od", "OD")
+    freq = heat.path_use(rows, ["OD", "period"]).withColumnRenamed("used", "nums")
+    known = V.paths(spark, folder).where("source <> 'Brand#3'").withColumn("_wkt", G.line_wkt(F.col("coords")))
+    return jobs.unmapped(freq, known, 7, 2)
+
+
 @query(
     "job_bridge_steps",
     SPATIAL.rstrip() + f""", steps_v AS ({V.SQL['steps_v']})

@@ -149,14 +149,27 @@ def enrich_trips(store: DataFrame, dictionary: DataFrame, shapes: DataFrame, poi
 
 def prepare_day(day: DataFrame, dictionary: DataFrame, poi: DataFrame) -> DataFrame:
     """One day of trips with names and lines, ready to draw."""
-    return trips.add_od(day.drop("OD"), poi).join(dictionary.select("fid", "coords", "length"), "fid")
+    return paths.with_lines(trips.add_od(day.drop("OD"), poi), dictionary, ("coords", "length"))
 
 
-def od_heat_map(freq: DataFrame, dictionary: DataFrame, od: int, period: int, fine: bool = False, cap: float | None = None) -> DataFrame:
-    """Merged step heat map of one OD and period, by whole step lines or by segments."""
+def _mapped(freq: DataFrame, dictionary: DataFrame, od: int, period: int) -> DataFrame:
+    """The path frequencies of one OD and period with their lines, null where there is none."""
     used = freq.where((F.col("OD") == od) & (F.col("period") == period)).withColumn("freq", F.col("nums").cast("double"))
-    lines = checkpoint(dictionary.select("fid", "coords", "_wkt").join(used, "fid", "right"))
-    merged = heat.merge_equal_edges(lines.where("coords is not null"), "fid", cap=cap)
+    return paths.with_lines(used, dictionary, ("coords", "_wkt"), "left")
+
+
+def unmapped(freq: DataFrame, dictionary: DataFrame, od: int, period: int) -> DataFrame:
+    """``(fid, freq)`` of the paths of one OD and period that have no line; a null ``fid`` is one of them."""
+    return _mapped(freq, dictionary, od, period).where("coords is null").select("fid", "freq")
+
+
+def od_heat_map(freq: DataFrame, dictionary: DataFrame, od: int, period: int, fine: bool = False, cap: float | None = None) -> DataFrame:
+    """Merged step heat map of one OD and period, by whole step lines or by segments.
+
+    ``unmapped`` returns what the map cannot show: the frequencies of paths without a line.
+    """
+    lines = checkpoint(_mapped(freq, dictionary, od, period).where("coords is not null"))
+    merged = heat.merge_equal_edges(lines, "fid", cap=cap)
     if not fine:
         return merged
     return heat.merge_fine(merged.select("coords", "freq"), cap=cap)

@@ -16,6 +16,17 @@ def ingest_lines(features: DataFrame, text: str, wkt: bool = False, drop: tuple[
     return features.withColumn("coords", G.round_coords(parsed)).drop(text, *drop)
 
 
+def split_lines(features: DataFrame, text: str, drop: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(line features as ``ingest_lines`` gives them, features set aside with ``bad_points``).
+
+    A feature is set aside whole if any part of its text is no point, or if it has no
+    text (``bad_points`` null): a line without the part would pass as another line.
+    """
+    counted = features.withColumn("bad_points", G.bad_points(F.col(text)))
+    good = counted.where("bad_points = 0").drop("bad_points")
+    return ingest_lines(good, text, drop=drop), counted.where("bad_points is null or bad_points > 0")
+
+
 def add_geometry(lines: DataFrame, coords: str = "coords") -> DataFrame:
     """Round a coordinate column and add its text form."""
     return lines.withColumn(coords, G.round_coords(F.col(coords))).withColumn("_wkt", G.line_wkt(F.col(coords)))

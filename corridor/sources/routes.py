@@ -19,11 +19,29 @@ STATUS_COLUMNS = {"smooth": 1, "slow": 2, "congested": 3, "verycongested": 4, "u
 
 
 def parse_routes(raw: DataFrame) -> DataFrame:
-    """Decode ``body`` once per row; answers without a path drop out."""
+    """Decode ``body`` once per row; answers without a path drop out, ``unanswered`` returns them."""
     first = F.slice(F.from_json("body", schemas.ROUTE)["route"]["paths"], 1, 1)
     return raw.withColumn("path", F.explode(first)).drop("body")
 
 
+def unanswered(raw: DataFrame) -> DataFrame:
+    """The raw rows that ``parse_routes`` leaves out, with a ``reason``.
+
+    ``empty``: no text or only blanks; ``not json``: text that cannot be decoded;
+    ``no route``: an answer without a list of paths, as planners send for errors;
+    ``no path``: the list is empty.
+    """
+    text = F.col("body")
+    listed = F.from_json(text, schemas.ROUTE)["route"]["paths"]
+    reason = (
+        F.when(F.size(listed) == 0, "no path")
+        .when(text.isNull() | (F.trim(text) == ""), "empty")
+        .when(F.try_parse_json(text).isNull(), "not json")
+        .otherwise("no route")
+    )
+    return raw.where(listed.isNull() | (F.size(listed) == 0)).withColumn("reason", reason)
+
+
 def trip_id() -> Column:
     """``int(ddHHMM) * 1000 + od``."""
     return F.col("crawl").cast("bigint") * 1000 + F.col("od")
