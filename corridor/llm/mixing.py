@@ -14,9 +14,12 @@ Only tables with a row per source, per block and per (source, shard) are
 aggregated; a source that holds most rows is spread over its blocks. All of it
 is DataFrame expressions.
 
+Rows that share an id share a place; where they overfill a block it is cut on into
+runs of about a block's words, so blocks and shards stay bounded whatever repeats.
+
 Defined cases: null texts have no words; a null source is a source of its own,
-ordered last; rows with a null id are ordered by their text; equal rows are
-drawn one by one; a source without words has target 0; empty tables give empty
+ordered last; rows with a null id are ordered by their text, rows of
+one id by their size and text; equal rows are drawn one by one; a source without words has target 0; empty tables give empty
 results. Columns of the documents that bear a name of the result are replaced.
 """
 
@@ -26,8 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corridor.llm.common import text_of, word_count
-from corridor.operators.frames import SMALL_SIDE
-from corridor.scratch import is_small, stored
+from corridor.operators.frames import join_small, join_unique
+from corridor.scratch import stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 RATIO = 1.5
@@ -35,23 +38,24 @@ CAP = 2.0
 BLOCK_WORDS = 1 << 16
 SHARD_WORDS = 1 << 22
 SEED = 17
+GROUP = 256
 RESULT = ["size", "source_size", "target", "taken"]
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(row, source, size, at)``: the row as a struct, its words, and its place in [0, 1) of the source's order."""
+    """``(row, source, size, at, key, tie)``: the row as a struct, its words, its place in [0, 1) of the source's order, and what orders rows of one place."""
     key = F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(""))
     digits = F.substring(F.md5(F.concat(key, F.lit(f":{SEED}")).cast("binary")), 1, 12)
     return docs.select(
         F.struct(*docs.columns).alias("row"), F.col(source_col).cast("string").alias("source"),
         word_count(text_of(text_col)).alias("size"),
         (F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 48))).alias("at"),
-        F.col(id_col).cast("string").alias("key"),
+        F.col(id_col).cast("string").alias("key"), F.xxhash64(text_of(text_col)).alias("tie"),
     )
 
 
 def targets(rows: DataFrame, weights: tuple = WEIGHTS, ratio: float = RATIO, cap: float = CAP, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per source: ``sid, source, source_size, target, quota, passes, rest, n_blocks``.
+    """One row per source: ``sid, source, docs, source_size, target, quota, passes, rest, n_blocks``.
 
     Weights repeat over the sources in code-point order, null last. Targets stop
     at ``cap`` times the size and the excess is shared again by weight until none
@@ -82,24 +86,55 @@ def targets(rows: DataFrame, weights: tuple = WEIGHTS, ratio: float = RATIO, cap
     quota = F.round("target").cast("long")
     size = F.greatest(F.col("source_size"), F.lit(1))
     return aimed.select(
-        "sid", "source", "source_size", "target", quota.alias("quota"),
+        "sid", "source", "docs", "source_size", "target", quota.alias("quota"),
         F.floor(quota / size).cast("long").alias("passes"), (quota % size).alias("rest"),
         F.ceil((F.col("source_size") + F.col("docs")) / F.lit(float(block_words))).cast("long").alias("n_blocks"),
     )
 
 
-def _before(df: DataFrame, values: list[str], group: int = 4096) -> DataFrame:
-    """Add ``<value>_before``, the sum over the blocks of the source before this one, in two levels."""
-    high = df.withColumn("high", F.floor(F.col("block") / group))
-    sums = high.groupBy("sid", "high").agg(*[F.sum(v).alias(v) for v in values])
-    upper = Window.partitionBy("sid").orderBy("high").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select("sid", "high", *[F.coalesce(F.sum(v).over(upper), F.lit(0)).alias(f"{v}_high") for v in values])
-    lower = Window.partitionBy("sid", "high").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = high.withColumns({f"{v}_low": F.coalesce(F.sum(v).over(lower), F.lit(0)) for v in values})
-    joined = inside.join(carried, ["sid", "high"])
-    return joined.withColumns({f"{v}_before": F.col(f"{v}_high") + F.col(f"{v}_low") for v in values}).select(
-        *df.columns, *[f"{v}_before" for v in values]
+def _running(df: DataFrame, base: list[str], levels: list[list[str]], values: list[str]) -> DataFrame:
+    """Add ``<value>_before``: the sum over the rows of the same ``base`` that come earlier in the order of all ``levels``.
+
+    The sums are taken level by level, so a window holds only what differs in its own
+    level. No column may be null.
+    """
+    sums = {f"{v}_before": F.sum(v) for v in values}
+    upper = [*base, *[c for level in levels[:-1] for c in level]]
+    window = Window.partitionBy(*upper).orderBy(*levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = df.withColumns({name: F.coalesce(value.over(window), F.lit(0)) for name, value in sums.items()})
+    if len(levels) == 1:
+        return inside
+    above = _running(df.groupBy(*upper).agg(*[F.sum(v).alias(v) for v in values]), base, levels[:-1], values)
+    carried = above.select(*upper, *[F.col(name).alias(f"_{name}") for name in sums])
+    joined = inside.join(carried, upper)
+    return joined.withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums}).select(*df.columns, *sums)
+
+
+def _cut(placed: DataFrame, block_words: int) -> DataFrame:
+    """Add ``sub``, which cuts blocks that hold far more than their share into runs of about ``block_words``.
+
+    A block's share is exceeded where an id repeats: all its rows have one place. Such
+    a block is ordered on by size, id, text and, for equal rows, a written number, and
+    its rows and words before are summed in those levels; all other blocks have ``sub`` 0.
+    """
+    weight = F.sum(F.col("size") + 1)
+    crowded = placed.groupBy("sid", "block").agg(weight.alias("held")).where(F.col("held") > 4 * block_words)
+    crowded = stored(crowded.select("sid", "block"), "mix-crowded")
+    if crowded.isEmpty():
+        return placed.withColumn("sub", F.lit(0).cast("long"))
+    calm = join_small(placed, crowded, ["sid", "block"], "left_anti").withColumn("sub", F.lit(0).cast("long"))
+    hot = join_small(placed, crowded, ["sid", "block"], "left_semi").select(
+        *placed.columns, F.concat(F.col("key").isNotNull().cast("string"), F.coalesce("key", F.lit(""))).alias("name"),
+        F.shiftright("tie", 52).alias("high"), F.monotonically_increasing_id().alias("copy"),
     )
+    hot = stored(hot.withColumn("salt", F.shiftright("copy", 12)), "mix-hot")
+    levels = [["at", "size", "name"], ["high"], ["tie"], ["salt"]]
+    keys = ["sid", "block", *[c for level in levels for c in level]]
+    held = _running(hot.groupBy(*keys).agg(weight.alias("held")), ["sid", "block"], levels, ["held"])
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("copy")) - 1
+    ordered = hot.withColumn("number", number).join(held.select(*keys, "held_before"), keys)
+    sub = F.floor((F.col("held_before") + F.col("number") * (F.col("size") + 1)) / block_words).cast("long")
+    return calm.unionByName(ordered.withColumn("sub", sub).select(*calm.columns))
 
 
 def _hypergeometric(population: str, successes: str, draws: str, uniform: str) -> str:
@@ -130,43 +165,53 @@ def _hypergeometric(population: str, successes: str, draws: str, uniform: str) -
     )
 
 
-def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
+def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """``(sid, shard, blocks)``: quotas ``(sid, blocks)`` divided among ``shards`` (a power of two).
 
-    A node of the tree is a row with one quota per source. Its left child gets
-    half of its blocks: source by source, a hypergeometric number of what is left.
+    A node of the tree is a row for each ``group`` sources, with one quota per source.
+    Its left child gets half of its blocks: source by source, a hypergeometric number
+    of what is left. More sources than one group holds are first drawn as groups, by a
+    tree of their own; a group's own draw then starts from the number its tree gives.
     """
-    node = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("sid", "blocks"))).alias("q")).select(
-        F.lit(0).cast("long").alias("node"), "q"
-    )
+    levels = max(shards - 1, 0).bit_length()
+    bucket = F.floor(F.col("sid") / group).cast("long")
+    groups = None
+    if (quotas.agg(F.max("sid")).first()[0] or 0) >= group:
+        upper = quotas.groupBy(bucket.alias("sid")).agg(F.sum("blocks").alias("blocks"))
+        groups = stored(split_quotas(upper, shards, seed + 1, group), "mix-groups")
+    node = quotas.groupBy(bucket.alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("sid", "blocks"))).alias("q"))
+    node = node.select(F.lit(0).cast("long").alias("node"), "bucket", "q")
     uniform = f"(pmod(xxhash64({seed}L, node, depth, x.sid), 9007199254740992L) / 9007199254740992D)"
     draw = _hypergeometric("s.pool", "x.blocks", "s.draws", uniform)
     left = (
-        "aggregate(q, named_struct('pool', total, 'draws', total div 2, 'out', cast(array() as array<bigint>), 'got', 0L), "
+        "aggregate(q, named_struct('pool', total, 'draws', draws, 'out', cast(array() as array<bigint>), 'got', 0L), "
         f"(s, x) -> aggregate(array({draw}), s, (t, g) -> named_struct('pool', t.pool - x.blocks, 'draws', t.draws - g, "
         "'out', concat(t.out, array(g)), 'got', g))).out"
     )
-    depth = 0
-    while 1 << depth < shards:
-        split = (
-            node.withColumn("depth", F.lit(depth))
-            .withColumn("total", F.expr("aggregate(q, 0L, (t, x) -> t + x.blocks)"))
-            .withColumn("left", F.expr(left))
-        )
+    for depth in range(levels):
+        whole = node.withColumn("depth", F.lit(depth)).withColumn("total", F.expr("aggregate(q, 0L, (t, x) -> t + x.blocks)"))
+        if groups is None:
+            split = whole.withColumn("draws", F.expr("total div 2"))
+        else:
+            child = F.shiftright("shard", levels - depth - 1)
+            lefts = groups.where(child % 2 == 0).groupBy(F.col("sid").alias("bucket"), F.shiftright(child, 1).alias("node")).agg(
+                F.sum("blocks").alias("draws")
+            )
+            split = whole.where("total > 0").join(lefts, ["bucket", "node"], "left").fillna(0, ["draws"])
         halves = F.expr(
             "array(named_struct('node', 2 * node, 'q', transform(q, (x, i) -> named_struct('sid', x.sid, 'blocks', left[i]))), "
             "named_struct('node', 2 * node + 1, 'q', transform(q, (x, i) -> named_struct('sid', x.sid, 'blocks', x.blocks - left[i]))))"
         )
-        node = split.select(F.explode(halves).alias("half")).select("half.*")
-        depth += 1
+        node = split.withColumn("left", F.expr(left)).select("bucket", F.explode(halves).alias("half")).select("half.node", "bucket", "half.q")
     return node.select(F.col("node").alias("shard"), F.explode("q").alias("x")).select("x.sid", "shard", "x.blocks")
 
 
 def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add a source's values to its rows: broadcast if there are few sources, else left to Spark."""
-    side = sources.withColumnRenamed("source", "_source")
-    side = F.broadcast(side) if is_small(sources, SMALL_SIDE) else side
-    return rows.join(side, rows.source.eqNullSafe(side["_source"])).drop("_source")
+    """Add a source's values to its rows; rows of a source that holds many are not shuffled by it."""
+    name = F.concat(F.col("source").isNotNull().cast("string"), F.coalesce("source", F.lit(""))).alias("_name")
+    side = sources.select(name, *[c for c in sources.columns if c not in ("source", "docs")])
+    counts = sources.select(name, F.col("docs").alias("_n"))
+    return join_unique(rows.select("*", name), side, ["_name"], "inner", counts).drop("_name")
 
 
 def allocate(
@@ -181,11 +226,13 @@ def allocate(
     """
     spark = rows.sparkSession
     sources = stored(targets(rows, weights, ratio, cap, block_words), "mix-sources")
-    placed = _with_source(rows, sources).withColumn(
+    placed = _cut(_with_source(rows, sources).withColumn(
         "block", F.least(F.floor(F.col("at") * F.col("n_blocks")), F.col("n_blocks") - 1).cast("long")
-    )
-    blocks = placed.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.lit(1).cast("long").alias("one"))
-    blocks = stored(_before(blocks, ["words", "one"]).join(sources.select("sid", "passes", "rest"), "sid"), "mix-blocks")
+    ), block_words)
+    blocks = placed.groupBy("sid", "block", "sub").agg(F.sum("size").alias("words"), F.lit(1).cast("long").alias("one"))
+    blocks = blocks.withColumns({"blocks_4096": F.shiftright("block", 12), "subs_4096": F.shiftright("sub", 12)})
+    blocks = _running(blocks, ["sid"], [["blocks_4096"], ["block"], ["subs_4096"], ["sub"]], ["words", "one"])
+    blocks = stored(blocks.drop("blocks_4096", "subs_4096").join(sources.select("sid", "passes", "rest"), "sid"), "mix-blocks")
     counted = blocks.groupBy("sid").agg(F.sum("one").alias("n"), F.count_if(F.col("words_before") < F.col("rest")).alias("more"))
     quotas = stored(
         counted.join(sources.select("sid", "passes"), "sid").select(
@@ -201,17 +248,17 @@ def allocate(
     ranges = tree.withColumn("first", F.coalesce(F.sum("blocks").over(ahead), F.lit(0))).where("blocks > 0")
     ordinals = ranges.select("sid", "shard", F.explode(F.expr("sequence(first, first + blocks - 1)")).alias("ordinal"))
     numbered = blocks.join(quotas.select("sid", "n"), "sid").select(
-        "sid", "block",
+        "sid", "block", "sub",
         F.explode(F.expr("sequence(0L, if(words_before < rest, passes, passes - 1))")).alias("pass"), "one_before", "n", "passes",
     ).where("pass >= 0 and pass <= passes").withColumn("ordinal", F.col("pass") * F.col("n") + F.col("one_before"))
-    drawn = numbered.join(ordinals, ["sid", "ordinal"]).groupBy("sid", "block").agg(
+    drawn = numbered.join(ordinals, ["sid", "ordinal"]).groupBy("sid", "block", "sub").agg(
         F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("drawn")
     )
     plan = stored(
-        blocks.select("sid", "block", "words_before").join(drawn, ["sid", "block"], "left"), "mix-plan"
+        blocks.select("sid", "block", "sub", "words_before").join(drawn, ["sid", "block", "sub"], "left"), "mix-plan"
     )
-    before = Window.partitionBy("sid", "block").orderBy("at", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.join(plan, ["sid", "block"]).withColumn(
+    before = Window.partitionBy("sid", "block", "sub").orderBy("at", "size", "key", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(plan, ["sid", "block", "sub"]).withColumn(
         "past", F.col("words_before") + F.coalesce(F.sum("size").over(before), F.lit(0))
     )
     part = "greatest(0L, least(size, rest - past))"
@@ -219,7 +266,7 @@ def allocate(
         f"filter(transform(coalesce(drawn, array()), d -> named_struct('pass', d.pass, 'shard', d.shard, "
         f"'words', if(d.pass < passes, size, {part}))), d -> d.words > 0)"
     )
-    return joined.select("row", "source", "size", "at", "key", "source_size", "target", draws.alias("draws"))
+    return joined.select("row", "source", "size", "at", "key", "tie", "source_size", "target", draws.alias("draws"))
 
 
 def taken_words() -> Column:
@@ -234,8 +281,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     names = ["mix_shard", "mix_position", "mix_pass", "mix_words"]
     rows = allocate(sized(docs, id_col, text_col, source_col), **options)
-    drawn = rows.select("row", "at", "key", "size", F.explode("draws").alias("d"))
-    order = Window.partitionBy("d.shard").orderBy(F.xxhash64("at", "key", "d.pass"), "at", "key", "size", "d.pass")
+    drawn = rows.select("row", "at", "key", "tie", "size", F.explode("draws").alias("d"))
+    order = Window.partitionBy("d.shard").orderBy(F.xxhash64("at", "key", "tie", "d.pass"), "at", "key", "size", "tie", "d.pass")
     placed = drawn.withColumn("position", F.row_number().over(order) - 1)
     kept = [f"row.{c}" for c in docs.columns if c not in names]
     return placed.select(

@@ -82,3 +82,40 @@ def test_one_source_with_equal_documents(spark):
     docs = spark.createDataFrame([(i, "a b c", "s") for i in range(100)] + [(7, "a b c", "s")], "doc_id long, text string, source string")
     rows = mixing.allocate(mixing.sized(docs), block_words=20, shard_words=50).withColumn("taken", mixing.taken_words()).collect()
     assert sum(r.taken for r in rows) == 455  # 454.5, rounded up
+
+
+def test_one_id_on_most_rows(spark):
+    """60 % of the rows share an id (some with equal texts), more have none: places and shards stay bounded, totals exact, reruns agree."""
+    docs = spark.range(5000).selectExpr(
+        "case when id % 5 < 3 then 7 when id % 50 = 3 then null else id end as doc_id",
+        "case when id % 5 = 0 then 'same old words' when id % 50 = 3 then '' else concat_ws(' ', transform(sequence(0, id % 13), i -> concat('w', id))) end as text",
+        "case when id % 4 = 0 then 'b' else 'a' end as source",
+    )
+    sizes = {r.source: r.n for r in docs.selectExpr("source", "regexp_count(text, '[^ ]+') as w").groupBy("source").agg(F.sum("w").alias("n")).collect()}
+    wanted = targets_by_rounds(sizes)
+    mixed = mixing.mix(docs, block_words=500, shard_words=3000)
+    drawn = mixed.collect()
+    taken, shards = {}, {}
+    for r in drawn:
+        taken[r.source] = taken.get(r.source, 0) + r.mix_words
+        shards[r.mix_shard] = shards.get(r.mix_shard, 0) + r.mix_words
+    assert {s: round(t) for s, t in wanted.items()} == taken
+    assert max(shards.values()) < 3 * 3000
+    key = lambda r: (r.doc_id or -1, r.text, r.source, r.mix_pass, r.mix_words, r.mix_shard)
+    again = mixing.mix(docs.repartition(5), block_words=500, shard_words=3000).collect()
+    assert sorted(map(key, again)) == sorted(map(key, drawn))
+
+
+def test_tree_of_groups(spark):
+    """More sources than a group holds: quotas kept, shards even, and a source spread as by one tree."""
+    quotas = {i: 40 + i % 7 for i in range(1, 60)} | {0: 3000}
+    frame = spark.createDataFrame(list(quotas.items()), "sid int, blocks long")
+    rows = mixing.split_quotas(frame, 32, group=4).collect()
+    sums, shards, first = {}, {}, []
+    for r in rows:
+        assert r.blocks >= 0
+        sums[r.sid] = sums.get(r.sid, 0) + r.blocks
+        shards[r.shard] = shards.get(r.shard, 0) + r.blocks
+        first += [r.blocks] if r.sid == 0 else []
+    assert sums == quotas and len(shards) == 32 and max(shards.values()) - min(shards.values()) <= 1
+    assert abs(sum(first) / 32 - 3000 / 32) < 1e-9 and 60 < max(first) < 130
