@@ -111,9 +111,28 @@ def narrow_types(df: DataFrame) -> DataFrame:
 
 
 def positional_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Join sibling files on their row position, adding only the missing columns."""
+    """Join sibling files on their row position, adding only the missing columns.
+
+    Siblings have a row for every row of the other, so neither goes to every task: a
+    few columns of a wide, well compressed file look small to the planner at any size.
+    """
     missing = [c for c in right.columns if c not in left.columns]
-    return left.join(right.select(*keys, *missing), keys, "inner")
+    return left.join(right.select(*keys, *missing).hint("merge"), keys, "inner")
+
+
+def checked_join(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], theirs: bool = False) -> DataFrame:
+    """``positional_join`` that raises if the siblings disagree as ``consistency`` would report it; joined once and stored.
+
+    Columns of both, ``columns`` among them, are those of ``left``, or with ``theirs`` of ``right``.
+    """
+    shared = [c for c in right.columns if c in left.columns and c not in keys]
+    a = left.withColumnsRenamed({c: f"{c}_l" for c in shared}).withColumn("in_l", F.lit(1))
+    b = right.withColumnsRenamed({c: f"{c}_r" for c in shared}).withColumn("in_r", F.lit(1))
+    joined = checkpoint(a.join(b, keys, "full"))
+    assert_consistent(_differences(joined, columns))
+    mine, other = ("_r", "_l") if theirs else ("_l", "_r")
+    kept = joined.drop("in_l", "in_r", *[c + other for c in shared])
+    return kept.withColumnsRenamed({c + mine: c for c in shared})
 
 
 def consistency(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -123,7 +142,11 @@ def consistency(left: DataFrame, right: DataFrame, keys: list[str], columns: lis
     """
     a = left.select(*keys, *[F.col(c).alias(f"{c}_l") for c in columns], F.lit(1).alias("in_l"))
     b = right.select(*keys, *[F.col(c).alias(f"{c}_r") for c in columns], F.lit(1).alias("in_r"))
-    joined = a.join(b, keys, "full")
+    return _differences(a.join(b, keys, "full"), columns)
+
+
+def _differences(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """The report of ``consistency`` on a full join with columns ``_l`` and ``_r`` and marks ``in_l`` and ``in_r``."""
     both = F.col("in_l").isNotNull() & F.col("in_r").isNotNull()
     differs = [
         F.count_if(both & ~F.col(f"{c}_l").eqNullSafe(F.col(f"{c}_r"))).alias(f"{c}_differs")

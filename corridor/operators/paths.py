@@ -32,15 +32,17 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
 
-def distinct_lines(lines: DataFrame, coords: str = "coords") -> DataFrame:
-    """Each keyed line once."""
+def distinct_lines(lines: DataFrame, coords: str = "coords", has_key: bool = False) -> DataFrame:
+    """Each keyed line once; ``has_key`` if ``keyed`` made the rows."""
     return (
-        keyed(lines, coords).dropna(subset=[coords])
+        (lines if has_key else keyed(lines, coords)).dropna(subset=[coords])
         .groupBy(*KEY).agg(F.any_value(coords).alias("coords"))
     )
 
 
-def new_rows(dictionary: DataFrame, lines: DataFrame, coords: str = "coords", next_fid: int | None = None) -> DataFrame:
+def new_rows(
+    dictionary: DataFrame, lines: DataFrame, coords: str = "coords", next_fid: int | None = None, has_key: bool = False
+) -> DataFrame:
     """Dictionary rows for the lines the dictionary does not have yet.
 
     Ids continue from ``next_fid``, or else from the highest id in use. The unseen
@@ -49,7 +51,7 @@ def new_rows(dictionary: DataFrame, lines: DataFrame, coords: str = "coords", ne
     if next_fid is None:
         highest = dictionary.agg(F.max("fid")).first()[0]
         next_fid = 0 if highest is None else highest + 1
-    unseen = distinct_lines(lines, coords).join(dictionary.select(*KEY), KEY, "left_anti")
+    unseen = distinct_lines(lines, coords, has_key).join(dictionary.select(*KEY), KEY, "left_anti")
     numbered = dense_ids(checkpoint(unseen), KEY, "fid", F.lit(next_fid).cast("bigint"))
     return numbered.select(
         "fid", G.line_wkt(F.col("coords")).alias("_wkt"), "coords",
@@ -64,7 +66,12 @@ def upsert(dictionary: DataFrame, lines: DataFrame, coords: str = "coords", next
 
 def lookup(lines: DataFrame, dictionary: DataFrame, coords: str = "coords", how: str = "left") -> DataFrame:
     """Add ``fid`` to line rows: null for an unknown line, or no row with ``how='inner'``."""
-    return join_unique(keyed(lines, coords), dictionary.select("fid", *KEY), KEY, how).drop(*KEY)
+    return match(keyed(lines, coords), dictionary, how)
+
+
+def match(rows: DataFrame, dictionary: DataFrame, how: str = "left") -> DataFrame:
+    """``lookup`` for rows that have the key of their line already, with or without the line."""
+    return join_unique(rows, dictionary.select("fid", *KEY), KEY, how).drop(*KEY)
 
 
 def with_lines(rows: DataFrame, dictionary: DataFrame, columns: tuple[str, ...] = ("_wkt",), how: str = "inner") -> DataFrame:
@@ -117,9 +124,9 @@ class PathStore:
         highest = self._all().agg(F.max("fid")).first()[0]
         return 0 if highest is None else highest + 1
 
-    def add(self, lines: DataFrame, coords: str = "coords") -> DataFrame:
-        """Append the lines not seen before and return the dictionary."""
-        fresh = new_rows(self.load(), lines, coords, self.next_fid())
+    def add(self, lines: DataFrame, coords: str = "coords", has_key: bool = False) -> DataFrame:
+        """Append the lines not seen before and return the dictionary; ``has_key`` if ``keyed`` made the rows."""
+        fresh = new_rows(self.load(), lines, coords, self.next_fid(), has_key)
         fresh.write.mode("append").parquet(self.rows_path)
         return self.load()
 

@@ -24,16 +24,15 @@ def trip_day(features: DataFrame, csv: DataFrame, store: PathStore, check: bool
     """
     ints = ["OD", "duration", "travelDis", "toll_distance", "traffic_lights"]
     named = features.withColumnsRenamed({"tripID": "OD", **SHORT_NAMES})
-    whole = frames.cast_ints(named, [c for c in ints if c in named.columns])
+    whole = checkpoint(paths.keyed(frames.cast_ints(named, [c for c in ints if c in named.columns])))
+    position, compared = ["date", "row_idx"], ["duration", "travelDis"]
     if check:
-        frames.assert_consistent(
-            frames.consistency(whole, frames.cast_ints(csv, ["duration", "travelDis"]), ["date", "row_idx"], ["duration", "travelDis"])
-        )
-    grown = store.add(whole)
-    joined = frames.positional_join(whole, csv.select("date", "row_idx", "tripID"), ["date", "row_idx"])
+        sibling = frames.cast_ints(csv.select(*position, "tripID", *compared), compared)
+        joined = frames.checked_join(whole.drop("coords"), sibling, position, compared)
+    else:
+        joined = frames.positional_join(whole.drop("coords"), csv.select(*position, "tripID"), position)
     digits = ids.clock_digits(F.col("tripID"))
-    keyed = paths.lookup(joined, grown, how="inner").withColumn("t", ids.hour_fraction(digits))
-    return keyed.drop("coords")
+    return paths.match(joined, store.add(whole, has_key=True), how="inner").withColumn("t", ids.hour_fraction(digits))
 
 
 def step_day(features: DataFrame, csv: DataFrame, store: PathStore, check: bool = True) -> DataFrame:

@@ -3,10 +3,10 @@ from datetime import date, datetime
 import pytest
 
 from corridor import schemas
-from corridor.operators import paths, spatial
+from corridor.operators import frames, paths, spatial
 from corridor.operators.paths import PathStore
 from corridor.plans import jobs
-from corridor.scratch import new_path
+from corridor.scratch import new_path, stored
 from tests.conftest import line
 
 C = f"coords {schemas.COORDS}"
@@ -91,3 +91,14 @@ def test_heat_map_and_bridge_steps(spark):
 def test_check_steps(spark):
     df = spark.createDataFrame([(1, "a", 0.5, DAY, "r")], "stepID int, tripID string, t double, date date, road string")
     assert {k: v.count() for k, v in jobs.check_steps(df).items()} == {"top": 1, "t": 1, "stepID": 1, "date": 1}
+
+
+def test_siblings_are_never_sent_to_every_task(spark):
+    rows = [(DAY, i, str(i), "60", "10", line((1, 1), (2, i))) for i in range(50)]
+    features = spark.createDataFrame(rows, f"date date, row_idx long, tripID string, duration string, travelDis string, {C}")
+    csv = spark.createDataFrame([(DAY, i, f"60630{i:03}", 60, 10.0) for i in range(50)], "date date, row_idx long, tripID string, duration int, travelDis double")
+    left, right = (stored(df, "sibling") for df in (features, csv))
+    plan = frames.positional_join(left, right, ["date", "row_idx"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    found = jobs.trip_day(left, right, store(spark))
+    assert right.inputFiles()[0] not in found.inputFiles() and found.count() == 50
