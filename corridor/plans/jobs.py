@@ -37,11 +37,16 @@ def trip_day(features: DataFrame, csv: DataFrame, store: PathStore, check: bool
 
 def step_day(features: DataFrame, csv: DataFrame, store: PathStore, check: bool = True) -> DataFrame:
     """Step rows in their fixed column order, for step features and their CSV sibling."""
-    named = frames.cast_ints(features.withColumnRenamed("tripID", "OD"), ["OD", "distance", "duration", "tolls"])
+    ints = ["OD", "distance", "duration", "tolls"]
+    named = checkpoint(paths.keyed(frames.cast_ints(features.withColumnRenamed("tripID", "OD"), ints)))
+    position, compared = ["date", "row_idx"], ["distance", "duration"]
+    own = named.select(*position, "ID", "OD", *paths.KEY)
+    rows = csv.select(*position, *[c for c in csv.columns if c in {"tripID", *STEP_COLUMNS} and c not in {*position, "ID", "OD"}])
     if check:
-        frames.assert_consistent(frames.consistency(named, csv, ["date", "row_idx"], ["distance", "duration"]))
-    joined = named.select("date", "row_idx", "ID", "OD", "coords").join(csv, ["date", "row_idx"])
-    found = paths.lookup(joined, store.add(joined))
+        joined, lines = frames.checked_join(named.select(*own.columns, *compared), rows, position, compared, theirs=True), named
+    else:
+        joined, lines = frames.positional_join(own, rows, position), named.join(csv.select(*position), position, "left_semi")
+    found = paths.match(joined, store.add(lines, has_key=True))
     width = ids.day_width(F.col("ID"), F.col("date"))
     shaped = found.withColumns(
         {

@@ -102,3 +102,22 @@ def test_siblings_are_never_sent_to_every_task(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     found = jobs.trip_day(left, right, store(spark))
     assert right.inputFiles()[0] not in found.inputFiles() and found.count() == 50
+
+
+def test_step_siblings_are_joined_once(spark):
+    rows = [(DAY, i, f"06{630 + i:04}3720", "372", "10", "60", "0", line((1, 1), (2, i % 3))) for i in range(20)]
+    features = spark.createDataFrame(rows, f"date date, row_idx long, ID string, tripID string, distance string, duration string, tolls string, {C}")
+    texts = ["instruction", "orientation", "road", "toll_road", "action", "assistant_action"]
+    csv = spark.range(20).selectExpr(
+        "date'2020-05-06' as date", "id as row_idx", "'372_0' as tripID", "10 as distance", "60 as duration", "0 as tolls", "0 as toll_distance",
+        *[f"'x' as {c}" for c in texts],
+    )
+    left, right = (stored(df, "sibling") for df in (features, csv))
+    found = jobs.step_day(left, right, store(spark))
+    assert not {*left.inputFiles(), *right.inputFiles()} & set(found.inputFiles())
+    assert found.count() == 20 and found.select("fid").distinct().count() == 3
+    fewer = right.where("row_idx < 5")
+    with pytest.raises(ValueError):
+        jobs.step_day(left, fewer, store(spark))
+    other = store(spark)
+    assert jobs.step_day(left.where("row_idx <> 2"), fewer, other, check=False).count() == 4 and other.size() == 2
