@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,9 @@ CORNER = -1.0
 #: Degrees by which a path's columns are widened against rounding, and the least size of a counted grid's cells.
 MARGIN = 1e-9
 LEAST_CELL = 1e-5
+#: Comparisons that cost as much as a row of a cell, and those of a task.
+ROW_PAIRS = 50
+TASK_PAIRS = 8_000_000
 
 
 def polygons(features: DataFrame, rings: str = "rings") -> DataFrame:
@@ -82,18 +86,24 @@ def _bands(parts: DataFrame, cell: float) -> DataFrame:
     return rows.withColumns({"c0": F.floor(F.least(x0, x1) / cell), "c1": F.floor(F.greatest(x0, x1) / cell)}).drop("_box")
 
 
-def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], right_id: list[str], most: int = BLOCK) -> DataFrame:
+def _spread_join(
+    left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], right_id: list[str], most: int = BLOCK, tasks: int | None = None
+) -> DataFrame:
     """Inner join in which no key has more than about ``most`` rows of each side in one place.
 
     The rows of a key counted to have more are dealt over parts by a hash of their
-    number, on both sides; each part of one side meets each part of the other.
+    number, on both sides; each part of one side meets each part of the other. ``tasks``
+    is the number of tasks, where the pairs need more than the size of the rows tells.
     """
+    def joined(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        return (a.repartition(tasks, *on) if tasks else a).join(b, on)
+
     def crowded(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).alias(name)).where(F.col(name) > 1)
 
     cuts = checkpoint(crowded(left, "_ls").join(crowded(right, "_rs"), keys, "full"))
     if cuts.isEmpty():
-        return left.join(right, keys)
+        return joined(left, right, keys)
 
     def dealt(df: DataFrame, own: str, other: str, numbers: list[str], part: str, every: str) -> DataFrame:
         placed = join_small(df, cuts, keys, "left")
@@ -101,7 +111,7 @@ def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: li
             every, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(other, F.lit(1)) - 1))
         ).drop("_ls", "_rs")
 
-    return dealt(left, "_ls", "_rs", left_id, "_i", "_j").join(dealt(right, "_rs", "_ls", right_id, "_j", "_i"), [*keys, "_i", "_j"])
+    return joined(dealt(left, "_ls", "_rs", left_id, "_i", "_j"), dealt(right, "_rs", "_ls", right_id, "_j", "_i"), [*keys, "_i", "_j"])
 
 
 def _mean_reach(parts: DataFrame) -> tuple[float, int]:
@@ -150,28 +160,59 @@ def _inside(starts: DataFrame, edge_bands: DataFrame, cell: float) -> DataFrame:
     return met.where("sure").select("_line", "_polygon").unionByName(tested.select("_line", "_polygon"))
 
 
+def _finer(lines: DataFrame, edges: DataFrame, cell: float) -> tuple[float, float]:
+    """(size of the cells, pairs to compare): cells so much smaller that more of them would cost more rows than they save pairs.
+
+    The rows and pairs of cells of size ``cell`` are counted. With smaller cells lines have more rows, in
+    proportion, and meet fewer edges in them; a row costs about ``ROW_PAIRS`` comparisons.
+    """
+    def counted(parts: DataFrame, name: str) -> DataFrame:
+        cells = _bands(parts, cell).select("cy", F.explode(F.sequence("c0", "c1")).alias("cx"))
+        return cells.groupBy("cx", "cy").agg(F.count(F.lit(1)).cast("double").alias(name))
+
+    both = checkpoint(counted(lines, "_l").join(counted(edges, "_e"), ["cx", "cy"], "full").fillna(0.0, ["_l", "_e"]))
+    found = both.agg(F.sum(F.col("_l") + F.col("_e")).alias("rows"), F.sum(F.col("_l") * F.col("_e")).alias("pairs")).first()
+    rows, pairs = found["rows"] or 0.0, found["pairs"] or 0.0
+    share = min(1.0, (ROW_PAIRS * rows / pairs) ** 0.5) if pairs else 1.0
+    finer = max(cell * share, min(cell, LEAST_CELL))
+    return finer, pairs * finer / cell
+
+
+def _ends(a: str, b: str) -> dict[str, dict[str, Column]]:
+    """A segment from plain columns, which a join reads without making structs."""
+    return {end: {"lon": F.col(f"{n}x"), "lat": F.col(f"{n}y")} for end, n in (("a", a), ("b", b))}
+
+
 def _grid_hits(boxed: DataFrame, areas: DataFrame, coords: str, cell: float | None) -> DataFrame:
-    """``(_line, _polygon)`` that meet: an edge of the polygon touches a part of the line, or the line starts inside.
+    """``(_line, _polygon, _label)`` that meet: an edge of the polygon touches a part of the line, or the line starts inside.
 
     Edges and parts meet on the cells along their paths. The cell size follows
-    from the counted extents: about three cells for the mean part, so the rows are a small
-    multiple of the parts, however large single polygons are.
+    from the counted extents, about three cells for the mean part, and from the pairs
+    counted in such cells, however large single polygons are. The pairs found are
+    shuffled once, by line, and lie by line afterwards.
     """
     part = lambda c: F.posexplode(c).alias("_no", "_part")
     lines = boxed.select("_line", part(G.segments(F.col(coords)))).select("_line", "_no", "_part.*")
-    edges = checkpoint(areas.select("_polygon", part("edges")).select("_polygon", F.col("_no").alias("_edge"), "_part.*"))
+    edges = checkpoint(areas.select("_polygon", "_label", part("edges")).select("_polygon", "_label", F.col("_no").alias("_edge"), "_part.*"))
+    pairs = None
     if cell is None:
         (length, n), (more, m) = _mean_reach(lines), _mean_reach(edges)
-        cell = max((length + more) / (3 * max(n + m, 1)), LEAST_CELL)
+        cell, pairs = _finer(lines, edges, max((length + more) / (3 * max(n + m, 1)), LEAST_CELL))
     edge_bands = checkpoint(_bands(edges, cell))
     column = F.explode(F.sequence("c0", "c1")).alias("cx")
-    line_cells = checkpoint(_bands(lines, cell).select("_line", "_no", F.struct("a", "b").alias("s"), "cy", column))
-    edge_cells = checkpoint(edge_bands.select("_polygon", "_edge", F.struct("a", "b").alias("e"), "cy", column))
-    touching = _spread_join(line_cells, edge_cells, ["cx", "cy"], ["_line", "_no"], ["_polygon", "_edge"]).where(
-        G.segments_touch(F.col("s"), F.col("e"))
+    flat = lambda a, b: [F.col(f"{end}.{c}").alias(f"{n}{x}") for end, n in (("a", a), ("b", b)) for c, x in (("lon", "x"), ("lat", "y"))]
+    line_cells = checkpoint(_bands(lines, cell).select("_line", "_no", *flat("s", "t"), "cy", column))
+    edge_cells = checkpoint(edge_bands.select("_polygon", "_label", "_edge", *flat("e", "f"), "cy", column))
+    usual = int(boxed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = None if pairs is None else max(usual, math.ceil(pairs / TASK_PAIRS))
+    touching = _spread_join(line_cells, edge_cells, ["cx", "cy"], ["_line", "_no"], ["_polygon", "_edge"], tasks=tasks).where(
+        G.segments_touch(_ends("s", "t"), _ends("e", "f"))
     )
     starts = boxed.select("_line", G.start_point(F.col(coords)).alias("p")).where("p.lon is not null and p.lat is not null")
-    return touching.select("_line", "_polygon").unionByName(_inside(starts, edge_bands, cell)).distinct()
+    inside = join_small(_inside(starts, edge_bands, cell), areas.select("_polygon", "_label"), ["_polygon"])
+    columns = ["_line", "_polygon", "_label"]
+    hits = touching.select(columns).unionByName(inside.select(columns))
+    return hits.repartition(tasks or usual, "_line").distinct()
 
 
 def join_polygons(
@@ -198,13 +239,13 @@ def join_polygons(
     boxed = checkpoint(boxed.withColumn("_line", F.monotonically_increasing_id()))
     areas = checkpoint(areas.withColumn("_polygon", F.monotonically_increasing_id()))
     if pad is None:
-        hits = _grid_hits(boxed, areas.select("_polygon", "edges"), coords, cell)
-    else:
-        size = cell or 0.05
-        area_cells = areas.select("*", F.explode(_cells(_padded(F.col("_area"), pad), size)).alias("_cell")).select("*", "_cell.*")
-        line_cells = boxed.select("_line", coords, "_box", F.explode(_cells(F.col("_box"), size)).alias("_cell")).select("*", "_cell.*")
-        met = line_cells.drop("_cell").join(area_cells.drop("_cell"), ["cx", "cy"]).where(hit)
-        hits = met.select("_line", "_polygon").distinct()
+        named = _grid_hits(boxed, areas.select("_polygon", "_label", "edges"), coords, cell).select("_line", F.col("_label").alias(label))
+        return boxed.hint("shuffle_hash").join(named, "_line", "left").drop("_line", "_box")  # one row per line is held, the hits stream
+    size = cell or 0.05
+    area_cells = areas.select("*", F.explode(_cells(_padded(F.col("_area"), pad), size)).alias("_cell")).select("*", "_cell.*")
+    line_cells = boxed.select("_line", coords, "_box", F.explode(_cells(F.col("_box"), size)).alias("_cell")).select("*", "_cell.*")
+    met = line_cells.drop("_cell").join(area_cells.drop("_cell"), ["cx", "cy"]).where(hit)
+    hits = met.select("_line", "_polygon").distinct()
     named = checkpoint(join_small(hits, areas.select("_polygon", F.col("_label").alias(label)), ["_polygon"]).drop("_polygon"))
     return boxed.join(named, "_line", "left").drop("_line", "_box")
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corridor import schemas
 from corridor.constants import BRIDGE_RINGS
 from corridor.functions import datum
 from corridor.functions import geometry as G
@@ -272,3 +273,17 @@ def test_spread_join_cuts_crowded_keys(spark):
     got = spatial._spread_join(left, right, ["k"], ["l"], ["r"], most=16)
     assert sorted(tuple(r) for r in got.select("l", "r").collect()) == want
     assert max(r["count"] for r in got.groupBy("k", "_i", "_j").count().collect()) <= 40 * 40
+
+
+def test_cells_follow_counted_pairs(spark):
+    """Long lines over many small areas: the grid is cut finer until few edges share a cell, with the same hits."""
+    rng = random.Random(5)
+    spots = [(rng.random(), rng.random()) for _ in range(300)]
+    rings = [(i, [line((x - 0.01, y), (x, y - 0.01), (x + 0.01, y), (x, y + 0.01), (x - 0.01, y))]) for i, (x, y) in enumerate(spots)]
+    areas = spatial.polygons(spark.createDataFrame(rings, f"bridge long, rings array<{schemas.COORDS}>"))
+    ways = spark.createDataFrame([(i, line(*[(rng.random(), rng.random()) for _ in range(8)])) for i in range(120)], f"id long, coords {schemas.COORDS}")
+    found = lambda **more: sorted((r.id, r.bridge) for r in spatial.join_polygons(ways, areas, "id", **more).collect())
+    assert found(few=0) == found(few=1000)
+    cut = lambda df, c: df.select(F.explode(c).alias("s")).select("s.*")
+    cell, pairs = spatial._finer(cut(ways, G.segments(F.col("coords"))), cut(areas, "edges"), 2.0)
+    assert cell < 1.0 and 0 < pairs < 120 * 7 * 1200 / 2
