@@ -19,8 +19,11 @@ FEW_POLYGONS = 64
 CROWD = 512
 BLOCK = 4096
 HEADS = 8
-#: Where on a line its vertices are looked at, after both ends, to cut a crowded leaf; and the sign for its box.
-PROBES = [0.5, 0.25, 0.75]
+#: Tolerances in a side of the cells of both ends (a wider cell has fewer visitors) and of the cells that cut a crowded leaf.
+END_CELL = 16.0
+CUT_CELL = 4.0
+#: Where on a line its vertices are looked at to cut a crowded leaf; and the sign for its box.
+PROBES = [0.5, 0.25, 0.75, 0.0, 1.0]
 CORNER = -1.0
 #: Degrees by which a path's columns are widened against rounding, and the least size of a counted grid's cells.
 MARGIN = 1e-9
@@ -288,7 +291,7 @@ def _cut_by(tolerance: float) -> tuple[Column, Column]:
     longest is; without any extent they begin alike. A side as long as the tolerance is not looked at.
     """
     point = F.col("_line")[F.floor(F.col("_by") * (F.size("_line") - 1)).cast("int")]
-    cell = 4.0 * tolerance
+    cell = CUT_CELL * tolerance
 
     def side(axis: str) -> tuple[Column, Column]:
         low, most = F.col(f"_box.{axis}0"), F.col(f"_s{axis}")
@@ -306,23 +309,30 @@ def _cut_by(tolerance: float) -> tuple[Column, Column]:
     return own, F.when(corner, corners).otherwise(_near_cells(point["lon"], point["lat"], cell, 1.001 * tolerance))
 
 
-def _crowded(rows: DataFrame, crowd: int, tolerance: float, boxes: bool) -> DataFrame:
-    """Leaves of more than ``crowd`` rows: their rows ``_n``, those at home ``_h`` and the best cut ``_by``, null if none would help.
+def _full(rows: DataFrame, crowd: int) -> DataFrame:
+    """Leaves of more than ``crowd`` rows: their rows ``_n`` and those at home ``_h``. Stored."""
+    sizes = rows.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_home").alias("_h"))
+    return checkpoint(sizes.where((F.col("_h") > 0) & (F.col("_n") > crowd)))
+
+
+def _crowded(rows: DataFrame, full: DataFrame, tolerance: float, boxes: bool) -> DataFrame:
+    """The ``full`` leaves with the best cut ``_by``, null if none would help.
 
     The lines at home spread over some cells at each place that could be looked at; the
     place with the widest spread is taken, if it is two cells at least.
     """
+    rows = join_unique(rows, full, ["_leaf"], "inner", full.select("_leaf", "_n"))
     home = lambda v: F.when(F.col("_home"), v)
     spread = lambda v: F.max(home(v)) - F.min(home(v))
     width, height = F.col("_box.x1") - F.col("_box.x0"), F.col("_box.y1") - F.col("_box.y0")
     places = []
     for n, place in enumerate(PROBES):
         point = F.col("_line")[F.floor(F.lit(place) * (F.size("_line") - 1)).cast("int")]
-        places.append((F.greatest(spread(point["lon"]), spread(point["lat"])) / (4.0 * tolerance)).alias(f"_w{n}"))
-    counts = rows.groupBy("_leaf").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if("_home").alias("_h"), F.max(width).alias("_sx"), F.max(height).alias("_sy"),
+        places.append((F.greatest(spread(point["lon"]), spread(point["lat"])) / (CUT_CELL * tolerance)).alias(f"_w{n}"))
+    counts = rows.groupBy("_leaf", "_n", "_h").agg(
+        F.max(width).alias("_sx"), F.max(height).alias("_sy"),
         spread(F.col("_box.x0")).alias("_rx"), spread(F.col("_box.y0")).alias("_ry"), *places,
-    ).where((F.col("_h") > 0) & (F.col("_n") > crowd))
+    )
     corner = [
         F.when(F.col(f"_s{c}") < tolerance, F.when(F.col(f"_s{c}") > 0, F.col(f"_r{c}") / (4.0 * F.col(f"_s{c}"))).otherwise(F.col(f"_r{c}") / 1e-9))
         for c in "xy"
@@ -334,17 +344,17 @@ def _crowded(rows: DataFrame, crowd: int, tolerance: float, boxes: bool) -> Data
     return counts.select("_leaf", "_n", "_h", "_sx", "_sy", F.when(best["w"] >= 2, best["by"]).alias("_by"))
 
 
-def _leaves(lines: DataFrame, key: str, coords: str, tolerance: float, boxes: bool, crowd: int) -> DataFrame:
+def _leaves(lines: DataFrame, key: str, coords: str, tolerance: float, boxes: bool, crowd: int) -> tuple[DataFrame, bool]:
     """Rows ``(_leaf, _home, _id, _line, _box)``: every line at home in one leaf and a visitor of all others it can be near to.
 
     A leaf is first a vertex count and the cells of both ends. Leaves of more than
-    ``crowd`` rows are counted and cut again where their lines spread most: at a vertex in
-    between, or by the corners of the bounding boxes, if those must meet. Two near lines
-    always share the home leaf of each. Stored.
+    ``crowd`` rows are counted and cut again where their lines spread most: at a vertex, or by the corners of the bounding boxes, if those must meet. Two near lines
+    always share the home leaf of each. Stored. With it whether no leaf was crowded; the
+    rows then have no ``_box``.
     """
-    cell, reach, line = 4.0 * tolerance, 1.001 * tolerance, F.col(coords)
+    cell, reach, line = END_CELL * tolerance, 1.001 * tolerance, F.col(coords)
     rows = lines.where(F.size(line) > 0).select(
-        F.size(line).cast("long").alias("_leaf"), F.lit(True).alias("_home"), F.col(key).alias("_id"), line.alias("_line"), G.bounds(line).alias("_box")
+        F.size(line).cast("long").alias("_leaf"), F.lit(True).alias("_home"), F.col(key).alias("_id"), line.alias("_line")
     )
     for point in (G.start_point(F.col("_line")), G.end_point(F.col("_line"))):
         own = F.struct(F.floor(point["lon"] / cell).alias("cx"), F.floor(point["lat"] / cell).alias("cy"))
@@ -352,14 +362,19 @@ def _leaves(lines: DataFrame, key: str, coords: str, tolerance: float, boxes: bo
             {"_home": F.col("_home") & (F.col("_cell") == F.col("_own")), "_leaf": F.xxhash64("_leaf", "_cell")}
         ).drop("_own", "_cell")
     rows, done = checkpoint(rows), []
+    full = _full(rows, crowd)
+    if full.isEmpty():
+        return rows, True
+    rows = rows.withColumn("_box", G.bounds(F.col("_line")))
     while True:
-        wide = checkpoint(_crowded(rows, crowd, tolerance, boxes).where("_by is not null"))
+        wide = checkpoint(_crowded(rows, full, tolerance, boxes).where("_by is not null"))
         if wide.isEmpty():
-            return checkpoint(reduce(DataFrame.unionByName, [*done, rows]))
+            return reduce(DataFrame.unionByName, [*done, rows]), False  # parts of stored tables
         marked = checkpoint(join_unique(rows, wide.select("_leaf", "_sx", "_sy", "_by"), ["_leaf"], "left", wide.select("_leaf", "_n")))
         done.append(marked.where("_by is null").drop("_sx", "_sy", "_by"))
         rows, same = _split(marked.where("_by is not null"), *_cut_by(tolerance), wide.select("_leaf", "_n", "_h"))
         done.append(same.drop("_sx", "_sy", "_by"))
+        full = _full(rows, crowd)
 
 
 def _near(line: Column, box: Column, line2: Column, box2: Column, tolerance: float, boxes: bool) -> Column:
@@ -367,17 +382,17 @@ def _near(line: Column, box: Column, line2: Column, box2: Column, tolerance: flo
     return G.boxes_meet(box, box2) & near if boxes else near
 
 
-def _compared(left: DataFrame, right: DataFrame, condition: Column, block: int = BLOCK) -> DataFrame:
+def _compared(left: DataFrame, right: DataFrame, condition: Column, block: int = BLOCK, within: bool = False) -> DataFrame:
     """Pairs ``(a, b)`` of rows of one leaf that meet the condition, compared in blocks.
 
     A leaf is cut into as many blocks on each side as it holds ``block`` rows, and each
     block meets each other one under a key of its own, so no key has more than about
-    ``2 * block`` rows. The right columns end with ``2``.
+    ``2 * block`` rows. The right columns end with ``2``. ``within`` if the left rows are
+    among the right ones and meet other rows only: a leaf of one row is then left out.
     """
-    def sized(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-
-    blocks = checkpoint(sized(left, "_bl").join(sized(right, "_br"), "_leaf"))
+    sides = left.select("_leaf", F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select("_leaf", F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    sizes = sides.groupBy("_leaf").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).where(F.col("_l") > 0).where(F.col("_r") > int(within))
+    blocks = checkpoint(sizes.select("_leaf", *[F.ceil(F.col(f"_{n}") / block).cast("int").alias(f"_b{n}") for n in "lr"]))
     counts = blocks.select("_leaf", (F.greatest("_bl", "_br") * block).cast("long").alias("_n"))
 
     def dealt(df: DataFrame, mine: str, other: str, at: str, across: str) -> DataFrame:
@@ -391,6 +406,17 @@ def _compared(left: DataFrame, right: DataFrame, condition: Column, block: int =
     return mine.join(renamed, ["_leaf", "_i", "_j"]).where(condition).select(F.col("_id").alias("a"), F.col("_id2").alias("b"))
 
 
+def _within_leaves(rows: DataFrame, tolerance: float, boxes: bool) -> DataFrame:
+    """Pairs ``(a, b)``, ``a < b``, of near lines where no leaf is crowded: each leaf is compared as it is."""
+    one = rows.where("_home").select("_leaf", F.col("_id").alias("a"), F.col("_line").alias("l"))
+    two = rows.select("_leaf", F.col("_id").alias("b"), F.col("_line").alias("m"))
+    begin = F.abs(G.start_point(F.col("l"))["lon"] - G.start_point(F.col("m"))["lon"]) <= 1.001 * tolerance
+    pairs = one.join(two, "_leaf").where((F.col("a") < F.col("b")) & begin & G.almost_equal(F.col("l"), F.col("m"), tolerance))
+    if boxes:
+        pairs = pairs.where(G.boxes_meet(G.bounds(F.col("l")), G.bounds(F.col("m"))))
+    return pairs.select("a", "b")
+
+
 def near_pairs(
     lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4, boxes: bool = True, crowd: int = CROWD
 ) -> DataFrame:
@@ -400,9 +426,11 @@ def near_pairs(
     boxes meet. The pairs are the result here; to merge groups use ``near_groups``.
     """
     tolerance = 0.5 * 10.0**-decimal
-    rows = _leaves(lines, key, coords, tolerance, boxes, crowd)
+    rows, calm = _leaves(lines, key, coords, tolerance, boxes, crowd)
+    if calm:
+        return _within_leaves(rows, tolerance, boxes)
     near = _near(F.col("_line"), F.col("_box"), F.col("_line2"), F.col("_box2"), tolerance, boxes)
-    return _compared(rows.where("_home").drop("_home"), rows.drop("_home"), (F.col("_id") < F.col("_id2")) & near)
+    return _compared(rows.where("_home").drop("_home"), rows.drop("_home"), (F.col("_id") < F.col("_id2")) & near, within=True)
 
 
 def near_groups(lines: DataFrame, key: str, coords: str = "coords", decimal: int = 4, crowd: int = CROWD) -> DataFrame:
@@ -417,20 +445,22 @@ def near_groups(lines: DataFrame, key: str, coords: str = "coords", decimal: int
     """
     tolerance = 0.5 * 10.0**-decimal
     near = _near(F.col("_line"), F.col("_box"), F.col("_line2"), F.col("_box2"), tolerance, True)
-    rows = _leaves(lines, key, coords, tolerance, True, crowd)
+    rows, calm = _leaves(lines, key, coords, tolerance, True, crowd)
+    if calm:
+        return components(_within_leaves(rows, tolerance, True)).withColumnRenamed("node", key)
     counts = rows.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_home").alias("_h"))
     crowded = checkpoint(counts.where((F.col("_h") > 0) & (F.col("_n") > crowd)).drop("_h"))
     if crowded.isEmpty():
-        links = _compared(rows.where("_home").drop("_home"), rows.drop("_home"), (F.col("_id") < F.col("_id2")) & near)
+        links = _compared(rows.where("_home").drop("_home"), rows.drop("_home"), (F.col("_id") < F.col("_id2")) & near, within=True)
         return components(links).withColumnRenamed("node", key)
     marked = checkpoint(join_unique(rows, crowded.select("_leaf", F.lit(True).alias("_full")), ["_leaf"], "left", crowded))
     few, full = marked.where("_full is null").drop("_full"), marked.where("_full").drop("_full")
-    links = [_compared(few.where("_home").drop("_home"), few.drop("_home"), (F.col("_id") < F.col("_id2")) & near)]
+    links = [_compared(few.where("_home").drop("_home"), few.drop("_home"), (F.col("_id") < F.col("_id2")) & near, within=True)]
     covered, resolved = _cover(full, crowded, tolerance)
     links.append(covered)
     rest = resolved.where("_rest").select("_leaf", "_id")
     left = checkpoint(full.where("_home").drop("_home").join(rest, ["_leaf", "_id"], "left_semi"))
-    links.append(_compared(left, full.drop("_home"), (F.col("_id") != F.col("_id2")) & near))
+    links.append(_compared(left, full.drop("_home"), (F.col("_id") != F.col("_id2")) & near, within=True))
     linked = checkpoint(reduce(DataFrame.unionByName, links))
     group = components(linked)
     more = checkpoint(_bridges(full, group, crowded, resolved, near))

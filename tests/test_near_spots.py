@@ -59,3 +59,13 @@ def test_many_lines_in_one_spot(spark):
     found = spatial.near_groups(lines, "id")
     assert found.where("component = 0").count() == n == found.count()
     assert spatial.near_groups(spark.createDataFrame([], LINES), "id").count() == 0
+
+
+def test_leaves_have_few_visitors(spark):
+    rng = random.Random(3)
+    ends = lambda: [(rng.random(), rng.random()) for _ in range(2)]
+    shapes = [ends() for _ in range(400)]
+    shapes += [[(x + 1e-5, y) for x, y in shape] for shape in shapes[:50]]
+    rows, calm = spatial._leaves(frame(spark, *shapes), "id", "coords", 5e-5, True, spatial.CROWD)
+    assert calm and rows.count() < 2 * len(shapes) and "_box" not in rows.columns
+    assert spatial.near_pairs(frame(spark, *shapes), "id").count() == 50
