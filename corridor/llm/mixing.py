@@ -110,19 +110,28 @@ def _running(df: DataFrame, base: list[str], levels: list[list[str]], values: li
     return joined.withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums}).select(*df.columns, *sums)
 
 
-def _cut(placed: DataFrame, block_words: int) -> DataFrame:
-    """Add ``sub``, which cuts blocks that hold far more than their share into runs of about ``block_words``.
+def _cut(placed: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``sub``, blocks): blocks that hold far more than their share are cut into runs of about ``block_words``.
 
     A block's share is exceeded where an id repeats: all its rows have one place. Such
     a block is ordered on by size, id, text and, for equal rows, a written number, and
     its rows and words before are summed in those levels; all other blocks have ``sub`` 0.
+
+    The blocks are ``sid, block, sub, words, passes, rest`` and, from the start of the source,
+    ``words_before, one_before``. They are summed from the rows once and written, so the running
+    sums do not plan the reading of the rows once per level; the levels of ``sub`` are left out
+    where it is 0 everywhere.
     """
     weight = F.sum(F.col("size") + 1)
-    crowded = placed.groupBy("sid", "block").agg(weight.alias("held")).where(F.col("held") > 4 * block_words)
-    crowded = stored(crowded.select("sid", "block"), "mix-crowded")
+    totals = [F.sum("size").alias("words"), F.max("passes").alias("passes"), F.max("rest").alias("rest")]
+    whole = F.lit(0).cast("long").alias("sub")
+    blocks = stored(placed.groupBy("sid", "block").agg(*totals, weight.alias("held")), "mix-sums")
+    columns = ["sid", "block", "sub", "words", "passes", "rest"]
+    crowded = blocks.where(F.col("held") > 4 * block_words).select("sid", "block")
     if crowded.isEmpty():
-        return placed.withColumn("sub", F.lit(0).cast("long"))
-    calm = join_small(placed, crowded, ["sid", "block"], "left_anti").withColumn("sub", F.lit(0).cast("long"))
+        return placed.select("*", whole), _before(blocks.select("*", whole).select(*columns), [["blocks_4096"], ["block"]])
+    crowded = stored(crowded, "mix-crowded")
+    calm = join_small(placed, crowded, ["sid", "block"], "left_anti").select("*", whole)
     hot = join_small(placed, crowded, ["sid", "block"], "left_semi").select(
         *placed.columns, F.concat(F.col("key").isNotNull().cast("string"), F.coalesce("key", F.lit(""))).alias("name"),
         F.shiftright("tie", 52).alias("high"), F.monotonically_increasing_id().alias("copy"),
@@ -130,11 +139,23 @@ def _cut(placed: DataFrame, block_words: int) -> DataFrame:
     hot = stored(hot.withColumn("salt", F.shiftright("copy", 12)), "mix-hot")
     levels = [["at", "size", "name"], ["high"], ["tie"], ["salt"]]
     keys = ["sid", "block", *[c for level in levels for c in level]]
-    held = _running(hot.groupBy(*keys).agg(weight.alias("held")), ["sid", "block"], levels, ["held"])
+    held = stored(hot.groupBy(*keys).agg(weight.alias("held")), "mix-places")
+    held = stored(_running(held, ["sid", "block"], levels, ["held"]).select(*keys, "held_before"), "mix-held")
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("copy")) - 1
-    ordered = hot.withColumn("number", number).join(held.select(*keys, "held_before"), keys)
+    ordered = hot.withColumn("number", number).join(held, keys)
     sub = F.floor((F.col("held_before") + F.col("number") * (F.col("size") + 1)) / block_words).cast("long")
-    return calm.unionByName(ordered.withColumn("sub", sub).select(*calm.columns))
+    runs = ordered.withColumn("sub", sub).select(*calm.columns)
+    kept = join_small(blocks, crowded, ["sid", "block"], "left_anti").select("*", whole).select(*columns)
+    blocks = stored(kept.unionByName(runs.groupBy("sid", "block", "sub").agg(*totals).select(*columns)), "mix-runs")
+    return calm.unionByName(runs), _before(blocks, [["blocks_4096"], ["block"], ["subs_4096"], ["sub"]])
+
+
+def _before(blocks: DataFrame, levels: list[list[str]]) -> DataFrame:
+    """The blocks with the words and the number of blocks before them in their source, written."""
+    marked = blocks.withColumns(
+        {"one": F.lit(1).cast("long"), "blocks_4096": F.shiftright("block", 12), "subs_4096": F.shiftright("sub", 12)}
+    )
+    return stored(_running(marked, ["sid"], levels, ["words", "one"]).drop("one", "blocks_4096", "subs_4096"), "mix-blocks")
 
 
 def _hypergeometric(population: str, successes: str, draws: str, uniform: str) -> str:
@@ -174,6 +195,8 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED, group: int =
     tree of their own; a group's own draw then starts from the number its tree gives.
     """
     levels = max(shards - 1, 0).bit_length()
+    if not levels:
+        return quotas.select("sid", F.lit(0).cast("long").alias("shard"), "blocks")
     bucket = F.floor(F.col("sid") / group).cast("long")
     groups = None
     if (quotas.agg(F.max("sid")).first()[0] or 0) >= group:
@@ -226,19 +249,13 @@ def allocate(
     """
     spark = rows.sparkSession
     sources = stored(targets(rows, weights, ratio, cap, block_words), "mix-sources")
-    placed = _cut(_with_source(rows, sources).withColumn(
+    placed, blocks = _cut(_with_source(rows, sources).withColumn(
         "block", F.least(F.floor(F.col("at") * F.col("n_blocks")), F.col("n_blocks") - 1).cast("long")
     ), block_words)
-    blocks = placed.groupBy("sid", "block", "sub").agg(F.sum("size").alias("words"), F.lit(1).cast("long").alias("one"))
-    blocks = blocks.withColumns({"blocks_4096": F.shiftright("block", 12), "subs_4096": F.shiftright("sub", 12)})
-    blocks = _running(blocks, ["sid"], [["blocks_4096"], ["block"], ["subs_4096"], ["sub"]], ["words", "one"])
-    blocks = stored(blocks.drop("blocks_4096", "subs_4096").join(sources.select("sid", "passes", "rest"), "sid"), "mix-blocks")
-    counted = blocks.groupBy("sid").agg(F.sum("one").alias("n"), F.count_if(F.col("words_before") < F.col("rest")).alias("more"))
-    quotas = stored(
-        counted.join(sources.select("sid", "passes"), "sid").select(
-            "sid", "n", (F.col("passes") * F.col("n") + F.col("more")).alias("blocks")
-        ), "mix-quotas",
+    counted = blocks.groupBy("sid").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("words_before") < F.col("rest")).alias("more"), F.max("passes").alias("passes")
     )
+    quotas = stored(counted.select("sid", "n", (F.col("passes") * F.col("n") + F.col("more")).alias("blocks")), "mix-quotas")
     taken = sources.agg(F.sum("quota")).first()[0] or 0
     shards = 1
     while shards * shard_words < taken:
@@ -249,16 +266,17 @@ def allocate(
     ordinals = ranges.select("sid", "shard", F.explode(F.expr("sequence(first, first + blocks - 1)")).alias("ordinal"))
     numbered = blocks.join(quotas.select("sid", "n"), "sid").select(
         "sid", "block", "sub",
-        F.explode(F.expr("sequence(0L, if(words_before < rest, passes, passes - 1))")).alias("pass"), "one_before", "n", "passes",
+        F.explode(F.expr("sequence(0L, if(words_before < rest, passes, passes - 1))")).alias("pass"),
+        "words_before", "one_before", "n", "passes",
     ).where("pass >= 0 and pass <= passes").withColumn("ordinal", F.col("pass") * F.col("n") + F.col("one_before"))
-    drawn = numbered.join(ordinals, ["sid", "ordinal"]).groupBy("sid", "block", "sub").agg(
-        F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("drawn")
-    )
+    # blocks that are not drawn have no row here
     plan = stored(
-        blocks.select("sid", "block", "sub", "words_before").join(drawn, ["sid", "block", "sub"], "left"), "mix-plan"
+        numbered.join(ordinals, ["sid", "ordinal"]).groupBy("sid", "block", "sub").agg(
+            F.max("words_before").alias("words_before"), F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("drawn")
+        ), "mix-plan",
     )
     before = Window.partitionBy("sid", "block", "sub").orderBy("at", "size", "key", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.join(plan, ["sid", "block", "sub"]).withColumn(
+    joined = placed.join(plan, ["sid", "block", "sub"], "left").withColumn(
         "past", F.col("words_before") + F.coalesce(F.sum("size").over(before), F.lit(0))
     )
     part = "greatest(0L, least(size, rest - past))"

@@ -119,3 +119,16 @@ def test_tree_of_groups(spark):
         first += [r.blocks] if r.sid == 0 else []
     assert sums == quotas and len(shards) == 32 and max(shards.values()) - min(shards.values()) <= 1
     assert abs(sum(first) / 32 - 3000 / 32) < 1e-9 and 60 < max(first) < 130
+
+
+def test_few_jobs(spark):
+    """Every job and exchange takes memory of the driver, whatever the input: the rows are read once for all blocks, not once per level."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("mix-jobs", "mix")
+    try:
+        assert mixing.mix(docs).count() > 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    assert len(jobs("mix-jobs")) <= 36
