@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corridor.constants import BRIDGE_NAMES, BRIDGE_RINGS
 from corridor.functions import geometry as G
+from corridor.operators import line_blocks
 from corridor.operators.frames import join_small, join_unique
 from corridor.operators.graph import components
 from corridor.scratch import checkpoint, is_small
@@ -26,11 +28,18 @@ CUT_CELL = 4.0
 PROBES = [0.5, 0.25, 0.75, 0.0, 1.0]
 CORNER = -1.0
 #: Degrees by which a path's columns are widened against rounding, and the least size of a counted grid's cells.
-MARGIN = 1e-9
+MARGIN = line_blocks.MARGIN
 LEAST_CELL = 1e-5
-#: Comparisons that cost as much as a row of a cell, and those of a task.
+#: Comparisons that cost as much as a row of a cell; those that are worth another block while cores are idle, and the most of a block.
 ROW_PAIRS = 50
-TASK_PAIRS = 8_000_000
+TASK_PAIRS = 64_000_000
+BLOCK_PAIRS = 512_000_000
+#: Vertices of a line block, edges in a row, vertices for which a line counts once where lines are dealt, bits of a place in a side and of a lot.
+BLOCK_VERTICES = 131_072
+PACK = 64
+WEIGHT = 64
+PLACE_BITS = 20
+LOT_BITS = 22
 
 
 def polygons(features: DataFrame, rings: str = "rings") -> DataFrame:
@@ -90,23 +99,19 @@ def _bands(parts: DataFrame, cell: float) -> DataFrame:
 
 
 def _spread_join(
-    left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], right_id: list[str], most: int = BLOCK, tasks: int | None = None
+    left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], right_id: list[str], most: int = BLOCK
 ) -> DataFrame:
     """Inner join in which no key has more than about ``most`` rows of each side in one place.
 
     The rows of a key counted to have more are dealt over parts by a hash of their
-    number, on both sides; each part of one side meets each part of the other. ``tasks``
-    is the number of tasks, where the pairs need more than the size of the rows tells.
+    number, on both sides; each part of one side meets each part of the other.
     """
-    def joined(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-        return (a.repartition(tasks, *on) if tasks else a).join(b, on)
-
     def crowded(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).alias(name)).where(F.col(name) > 1)
 
     cuts = checkpoint(crowded(left, "_ls").join(crowded(right, "_rs"), keys, "full"))
     if cuts.isEmpty():
-        return joined(left, right, keys)
+        return left.join(right, keys)
 
     def dealt(df: DataFrame, own: str, other: str, numbers: list[str], part: str, every: str) -> DataFrame:
         placed = join_small(df, cuts, keys, "left")
@@ -114,7 +119,7 @@ def _spread_join(
             every, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(other, F.lit(1)) - 1))
         ).drop("_ls", "_rs")
 
-    return joined(dealt(left, "_ls", "_rs", left_id, "_i", "_j"), dealt(right, "_rs", "_ls", right_id, "_j", "_i"), [*keys, "_i", "_j"])
+    return dealt(left, "_ls", "_rs", left_id, "_i", "_j").join(dealt(right, "_rs", "_ls", right_id, "_j", "_i"), [*keys, "_i", "_j"])
 
 
 def _mean_reach(parts: DataFrame) -> tuple[float, int]:
@@ -125,7 +130,7 @@ def _mean_reach(parts: DataFrame) -> tuple[float, int]:
 
 
 def _inside(starts: DataFrame, edge_bands: DataFrame, cell: float) -> DataFrame:
-    """``(_line, _polygon)`` of the start points inside a polygon, by even-odd ray casting.
+    """``(_line, _block, _polygon)`` of the start points inside a polygon, by even-odd ray casting.
 
     Cells that no edge of a polygon passes are all inside or all outside. In a grid
     row they form runs between the cells with edges, so a large polygon has few
@@ -152,15 +157,16 @@ def _inside(starts: DataFrame, edge_bands: DataFrame, cell: float) -> DataFrame:
         F.floor(F.col("f") / F.pow(F.lit(2.0), "level")), F.floor(F.col("t") / F.pow(F.lit(2.0), "level"))))))
     levels = [r["level"] for r in runs.select("level").distinct().collect()]  # at most the bits of a cell number
     if not levels:
-        return starts.select("_line").withColumn("_polygon", F.lit(0).cast("bigint")).where("false")
+        return starts.select("_line", "_block").withColumn("_polygon", F.lit(0).cast("bigint")).where("false")
     placed = starts.withColumns({"cx": F.floor(F.col("p.lon") / cell), "cy": F.floor(F.col("p.lat") / cell)})
     placed = placed.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])))
     placed = placed.withColumn("block", F.floor(F.col("cx") / F.pow(F.lit(2.0), "level")))
     met = _spread_join(placed, runs, ["cy", "level", "block"], ["_line"], ["_polygon", "f"]).where("cx between f and t")
-    met = checkpoint(met.select("_line", "p", "_polygon", "cy", "sure"))
+    met = checkpoint(met.select("_line", "_block", "p", "_polygon", "cy", "sure"))
     tested = join_unique(met.where("not sure"), rows.select("_polygon", "cy", "edges"), ["_polygon", "cy"])
     tested = tested.where(G.point_inside(F.col("p"), F.col("edges")))
-    return met.where("sure").select("_line", "_polygon").unionByName(tested.select("_line", "_polygon"))
+    named = ["_line", "_block", "_polygon"]
+    return met.where("sure").select(named).unionByName(tested.select(named))
 
 
 def _finer(lines: DataFrame, edges: DataFrame, cell: float) -> tuple[float, float]:
@@ -181,41 +187,83 @@ def _finer(lines: DataFrame, edges: DataFrame, cell: float) -> tuple[float, floa
     return finer, pairs * finer / cell
 
 
-def _ends(a: str, b: str) -> dict[str, dict[str, Column]]:
-    """A segment from plain columns, which a join reads without making structs."""
-    return {end: {"lon": F.col(f"{n}x"), "lat": F.col(f"{n}y")} for end, n in (("a", a), ("b", b))}
+def _place(box: Column, low: Column, side: Column) -> Column:
+    """Number of the middle of a box along a Z-shaped curve, so that near places mostly have near numbers."""
+    def apart(v: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    def step(axis: str) -> Column:
+        share = F.try_divide((box[f"{axis}0"] + box[f"{axis}1"]) / 2 - low[f"{axis}0"], side)
+        return apart(F.coalesce(F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (2**PLACE_BITS - 1)), F.lit(0)).cast("bigint"))
 
+    return step("x").bitwiseOR(F.shiftleft(step("y"), 1))
 
-def _grid_hits(boxed: DataFrame, areas: DataFrame, coords: str, cell: float | None) -> DataFrame:
-    """``(_line, _polygon, _label)`` that meet: an edge of the polygon touches a part of the line, or the line starts inside.
 
-    Edges and parts meet on the cells along their paths. The cell size follows
-    from the counted extents, about three cells for the mean part, and from the pairs
-    counted in such cells, however large single polygons are. The pairs found are
-    shuffled once, by line, and lie by line afterwards.
+def _dealt(boxed: DataFrame, coords: str, blocks: int) -> DataFrame:
+    """``boxed`` with ``_block``: lines dealt over about equal blocks of vertices, those of one place side by side.
+
+    Lines of one and the same place are told apart by a lot, so a crowded place becomes many blocks.
+    """
+    if blocks == 1:
+        return boxed.withColumn("_block", F.lit(0))
+    least, most = (F.struct(*[f(f"_box.{c}{n}").alias(f"{c}{n}") for c in "xy" for n in "01"]).alias(f.__name__) for f in (F.min, F.max))
+    spread = boxed.agg(least, most).first()
+    low, high = spread["min"], spread["max"]
+    corner = {n: F.lit(low[n]).cast("double") for n in ("x0", "y0")}
+    side = max((high[f"{c}1"] - low[f"{c}0"] for c in "xy" if low[f"{c}0"] is not None), default=0.0)
+    lot = F.pmod(F.xxhash64("_line", F.lit("lot")), F.lit(2**LOT_BITS))
+    key = F.shiftleft(_place(F.col("_box"), corner, F.lit(side)), LOT_BITS).bitwiseOR(lot)
+    times = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.coalesce(F.size(coords), F.lit(0)) / WEIGHT).cast("int"))))
+    shares = [n / blocks for n in range(1, blocks)]
+    cuts = boxed.select(key.alias("key"), times).agg(F.percentile_approx("key", shares, max(10_000, 10 * blocks))).first()[0] or []
+    return boxed.withColumn("_block", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key)) if cuts else F.lit(0))
+
+
+def _blocks(spark: SparkSession, vertices: int, pairs: float) -> int:
+    """How many line blocks: each has bounded vertices and pairs, and there are enough for the cores if that is worth the copies of edges."""
+    spread = min(2 * spark.sparkContext.defaultParallelism, math.ceil(pairs / TASK_PAIRS))
+    return max(1, spread, math.ceil(vertices / BLOCK_VERTICES), math.ceil(pairs / BLOCK_PAIRS))
+
+
+def _join_blocks(boxed: DataFrame, areas: DataFrame, coords: str, label: str, cell: float | None, most: int = line_blocks.MOST_CELLS) -> DataFrame:
+    """Lines with the label of each polygon that meets them, null without: an edge of it touches a part of the line, or the line starts inside.
+
+    A task has whole lines, so what it finds is neither shuffled nor stored, however much that is. Lines
+    of one place form a block; the pieces of edges on wide cells that its parts pass are copied to it, and
+    so are the polygons in which its lines start. In a task edges and parts meet on the cells
+    along their paths. Their size follows from the counted extents, about three cells for the mean part,
+    and from the pairs counted in such cells, however large single polygons are.
     """
+    spark = boxed.sparkSession
     part = lambda c: F.posexplode(c).alias("_no", "_part")
-    lines = boxed.select("_line", part(G.segments(F.col(coords)))).select("_line", "_no", "_part.*")
+    lines = boxed.select("_line", part(G.segments(F.col(coords)))).select("_line", "_part.*")
     edges = checkpoint(areas.select("_polygon", "_label", part("edges")).select("_polygon", "_label", F.col("_no").alias("_edge"), "_part.*"))
-    pairs = None
+    (length, n), (more, m) = _mean_reach(lines), _mean_reach(edges)
+    wide, pairs = max((length + more) / (3 * max(n + m, 1)), LEAST_CELL), 0.0
     if cell is None:
-        (length, n), (more, m) = _mean_reach(lines), _mean_reach(edges)
-        cell, pairs = _finer(lines, edges, max((length + more) / (3 * max(n + m, 1)), LEAST_CELL))
-    edge_bands = checkpoint(_bands(edges, cell))
-    column = F.explode(F.sequence("c0", "c1")).alias("cx")
-    flat = lambda a, b: [F.col(f"{end}.{c}").alias(f"{n}{x}") for end, n in (("a", a), ("b", b)) for c, x in (("lon", "x"), ("lat", "y"))]
-    line_cells = checkpoint(_bands(lines, cell).select("_line", "_no", *flat("s", "t"), "cy", column))
-    edge_cells = checkpoint(edge_bands.select("_polygon", "_label", "_edge", *flat("e", "f"), "cy", column))
-    usual = int(boxed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = None if pairs is None else max(usual, math.ceil(pairs / TASK_PAIRS))
-    touching = _spread_join(line_cells, edge_cells, ["cx", "cy"], ["_line", "_no"], ["_polygon", "_edge"], tasks=tasks).where(
-        G.segments_touch(_ends("s", "t"), _ends("e", "f"))
+        cell, pairs = _finer(lines, edges, wide)
+    tile, column = max(cell, wide), F.explode(F.sequence("c0", "c1")).alias("cx")
+    blocks = _blocks(spark, n + boxed.count(), pairs)  # a line has a vertex more than parts
+    dealt = _dealt(boxed, coords, blocks)
+    parts = dealt.select("_block", F.explode(G.segments(F.col(coords))).alias("_part")).select("_block", "_part.*")
+    passed = checkpoint(_bands(parts, tile).select("_block", "cy", column).distinct())
+    ends = F.array(*[F.col(f"{end}.{c}") for end in "ab" for c in ("lon", "lat")])
+    pieces = _bands(edges, tile).select("_polygon", "_label", "cy", column, F.floor(F.col("_edge") / PACK).alias("_piece"), ends.alias("_end"))
+    pieces = checkpoint(pieces.groupBy("_polygon", "cx", "cy", "_piece").agg(F.any_value("_label").alias("_label"), F.flatten(F.collect_list("_end")).alias("_ends")))
+    near = _spread_join(pieces, passed, ["cx", "cy"], ["_polygon", "_piece"], ["_block"])
+    start = G.start_point(F.col(coords))
+    starts = dealt.select("_line", "_block", start.alias("p")).where("p.lon is not null and p.lat is not null")
+    inside = join_small(_inside(starts, _bands(edges, cell), cell), areas.select("_polygon", "_label"), ["_polygon"])
+    row = F.struct(*[F.col(c) for c in boxed.columns if c not in ("_line", "_box")]).alias("_row")
+    sent = dealt.select("_block", "_line", row).unionByName(inside, allowMissingColumns=True).unionByName(
+        near.select("_block", "_polygon", "_label", "_ends"), allowMissingColumns=True
     )
-    starts = boxed.select("_line", G.start_point(F.col(coords)).alias("p")).where("p.lon is not null and p.lat is not null")
-    inside = join_small(_inside(starts, edge_bands, cell), areas.select("_polygon", "_label"), ["_polygon"])
-    columns = ["_line", "_polygon", "_label"]
-    hits = touching.select(columns).unionByName(inside.select(columns))
-    return hits.repartition(tasks or usual, "_line").distinct()
+    sent = sent.repartitionById(blocks, F.col("_block").cast("int")).sortWithinPartitions(F.asc_nulls_first("_polygon")).drop("_block")
+    kind = T.StructType([T.StructField("_row", sent.schema["_row"].dataType), T.StructField("_found", T.ArrayType(sent.schema["_label"].dataType))])
+    met = sent.mapInArrow(line_blocks.meet_blocks(coords, cell, most), kind)
+    return met.select("_row.*", F.explode_outer("_found").alias(label))
 
 
 def join_polygons(
@@ -225,7 +273,7 @@ def join_polygons(
     """Left join of lines with the polygons they meet: one row per line row and polygon that meet, null without.
 
     Up to ``few`` polygons (counted, not assumed) are sent to every task, so the
-    lines are not shuffled. More of them meet the lines on grid cells instead: the
+    lines are not shuffled. More of them meet blocks of lines on grid cells instead: the
     edges on the cells along their paths, their inner cells as runs marked inside
     (with ``pad`` on the cells of their boxes). ``cell`` is its size, by default taken from the counted extents. Both
     ways give the same rows, whatever the keys and labels: on the grid, line rows
@@ -242,8 +290,7 @@ def join_polygons(
     boxed = checkpoint(boxed.withColumn("_line", F.monotonically_increasing_id()))
     areas = checkpoint(areas.withColumn("_polygon", F.monotonically_increasing_id()))
     if pad is None:
-        named = _grid_hits(boxed, areas.select("_polygon", "_label", "edges"), coords, cell).select("_line", F.col("_label").alias(label))
-        return boxed.hint("shuffle_hash").join(named, "_line", "left").drop("_line", "_box")  # one row per line is held, the hits stream
+        return _join_blocks(boxed, areas.select("_polygon", "_label", "edges"), coords, label, cell)
     size = cell or 0.05
     area_cells = areas.select("*", F.explode(_cells(_padded(F.col("_area"), pad), size)).alias("_cell")).select("*", "_cell.*")
     line_cells = boxed.select("_line", coords, "_box", F.explode(_cells(F.col("_box"), size)).alias("_cell")).select("*", "_cell.*")
